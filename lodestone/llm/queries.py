@@ -13,6 +13,7 @@ from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality import quality
 from .sharding import shard_by_bytes
+from .suffix_dedup import remove_repeats
 from .toxicity import held_out, score, train
 from .url_filter import judge_urls, rule_table
 
@@ -39,6 +40,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
     "op9_html_extraction": op9_html_extraction,

@@ -29,7 +29,7 @@ SLOTS = 1 << 20
 COLUMNS = 2048
 FACTORS = 8
 MAX_FIT = 12_000
-EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.05, 1e-4
+EPOCHS, STEPS, BATCH, RATE, DECAY = 10, 1000, 128, 0.05, 1e-4
 
 #: A-Z to a-z; ASCII characters other than letters and digits to spaces.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -51,6 +51,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "label", "slots"])
 
 
+def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each group."""
+    return np.stack([np.bincount(group, column, n) for column in values.T], axis=1)
+
+
 class Model:
     def __init__(self, columns: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray):
         self.columns, self.bias, self.weights, self.factors = columns, bias, weights, factors
@@ -63,8 +68,7 @@ class Model:
             flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), n)
             out += np.bincount(row, self.weights[flat], len(rows))
             v = self.factors[flat]
-            sums = np.zeros((len(rows), v.shape[1]))
-            np.add.at(sums, row, v)
+            sums = _sums(v, row, len(rows))
             out += 0.5 * ((sums**2).sum(1) - np.bincount(row, (v**2).sum(1), len(rows)))
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
@@ -90,8 +94,9 @@ def fit(slots: list[np.ndarray], labels: np.ndarray, columns: int = COLUMNS, fac
     w, v = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), factors))
     model = Model(chosen, bias, w, v)
     sw, sv, sb = np.full(w.shape, 1e-8), np.full(v.shape, 1e-8), 1e-8
-    for _ in range(EPOCHS):
-        for at in np.array_split(rng.permutation(n), max(1, n // BATCH)):
+    steps = max(1, n // BATCH)
+    for _ in range(max(EPOCHS, STEPS // steps)):  # at least STEPS steps on few rows
+        for at in np.array_split(rng.permutation(n), steps):
             part = [rows[i] for i in at]
             grad = model.scores(part) - labels[at]
             model.bias -= RATE * (g := grad.mean()) / np.sqrt(sb := sb + g * g)
@@ -99,14 +104,11 @@ def fit(slots: list[np.ndarray], labels: np.ndarray, columns: int = COLUMNS, fac
             if not sum(sizes):
                 continue
             idx, row = np.concatenate(part), np.repeat(np.arange(len(part)), sizes)
-            sums = np.zeros((len(part), factors))
-            np.add.at(sums, row, v[idx])
+            sums = _sums(v[idx], row, len(part))
             each = grad[row]
             used, inverse = np.unique(idx, return_inverse=True)
             gw = np.bincount(inverse, each) / len(at) + DECAY * w[used]
-            gv = np.zeros((len(used), factors))
-            np.add.at(gv, inverse, each[:, None] * (sums[row] - v[idx]))
-            gv = gv / len(at) + DECAY * v[used]
+            gv = _sums(each[:, None] * (sums[row] - v[idx]), inverse, len(used)) / len(at) + DECAY * v[used]
             sw[used] += gw**2
             sv[used] += gv**2
             w[used] -= RATE * gw / np.sqrt(sw[used])

@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +45,14 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -
     return spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string")
 
 
-def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by range, salt, key, with the rules of a key before its pages."""
     where, stack = None, []
     for batch in batches:
-        out = []
-        for part, salt, key, kind, page, host, path, verdict, rule_host in batch.itertuples(index=False, name=None):
+        at, out = [], []
+        column = dict(zip(batch.schema.names, batch.columns, strict=True))
+        names = ["part", "salt", "key", "kind", "host", "path", "verdict", "rule_host"]
+        for i, (part, salt, key, kind, host, path, verdict, rule_host) in enumerate(zip(*(column[n].to_pylist() for n in names), strict=True)):
             if (part, salt) != where:
                 where, stack = (part, salt), []
             while stack and not key.startswith(stack[-1][0]):
@@ -66,8 +68,10 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for rule_path, name, what in rules:
                     if path.startswith(rule_path) and (best is None or len(name) + len(rule_path) > len(best[0])):
                         best = (name + rule_path, what)
-            out.append((page, host, path, *(best or (None, None))))
-        yield pd.DataFrame(out, columns=["page_id", "host", "path", "rule", "verdict"]).astype({"page_id": batch["page"].dtype}) if out else pd.DataFrame({"page_id": batch["page"].iloc[:0], "host": [], "path": [], "rule": [], "verdict": []})
+            at.append(i)
+            out.append((host, path, *(best or (None, None))))
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([column["page"].take(pa.array(at, pa.int64())), *(pa.array(list(c), pa.string()) for c in columns)], names=["page_id", "host", "path", "rule", "verdict"])
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", ranges: int = RANGES) -> DataFrame:
@@ -89,5 +93,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     left = rules.withColumn("part", F.explode(F.sequence(below(F.col("key")), below(last)))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = left.select("part", "salt", "key", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("page"), F.lit(None).cast("string").alias("host"), F.col("rule_path").alias("path"), "verdict", "rule_host")
     rows = left.unionByName(right).repartition("part", "salt").sortWithinPartitions("part", "salt", "key", "kind", "verdict")
-    judged = rows.mapInPandas(_sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
+    judged = rows.mapInArrow(_sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
     return judged.select(F.col("page_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = label.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = label.join(least, "root").select(F.col("node").alias("sig"), "component_id")
     alone = classes.select("sig", F.col("id").alias("own"))
-    result = alone.join(linked, "sig", "left").select("sig", F.coalesce("component_id", "own").alias("component_id"))
+    # written, so that the join below has a shuffle on both sides and a class of many copies is split
+    result = materialize(alone.join(linked, "sig", "left").select("sig", F.coalesce("component_id", "own").alias("component_id")))
     return sketched.select("id", "n", "sig").join(result, "sig", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), (F.col("id").eqNullSafe(F.coalesce("component_id", "id"))).alias("kept")
     )

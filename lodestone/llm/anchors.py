@@ -32,6 +32,15 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def window_hashes(data: bytes, seed: int) -> np.ndarray:
+    """A 64-bit hash of each WIDTH-byte window of one text; different seeds, independent hashes."""
+    x = np.frombuffer(data, np.uint8)
+    coded = mix(_TABLE + np.uint64(seed))[x]
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(coded * _power(_INVERSE, len(x)), out=total[1:])
+    return mix((total[WIDTH:] - total[:-WIDTH]) * _power(_B, len(x) + 1)[: len(x) - WIDTH + 1])
+
+
 def slide(x: np.ndarray, w: int, of: np.ufunc) -> np.ndarray:
     """Minimum or maximum (`of`) of each w consecutive values."""
     n = len(x) - w + 1

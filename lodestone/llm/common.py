@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,7 +42,24 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lodestone_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again, and let go of finished shuffles.
+
+    Spark deletes the files of a shuffle once the driver's garbage collector has met it.
+    """
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, getattr(df, "lodestone_path", None)
+        if path:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 class WordHashes(dict):

@@ -17,8 +17,8 @@ The transform of whole texts, one symbol a round, would need as many passes over
 corpus as the longest text has bytes, so only short aligned fragments are treated in that way.
 
 Fragments that hold their anchor's string more than once (periodic texts) have no single
-alignment, and anchors with more than HOT fragments no bounded group: for those, windows are
-hashed one by one (128 bits) and counted by an aggregation.
+alignment, and anchors with more than HOT fragments no bounded group: for those, the distinct
+windows of each fragment are hashed (128 bits) and counted by an aggregation.
 
 Cases: a null text is empty; texts of fewer than WIDTH bytes keep all. Repeated rows remove each
 other, as each stands elsewhere. Extra columns are ignored. An empty table gives no rows.
@@ -33,12 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import GRAMS, WIDTH, Runs
-from .common import materialize, slices, small_batches
+from .anchors import GRAMS, WIDTH, Runs, window_hashes
+from .common import discard, materialize, slices, small_batches
 
 HOT = 50_000
 BATCH = 20_000
@@ -136,16 +135,21 @@ def _transform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows of loose fragments, one by one."""
+    """The distinct windows of loose fragments: hashes, how often here, and where.
+
+    A window that stands twice in its fragment is repeated whatever else there is, and only one
+    row with all such places is made for it; the row of its hashes has no place. So a periodic
+    fragment makes as many rows as its period has bytes.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
     for batch in batches:
         for anchor, fragment, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = len(body) - WIDTH + 1
-            digests = b"".join(xxhash.xxh3_128_digest(body[i : i + WIDTH]) for i in range(n))
-            pair = np.frombuffer(digests, np.int64).reshape(n, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, anchor)), pa.array(np.full(n, fragment)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))],
-                names=["anchor", "fragment", "start", "one", "two"],
-            )
+            one, two = window_hashes(body, 1), window_hashes(body, 2)
+            _, first, inverse, count = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
+            spans = [[{"start": int(f), "stop": int(f) + 1}] if c == 1 else [] for f, c in zip(first, count, strict=True)]
+            n = len(first)
+            columns = [[anchor] * (n + 1), [fragment] * (n + 1), [*one[first].view(np.int64).tolist(), None], [*two[first].view(np.int64).tolist(), None], [*count.tolist(), 0], [*spans, _spans(count[inverse] > 1)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "fragment", "one", "two", "n", "spans"])
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -164,7 +168,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     many = runs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("fragment") != F.max("fragment")).alias("several"), (F.min("at") < 0).alias("periodic"))
     many = materialize(many.where("n > 1 or periodic").drop("n"))
     again = materialize(runs.join(many, "anchor"))
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the files of shuffles that are over
+    discard(runs, many)
     pieces = again.groupBy("anchor", "fragment").agg(
         F.count("*").alias("n"), F.min(F.struct("key", "first", "count", "at")).alias("one"), F.first("several").alias("several"), F.first("periodic").alias("periodic"), F.max("count").alias("count")
     )
@@ -175,16 +179,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "fragment", "first", "count", "at", "loose")).alias("runs"))
     bodies = rows.join(wanted, "key").select("text", "runs").mapInArrow(_cut, "anchor long, fragment long, at int, loose boolean, body binary")
     bodies = materialize(bodies)
-    spark.sparkContext._jvm.System.gc()
+    discard(rows)
     firm = bodies.where("not loose").dropDuplicates(["anchor", "fragment"]).repartition("anchor").sortWithinPartitions("anchor", "fragment")
     solved = firm.select("anchor", "fragment", "at", "body").mapInPandas(_transform, f"anchor long, fragment long, spans {_SPANS}")
-    loose = bodies.where("loose").dropDuplicates(["anchor", "fragment"]).select("anchor", "fragment", "body").mapInArrow(_windows, "anchor long, fragment long, start int, one long, two long")
-    twice = loose.groupBy("one", "two").agg(F.count("*").alias("k")).where("k > 1").select("one", "two")
-    counted = loose.join(twice, ["one", "two"]).groupBy("anchor", "fragment").agg(F.collect_list(F.struct("start", (F.col("start") + 1).alias("stop"))).alias("spans"))
+    loose = bodies.where("loose").dropDuplicates(["anchor", "fragment"]).select("anchor", "fragment", "body")
+    loose = materialize(loose.mapInArrow(_windows, f"anchor long, fragment long, one long, two long, n int, spans {_SPANS}"))
+    single = loose.where("n = 1")
+    twice = loose.where("n > 0").groupBy("one", "two").agg(F.sum("n").alias("k")).where("k > 1").select("one", "two")
+    counted = single.join(twice, ["one", "two"]).select("anchor", "fragment", F.explode("spans").alias("s")).unionByName(loose.where("n = 0").select("anchor", "fragment", F.explode("spans").alias("s")))
+    counted = counted.groupBy("anchor", "fragment").agg(F.collect_list("s").alias("spans"))
     whole = pieces.where("n > 1").select("anchor", "fragment", F.array(F.struct(F.lit(0).alias("start"), F.col("count").alias("stop"))).alias("spans"))
-    spans = whole.unionByName(solved).unionByName(counted)
+    spans = materialize(whole.unionByName(solved).unionByName(counted))
+    discard(bodies, loose, pieces)
     each = again.join(spans, ["anchor", "fragment"]).select("key", F.explode("spans").alias("s"), "first")
-    return each.groupBy("key").agg(F.array_sort(F.collect_set(F.struct((F.col("first") + F.col("s.start")).alias("start"), (F.col("first") + F.col("s.stop")).alias("stop")))).alias("spans"))
+    found = each.groupBy("key").agg(F.array_sort(F.collect_set(F.struct((F.col("first") + F.col("s.start")).alias("start"), (F.col("first") + F.col("s.stop")).alias("stop")))).alias("spans"))
+    found = materialize(found)
+    discard(again, spans)
+    return found
 
 
 def keep_bytes(raw: bytes, spans: list[dict[str, int]]) -> tuple[bytes, int, int]:

@@ -23,26 +23,27 @@ ORACLE_SQL: str | None = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counts and the tokeniser's bands."""
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    judged = quality(keyed, id_col="_key").where("not kept").select("_key").distinct()
-    return keyed.join(judged, "_key", "left_anti").drop("_key")
+    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    judged = quality(keyed, id_col="__key").where("not kept").select("__key").distinct()
+    return keyed.join(judged, "__key", "left_anti").drop("__key")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id.
 
-    Rows that repeat an id are one document, of which one row stays.
+    Rows that repeat both id and text are one document, of which one row stays.
     """
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn("__key", F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", "__key"]).select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that stand elsewhere; n_chars follows the text."""
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    cut = materialize(remove_repeats(keyed, id_col="_key").where("n_removed > 0").select("_key", F.col("kept_text").alias("_text")).dropDuplicates(["_key"]))
-    joined = keyed.join(cut, "_key", "left").withColumn("text", F.coalesce("_text", "text"))
-    return joined.withColumn("n_chars", F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast("long")).select(docs.columns)
+    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    cut = materialize(remove_repeats(keyed, id_col="__key").where("n_removed > 0").select("__key", F.col("kept_text").alias("__text")).dropDuplicates(["__key"]))
+    joined = keyed.join(cut, "__key", "left").withColumn("text", F.coalesce("__text", "text"))
+    return joined.withColumn("n_chars", F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("__text")).cast("long")).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,14 +131,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     per = contamination(docs, benchmark, id_col, text_col).where("n_hit > 0")
     key = F.xxhash64(F.col(text_col), F.crc32(F.coalesce(F.col(text_col), F.lit(""))))
-    keyed = docs.withColumn("_fingerprint", key)
+    keyed = docs.withColumn("__fingerprint", key)
     if not spans:
-        bad = per.where("20 * n_hit >= n_words").select(F.col("id").alias("_id"), F.col("fingerprint").alias("_fp"))
-        return keyed.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fingerprint") == F.col("_fp")), "left_anti").drop("_fingerprint")
-    hit = per.select(F.col("id").alias("_id"), F.col("fingerprint").alias("_fp"), F.col("spans").alias("_spans"))
+        bad = per.where("20 * n_hit >= n_words").select(F.col("id").alias("__id"), F.col("fingerprint").alias("__fp"))
+        return keyed.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fingerprint") == F.col("__fp")), "left_anti").select(docs.columns)
+    hit = per.select(F.col("id").alias("__id"), F.col("fingerprint").alias("__fp"), F.col("spans").alias("__spans"))
     lead = SEPARATORS[:-1] + "*"
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({SEPARATORS.replace('[', '[^', 1)}{lead})"), F.lit(1))
-    kept = F.filter(pieces, lambda w, i: ~F.exists(F.col("_spans"), lambda s: (i >= s["first"]) & (i < s["first"] + s["words"])))
+    kept = F.filter(pieces, lambda w, i: ~F.exists(F.col("__spans"), lambda s: (i >= s["first"]) & (i < s["first"] + s["words"])))
     cut = F.concat(F.regexp_extract(F.col(text_col), f"^{lead}", 0), F.array_join(kept, ""))
-    joined = keyed.join(hit, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fingerprint") == F.col("_fp")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut)).select(docs.columns)
+    joined = keyed.join(hit, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fingerprint") == F.col("__fp")), "left")
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).select(docs.columns)

@@ -98,7 +98,7 @@ class Index:
                     weight -= cast[i][2] * (not held[cast[i][1]])
                     i += 1
                 best = max(best, weight)
-            value = min(1.0, best / self.total[t])
+            value = round(min(1.0, best / self.total[t]), 6)
             if value >= LEAST and any(places(words, p) for p in self.needed[t]):
                 found[self.labels[t]] = max(found.get(self.labels[t], 0.0), value)
         return found

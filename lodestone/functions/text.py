@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def normalize_text(text: Column) -> Column:
@@ -76,13 +77,13 @@ def attributed_ids(statement: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(inner, r"\s*,\s*"), lambda x: x.cast("bigint")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_title(titles: pd.Series) -> pd.Series:
     """NFKC, case folded, letters and digits only."""
     return titles.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if c.isalnum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def verbatim_overlap(claims: pd.Series, bodies: pd.Series) -> pd.Series:
     """Longest common run of tokens over the tokens of the claim."""
 
@@ -102,7 +103,7 @@ def verbatim_overlap(claims: pd.Series, bodies: pd.Series) -> pd.Series:
     return pd.Series([one(c, b) for c, b in zip(claims, bodies, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def verbatim_span(bodies: pd.Series, wanted: pd.Series) -> pd.Series:
     """The body's own text that equals the wanted one but for white space; null if there is none."""
 

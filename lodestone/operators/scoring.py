@@ -36,7 +36,9 @@ def _lookup(value: Column, table: dict[str, float]) -> Column:
 
 
 def age_years(published: Column, as_of: date) -> Column:
-    return F.greatest(F.datediff(F.lit(as_of), published.cast("date")) / F.lit(365.2425), F.lit(0.0))
+    """Never negative; null for unknown dates (greatest alone would pass over the null)."""
+    days = F.datediff(F.lit(as_of), published.cast("date"))
+    return F.when(days.isNotNull(), F.greatest(days / F.lit(365.2425), F.lit(0.0)))
 
 
 def recency_ratio(age: Column) -> Column:

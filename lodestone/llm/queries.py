@@ -82,4 +82,27 @@ ORACLE_SQL: dict[str, str] = {
             FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.n = m.n AND k = 1
     """,
+    "op4_decontamination": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS n, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+        j AS (SELECT item_id, least(len(w), 13) AS k, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS p, w FROM i WHERE len(w) > 0),
+        known AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS win FROM j),
+        widths AS (SELECT DISTINCT k FROM known),
+        e AS (SELECT n, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d, widths WHERE len(w) >= k),
+        h AS (SELECT e.n, e.p, e.k, known.item_id FROM e JOIN known ON known.k = e.k AND known.win = array_to_string(e.w[e.p:e.p + e.k - 1], ' ')),
+        c AS (SELECT n, count(DISTINCT q) AS n_hit FROM (SELECT n, unnest(range(p, p + k)) AS q FROM h) GROUP BY n),
+        t AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT n, item_id::VARCHAR AS item FROM h) GROUP BY n)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+        FROM d LEFT JOIN c USING (n) LEFT JOIN t USING (n)
+    """,
+    "op1_minhash_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda p: array_to_string(w[p:p + 2], ' ')) END) AS x FROM d),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT i, j FROM p JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE 100 * k >= 85 * (a.n + b.n - k)),
+        e AS MATERIALIZED (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+        r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.j, r.root FROM r JOIN e ON e.i = r.doc_id WHERE r.root < e.j)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY 1) c USING (doc_id)
+    """,
 }

@@ -418,6 +418,10 @@ def test_main_text_of_a_framed_page():
     assert html_text.main_text(PAGE) == "Big & small First bold text goes on Second one <tag> x y"
 
 
+def test_articles_by_class():
+    assert html_text.main_text('<main><article class="ad-free post"><p>Body</p></article><article class="comment odd"><p>Nice</p></article></main>') == "Body"
+
+
 def test_main_text_by_density_alone():
     good = "This is the kind of prose that has many of the common words in it, and it goes on for a while so that it is long enough to be told from the rest. "
     page = f"<body><div><a href='/'>Home</a> <a href='/x'>Other page</a></div><p>{good}</p><p>Short one.</p><p>{good}</p><div><a>more</a></div><p>Buy now</p></body>"

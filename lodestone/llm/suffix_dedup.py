@@ -174,12 +174,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     pieces = materialize(pieces)
     open_ = pieces.where("several or periodic")
-    hot = open_.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("anchor", F.lit(True).alias("hot"))
+    # written, so that the join with it has a shuffle on both sides and hot anchors are split
+    hot = materialize(open_.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("anchor", F.lit(True).alias("hot")))
     wanted = open_.join(hot, "anchor", "left").select("anchor", "fragment", "one.*", (F.col("periodic") | F.coalesce("hot", F.lit(False))).alias("loose"))
     wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "fragment", "first", "count", "at", "loose")).alias("runs"))
     bodies = rows.join(wanted, "key").select("text", "runs").mapInArrow(_cut, "anchor long, fragment long, at int, loose boolean, body binary")
     bodies = materialize(bodies)
-    discard(rows)
+    discard(hot)
     firm = bodies.where("not loose").dropDuplicates(["anchor", "fragment"]).repartition("anchor").sortWithinPartitions("anchor", "fragment")
     solved = firm.select("anchor", "fragment", "at", "body").mapInPandas(_transform, f"anchor long, fragment long, spans {_SPANS}")
     loose = bodies.where("loose").dropDuplicates(["anchor", "fragment"]).select("anchor", "fragment", "body")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
-
 
 def shortlist(sections: DataFrame, query: str, limit: int, paper: str = "paper_id", body: str = "body") -> DataFrame:
     """Papers with all words of the query in one section, by the most word hits in a section, then id.
@@ -16,10 +18,11 @@ def shortlist(sections: DataFrame, query: str, limit: int, paper: str = "paper_i
     wanted = sorted({w.lower() for w in query.split() if w.strip()})
     if not wanted or limit < 1:
         raise ValueError("a query of at least one word and a positive limit are needed")
-    words = sections.select(paper, tokens(F.col(body)).alias("words"))
-    counts = [F.size("words") - F.size(F.array_remove("words", q)) for q in wanted]
-    held = words.select(paper, *[c.alias(f"c{i}") for i, c in enumerate(counts)])
-    every, total = F.lit(True), F.lit(0)
-    for i in range(len(wanted)):
-        every, total = every & (F.col(f"c{i}") > 0), total + F.col(f"c{i}")
-    return held.where(every).groupBy(paper).agg(F.max(total).cast("long").alias("rank")).orderBy(F.desc("rank"), F.asc(paper)).limit(limit)
+    low = F.lower(F.col(body))
+    edge = r"[\p{L}\p{N}_]"
+    counts = [F.regexp_count(low, F.lit(f"(?<!{edge}){re.escape(w)}(?!{edge})")) for w in wanted]
+    # a plain substring test drops most sections before any pattern runs
+    likely = sections.where(reduce(and_, [F.contains(low, F.lit(w)) for w in wanted]))
+    held = likely.select(paper, F.array(*counts).alias("counts")).where(F.array_min("counts") > 0)
+    total = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
+    return held.groupBy(paper).agg(F.max(total).cast("long").alias("rank")).orderBy(F.desc("rank"), F.asc(paper)).limit(limit)

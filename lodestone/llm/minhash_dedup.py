@@ -17,8 +17,8 @@ registers are about as likely as the Jaccard similarity.
 4. Connected components of the confirmed links; the least document id stands for each.
 
 Cases: null or wordless text has the empty set, is linked with nothing, and is kept. Repeated rows
-give repeated results. A null id is a value like others but is never the least while others are
-there. Extra columns are ignored. An empty table gives an empty result.
+give repeated results. A null id is never the least while others are there, and a document whose
+id is null is linked through an equal set only. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -420,6 +420,7 @@ def test_main_text_of_a_framed_page():
 
 def test_articles_by_class():
     assert html_text.main_text('<main><article class="ad-free post"><p>Body</p></article><article class="comment odd"><p>Nice</p></article></main>') == "Body"
+    assert html_text.main_text('<nav><a href="/">Home</a></nav><article><p>One <a href="/x">two</a></p><p><a href="/y">three</a></p></article>') == "One two three"
 
 
 def test_main_text_by_density_alone():

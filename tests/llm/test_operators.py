@@ -166,6 +166,20 @@ def test_a_text_of_one_word_and_symbols():
     assert quality.duplicate_lines(b"a\n\na\n \n \nb\na") == 2
 
 
+def test_the_language_has_a_floor_of_entropy(spark):
+    """A table of made-up words of few pieces is junk in a known language; real words are not."""
+    rng = random.Random(4)
+    parts = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le".split()
+    word = lambda n: "".join(rng.choice(parts[:n]) for _ in range(rng.randint(2, 4)))
+    junk = " ".join(word(14) + " |" for _ in range(300))
+    plain = "the committee approved a plan for the old river bridge and its garden ".split()
+    real = " ".join(rng.choice(plain) + rng.choice(["", ",", "s"]) for _ in range(300))
+    rows = [(0, junk, "en"), (1, junk, "en-GB"), (2, junk, None), (3, junk, "xx"), (4, real, "en"), (5, junk, "de"), (6, junk, "fr"), (7, junk, "es")]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r.base_failed for r in got.values()) and "language" not in got[0].asDict()
+    assert {i: r.kept for i, r in got.items()} == {0: False, 1: False, 2: True, 3: True, 4: True, 5: False, 6: False, 7: False}, {i: (r.n_tokens, r.chars_per_token, r.token_entropy) for i, r in got.items()}
+
+
 # 3
 
 

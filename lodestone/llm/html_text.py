@@ -36,8 +36,6 @@ STOP_WORDS = frozenset(
 DENSE, SPARSE = 0.30, 0.15
 LONG, SHORT = 200, 70
 LINKED = 0.5
-#: Decided (non-ambiguous) blocks further away than this have no say.
-REACH = 20
 
 SKIP = frozenset("script style noscript template svg math canvas iframe object select option textarea button head title".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math canvas object select".split())
@@ -165,6 +163,15 @@ def read_blocks(markup: str) -> list[Block]:
     return blocks
 
 
+def _carried(labels: list[str]) -> list[str]:
+    """For each label the last decided one up to it."""
+    out, last = [], "bad"
+    for x in labels:
+        last = x if x in ("good", "bad") else last
+        out.append(last)
+    return out
+
+
 def classify(blocks: list[tuple[Block, str]]) -> None:
     """Both passes; blocks are paired with their clean text."""
     framed = any(b.framed and not b.chrome for b, _ in blocks)
@@ -189,15 +196,14 @@ def classify(blocks: list[tuple[Block, str]]) -> None:
     decided = [b.label for b, _ in blocks]
     if not {"good", "bad"} & set(decided):  # nothing to go by: a page of short text only
         decided = ["good"] * len(decided)
-    for i, (b, _) in enumerate(blocks):
+    # the nearest decided label on each side, at any distance; beyond the ends of the page it is bad
+    before, after = _carried(decided), _carried(decided[::-1])[::-1]
+    for (b, _), x, y in zip(blocks, before, after, strict=True):
         if b.label in ("short", "near"):
-            before = next((x for x in decided[max(0, i - REACH) : i + (decided[i] == "good")][::-1] if x in ("good", "bad")), "bad")
-            after = next((x for x in decided[i + (decided[i] != "good") : i + 1 + REACH] if x in ("good", "bad")), "bad")
-            sides = {before, after}
-            if len(sides) == 1:
-                b.label = before
+            if x == y:
+                b.label = x
             else:
-                b.label = "good" if b.label == "near" or b.head and after == "good" else "bad"
+                b.label = "good" if b.label == "near" or b.head and y == "good" else "bad"
 
 
 def main_text(markup: str | None) -> str:

@@ -443,6 +443,16 @@ def test_main_text_by_density_alone():
     assert html_text.main_text(page) == f"{good.strip()} Short one. {good.strip()}"
 
 
+@pytest.mark.parametrize("n", [1, 20, 21, 39, 40, 500])
+def test_long_runs_of_short_blocks_take_the_label_of_both_sides(n):
+    good = "This is the kind of prose that has many of the common words in it, and it goes on for a while so that it is long enough to be told from the rest. "
+    items = [f"Line {k}" for k in range(n)]
+    runs = "<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>"
+    assert html_text.main_text(f"<body><p>{good}</p>{runs}<p>{good}</p></body>") == " ".join([good.strip(), *items, good.strip()])
+    assert html_text.main_text(f"<body><div><a href='/'>Home</a></div>{runs}<div><a href='/x'>More</a></div><p>{good}</p></body>") == good.strip()
+    assert html_text.main_text(f"<body>{runs}</body>") == " ".join(items)  # nothing is decided: all is kept, as before
+
+
 def test_main_text_of_broken_and_empty_markup(spark):
     cases = {None: "", "": "", "<article><p>cut off in a <a hre": "cut off in a", "<article>a &amp b &#x41; &bogus; <!-- no": "a & b A &bogus;", "<article><p>" + "long " * 50_000: ("long " * 50_000).strip()}
     pages = spark.createDataFrame([(k, "u", h, "t") for k, h in enumerate(cases)] + [(0, "u", None, "t")], "page_id long, url string, html string, text string")

@@ -1,4 +1,4 @@
-"""Full-text shortlist without embeddings: a paper ranks by its title or its best section."""
+"""Full-text shortlist without embeddings: a paper ranks by its title and abstract, or by its best section."""
 
 from __future__ import annotations
 
@@ -10,19 +10,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shortlist(sections: DataFrame, query: str, limit: int, paper: str = "paper_id", body: str = "body") -> DataFrame:
-    """Papers with all words of the query in one section, by the most word hits in a section, then id.
+def shortlist(
+    sections: DataFrame, query: str, limit: int, paper: str = "paper_id", body: str = "body", papers: DataFrame | None = None, scope: str | None = None, paper_scopes: DataFrame | None = None
+) -> DataFrame:
+    """Papers with all words of the query in one section, or in title and abstract taken together, by the most word hits in one of these, then id.
 
-    Only counts leave the scan; the limit is the feature.
+    `papers` (paper, title and, if there is one, abstract) is what can come back; without it, sections alone are searched.
+    `scope` keeps the papers that `paper_scopes` (paper, scope_name) has in it. Only counts leave the scan; the limit is the feature.
     """
     wanted = sorted({w.lower() for w in query.split() if w.strip()})
     if not wanted or limit < 1:
         raise ValueError("a query of at least one word and a positive limit are needed")
+    if (scope is None) != (paper_scopes is None) or scope is not None and not scope.strip():
+        raise ValueError("a scope needs a name and the scopes of the papers")
+    if scope is not None:
+        inside = paper_scopes.where(F.col("scope_name") == scope).select(paper).distinct()
+        sections = sections.join(inside, paper, "left_semi")
+        papers = papers.join(inside, paper, "left_semi") if papers is not None else None
+    texts = sections.select(paper, body)
+    if papers is not None:
+        parts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "abstract") if c in papers.columns]
+        texts = texts.join(papers.select(paper).distinct(), paper, "left_semi").unionByName(papers.select(paper, F.concat_ws(" ", *parts).alias(body)))
     low = F.lower(F.col(body))
     edge = r"[\p{L}\p{N}_]"
     counts = [F.regexp_count(low, F.lit(f"(?<!{edge}){re.escape(w)}(?!{edge})")) for w in wanted]
-    # a plain substring test drops most sections before any pattern runs
-    likely = sections.where(reduce(and_, [F.contains(low, F.lit(w)) for w in wanted]))
+    # a plain substring test drops most texts before any pattern runs
+    likely = texts.where(reduce(and_, [F.contains(low, F.lit(w)) for w in wanted]))
     held = likely.select(paper, F.array(*counts).alias("counts")).where(F.array_min("counts") > 0)
     total = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
     return held.groupBy(paper).agg(F.max(total).cast("long").alias("rank")).orderBy(F.desc("rank"), F.asc(paper)).limit(limit)

@@ -152,6 +152,23 @@ def test_shortlist_and_its_errors(spark):
             search.shortlist(s, *bad)
 
 
+def test_shortlist_by_title_abstract_and_scope(spark):
+    s = spark.createDataFrame([(1, "noise model"), (2, "noise model, noise model"), (6, "noise model"), (9, "noise model noise model noise model")], "paper_id long, body string")
+    papers = [(1, "A noise model of noise", "the noise model"), (2, "Noise", None), (3, "Noise", "and a model"), (4, None, "noise model noise"), (5, "noise", "models"), (6, "Decoders", None)]
+    p = spark.createDataFrame(papers, "paper_id long, title string, abstract string")
+    scopes = spark.createDataFrame([(k, "one") for k in (1, 3, 4, 5, 9)] + [(2, "two"), (6, "two"), (1, "two"), (3, "one")], "paper_id long, scope_name string")
+    ranks = lambda **x: [tuple(r) for r in search.shortlist(s, "noise model", x.pop("limit", 9), **x).collect()]
+    assert ranks() == [(9, 6), (2, 4), (1, 2), (6, 2)]
+    assert ranks(papers=p) == [(1, 5), (2, 4), (4, 3), (3, 2), (6, 2)]  # 3 and 4 have no section, 9 is no paper
+    assert ranks(papers=p, scope="one", paper_scopes=scopes) == [(1, 5), (4, 3), (3, 2)]
+    assert ranks(papers=p, scope="two", paper_scopes=scopes, limit=2) == [(1, 5), (2, 4)]
+    assert ranks(scope="two", paper_scopes=scopes) == [(2, 4), (1, 2), (6, 2)]
+    assert ranks(papers=p.drop("abstract")) == [(2, 4), (1, 3), (6, 2)]
+    for bad in ({"scope": "one"}, {"scope": " ", "paper_scopes": scopes}, {"paper_scopes": scopes}):
+        with pytest.raises(ValueError):
+            search.shortlist(s, "noise", 1, papers=p, **bad)
+
+
 def test_tei_sections_and_broken_markup(spark):
     ns = 'xmlns="http://www.tei-c.org/ns/1.0"'
     body = f'<TEI {ns}><text><body><div><head>Methods</head><p coords="4,1,1;5,2,2">own</p><div><head>Noise model</head><p>inner</p></div><div><p>x</p></div></div></body></text></TEI>'

@@ -29,13 +29,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id.
+    """One document of each group of near copies: the one with the least id, null ids last.
 
-    Rows that repeat both id and text are one document, of which one row stays.
+    Rows that repeat both id and text are one document, of which one row stays; rows that repeat
+    the id alone are documents of their own.
     """
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("__key", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "__key"]).select(docs.columns)
+    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    # a row's own id, ordered by doc_id with nulls last; without null fields, so that null ids are linked too
+    zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", zero).alias("doc"), F.col("__key").alias("key"))
+    judged = near_duplicates(keyed.withColumn("__id", own), id_col="__id")
+    gone = judged.where("not kept").select(F.col("__id.key").alias("__key")).distinct()
+    return keyed.join(gone, "__key", "left_anti").dropDuplicates(["__key"]).select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,22 @@ def test_stages_take_effect(spark, tmp_path):
     assert words(1, 2) == words(1, 2)
 
 
+def test_near_copies_with_repeated_and_null_ids(spark, tmp_path):
+    """A row is dropped for its own text only, and rows without an id are judged as well."""
+    texts = [prose(200 + k) for k in range(5)]
+    copy = texts[0].split()
+    copy[60] = "otherwise"
+    near = texts[1].split()
+    near[30] = "elsewhere"
+    rows = [(1, texts[0]), (2, " ".join(copy)), (2, texts[2]), (None, texts[1]), (None, " ".join(near)), (None, texts[0]), (None, texts[3]), (4, texts[4]), (4, texts[4]), (5, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()]
+    pair = [x for x in got if x in [(None, texts[1]), (None, " ".join(near))]]
+    assert len(pair) == 1
+    rest = [x for x in got if x not in pair]
+    assert sorted(rest, key=repr) == sorted([(1, texts[0]), (2, texts[2]), (None, texts[3]), (4, texts[4]), (5, None), (None, None)], key=repr)
+
+
 def test_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

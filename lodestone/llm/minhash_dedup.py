@@ -17,8 +17,9 @@ registers are about as likely as the Jaccard similarity.
 4. Connected components of the confirmed links; the least document id stands for each.
 
 Cases: null or wordless text has the empty set, is linked with nothing, and is kept. Repeated rows
-give repeated results. A null id is never the least while others are there, and a document whose
-id is null is linked through an equal set only. Extra columns are ignored. An empty table gives an empty result.
+give repeated results. A null id is never the least while others are there; a document whose
+id is null is linked as any other. Where all ids of a component are null, component_id is null and
+all its rows are kept. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -87,8 +88,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             for k, r in zip(full, regs, strict=True):
                 out[k] = r.astype(">u2").tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(out, pa.binary())],
-                names=["id", "n", "sig", "regs"],
+                [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n, pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(out, pa.binary())],
+                names=["id", "mark", "n", "sig", "regs"],
             )
 
 
@@ -163,17 +164,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     num, den = threshold
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # the mark of a text finds the rows whose id is null or stands for several texts
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     kind = docs.schema["id"].dataType.simpleString()
-    sketched = materialize(docs.mapInArrow(partial(_sketch, size=words), f"id {kind}, n long, sig binary, regs binary"))
-    classes = sketched.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("size"), F.first("regs").alias("regs"))
+    sketched = materialize(docs.mapInArrow(partial(_sketch, size=words), f"id {kind}, mark long, n long, sig binary, regs binary"))
+    classes = sketched.where("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("row"), F.first("n").alias("size"), F.first("regs").alias("regs"))
+    classes = classes.select("sig", "row.id", "row.mark", "size", "regs")
     width = 2 * ROWS
     keyed = classes.select("sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(M // ROWS - 1)), lambda k: F.substring("regs", k * width + 1, F.lit(width)))).alias("band", "key"))
     keyed = keyed.select("sig", F.xxhash64("band", "key").alias("key"))
     leaders = materialize(keyed.groupBy("key").agg(F.min("sig").alias("b"), F.count("*").alias("k")).where("k > 1").select("key", "b"))
     family = materialize(components(keyed.join(leaders, "key").select(F.col("sig").alias("a"), "b")).select(F.col("node").alias("sig"), F.col("root").alias("family")))
-    members = classes.where("id is not null").join(family, "sig")
-    texts = docs.join(members, "id").select("text", "sig", "family", "size", "regs")
+    members = classes.join(family, "sig").withColumnsRenamed({"id": "own", "mark": "own_mark"})
+    texts = docs.join(members, (F.col("mark") == F.col("own_mark")) & F.col("id").eqNullSafe(F.col("own"))).select("text", "sig", "family", "size", "regs")
     sets = texts.mapInArrow(partial(_sets, size=words), "sig binary, family binary, size long, regs binary, shingles binary")
     blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     spread = sets.dropDuplicates(["sig"]).join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))

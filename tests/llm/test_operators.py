@@ -108,6 +108,14 @@ def test_near_duplicates_null_ids_and_empty_table(spark):
     assert minhash_dedup.near_duplicates(frame(spark, EMPTY)).count() == 0
 
 
+def test_near_copies_with_null_ids_are_linked(spark):
+    base = words(3, 200)
+    near, far = [*base[:100], "x", *base[101:]], [*base[:50], "y", *base[51:]]
+    rows = [(7, " ".join(base)), (None, " ".join(near)), (None, " ".join(far)), (None, " ".join(words(4, 200)))]
+    got = minhash_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=repr) == sorted([(7, 7, True), (None, 7, False), (None, 7, False), (None, None, True)], key=repr)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 3000, dtype=np.uint64)

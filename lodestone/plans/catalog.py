@@ -625,7 +625,7 @@ def scope_estimate(r: Roles) -> DataFrame:
 
 @query()
 def normalize_title(r: Roles) -> DataFrame:
-    return documents(r).select("doc_id", text.normalize_title(F.substring_index("text", "\n", 1)).alias("key"))
+    return documents(r).select("doc_id", text.normalize_title("text").alias("key"))
 
 
 # scores

@@ -169,6 +169,14 @@ def test_shortlist_by_title_abstract_and_scope(spark):
             search.shortlist(s, "noise", 1, papers=p, **bad)
 
 
+def test_titles_are_normalised_over_all_lines(spark, tmp_path):
+    from lodestone.plans import catalog
+
+    docs = [(1, "One Title,\nwith \ufb01ve\nlines", "en", "s", 9), (2, None, "en", "s", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.key for r in catalog.QUERIES["normalize_title"](spark, str(tmp_path)).collect()} == {1: "onetitlewithfivelines", 2: None}
+
+
 def test_tei_sections_and_broken_markup(spark):
     ns = 'xmlns="http://www.tei-c.org/ns/1.0"'
     body = f'<TEI {ns}><text><body><div><head>Methods</head><p coords="4,1,1;5,2,2">own</p><div><head>Noise model</head><p>inner</p></div><div><p>x</p></div></div></body></text></TEI>'

@@ -1,17 +1,21 @@
 """Main text of web pages by two passes over blocks.
 
-Pass one reads the markup into blocks and judges each by stop-word density, length and link
-density: good, bad, short (too short to tell) or near-good. Pass two gives ambiguous blocks the
-label of their nearest decided neighbours. Elements that declare what they hold (menus, headers of
-the page, footers, sidebars, forms, scripts, adverts, notices, comments of readers) are decided
-beforehand, and so is what else an article or main element holds, which is good.
-Without such a frame the densities alone decide.
+Pass one reads the markup into blocks and scores each: its share of stop words, trusted in
+proportion to its length, against its share of linked text. Markup is one feature of the score: an
+article or main element raises it, standing outside of the page's article lowers it. A block with a
+high score is good, one with a low score bad; short and middling ones are left open. Pass two gives
+the open blocks the label of their nearest decided neighbours, where nearest means: in the smallest
+common element, then in page order. A page without any good block is its unlinked open blocks.
+
+What declares itself to be no text of the article (menus, headers of the page, footers, sidebars,
+forms, buttons, scripts, adverts, notices, comments of readers) is taken out before and has no say.
 
 White space inside a block becomes one space, blocks are joined by one space in page order.
 
 Cases: null or empty markup gives an empty text. Unclosed and misnested elements are closed as
-HTML does for paragraphs, list items and table cells; markup that breaks off in a tag ends there.
-Repeated rows give repeated results. Extra columns are ignored. An empty table gives no rows.
+HTML does for paragraphs, list items and table cells; a quote in a tag that is not closed properly
+ends with its tag; markup that breaks off in a tag ends there. Repeated rows give repeated results.
+Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,19 +37,26 @@ STOP_WORDS = frozenset(
     "au aux avec ce ces dans de des du elle en est et il je la le les ne on ou par pas pour qui que se son sur un une "
     "al como con de del el ella en es la las lo los no o para pero por que se su un una y".split()
 )
-DENSE, SPARSE = 0.30, 0.15
-LONG, SHORT = 200, 70
-LINKED = 0.5
+#: The score of a block: KEEN for each share of stop words above USUAL, within the bounds LEAN, in
+#: full for SURE characters or more; LINK for a block of links alone; INSIDE the article, in the main
+#: element BESIDE it, and OUTSIDE of both.
+KEEN, USUAL, LEAN, SURE = 8.0, 0.2, (-0.7, 2.0), 140
+LINK, INSIDE, BESIDE, OUTSIDE = -3.0, 1.0, -2.0, -4.0
+GOOD, BAD = 0.6, -0.8
+#: Below this length an open block is short and goes with the bad side where its neighbours differ.
+SHORT = 70
 
-SKIP = frozenset("script style noscript template svg math canvas iframe object select option textarea button head title".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math canvas object select".split())
+#: Skipped up to their end where it exists; the tags alone otherwise.
+MUTE = frozenset("button datalist".split())
 CHROME = frozenset("nav header footer aside form dialog menu fieldset label input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|breadcrumbs?|footer|sidebar|side-?bar|widget|related|share|sharing|social|"
-    r"cookies?|consent|gdpr|notice|notices|popup|pop-?up|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|disqus|replies|reply|pagination|pager|masthead|skip|toolbar|copyright|hidden)(?:$|[\s_-])",
-    re.I,
+#: A class or id names chrome as a whole, or with its first or last part: ad-slot, cookie_notice.
+MARK = (
+    r"(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|breadcrumbs?|footer|sidebar|side-?bar|widget|related|share|sharing|social|"
+    r"cookies?|consent|gdpr|notice|notices|popup|pop-?up|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|disqus|replies|reply|pagination|pager|masthead|skip|toolbar|copyright|hidden)"
 )
+MARKS = re.compile(rf"(?:^|\s){MARK}(?:[\s_-]|$)|(?:^|[\s_-]){MARK}(?:\s|$)", re.I)
 #: What a class must say of a frame (an article, the main part) for it not to be the page's own.
 REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply)(?:$|[\s_-])", re.I)
 BLOCKS = frozenset(
@@ -59,19 +70,31 @@ CLOSES = {n: {"p"} for n in BLOCKS - {"br", "caption", "tbody", "td", "tfoot", "
 #: Elements beyond which an implied end does not reach.
 SCOPE = frozenset("html body div section article main table td th ul ol dl nav header footer aside form blockquote figure".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(>|$)", re.S)
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+    # quotes that close before a space, slash or the end of the tag; or else what comes up to the first >
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>]))*+|[^>]*)(>|\Z)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
 FRAME = frozenset(["article", "main"])
 
 
+#: Elements that hold one block each, and are no neighbourhood of their own.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre caption summary figcaption".split())
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
 class Block:
-    __slots__ = ("chrome", "framed", "head", "label", "linked", "parts")
+    """A run of text between block boundaries; `shared` is the depth of the smallest element that holds it and the block before."""
 
-    def __init__(self, chrome: bool, framed: bool, head: bool):
+    __slots__ = ("chrome", "framed", "head", "label", "linked", "parts", "shared")
+
+    def __init__(self, chrome: bool, framed: int, head: bool, shared: int):
         self.parts: list[str] = []
         self.linked = 0
-        self.chrome, self.framed, self.head, self.label = chrome, framed, head, ""
+        self.chrome, self.framed, self.head, self.shared, self.label = chrome, framed, head, shared, ""
 
 
 def _is_chrome(name: str, attributes: str, framed: bool) -> bool:
@@ -90,24 +113,33 @@ def _is_chrome(name: str, attributes: str, framed: bool) -> bool:
 
 def read_blocks(markup: str) -> list[Block]:
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, in chrome, in a frame
+    stack: list[tuple[str, bool, int, int]] = []  # name, in chrome, in a frame (1 main, 2 article), depth of containers
     block: Block | None = None
-    links = 0
+    links = shared = 0
+    unclosed: set[str] = set()
     at, end = 0, len(markup)
 
     def put(text: str) -> None:
-        nonlocal block
+        nonlocal block, shared
         if not text:
             return
         if block is None:
-            chrome, framed = stack[-1][1:] if stack else (False, False)
-            block = Block(chrome, framed, any(n[0] == "h" and n[1:].isdigit() for n, _, _ in stack))
+            if not text.strip():
+                return
+            chrome, framed, depth = stack[-1][1:] if stack else (False, 0, 0)
+            block = Block(chrome, framed, any(n[0] == "h" and n[1:].isdigit() for n, *_ in stack), min(shared, depth))
+            shared = depth
             blocks.append(block)
         text = html.unescape(text)
         block.parts.append(text)
         if links:
             block.linked += len(text.strip())
 
+    def shut(k: int) -> None:
+        nonlocal shared
+        del stack[k:]
+        shared = min(shared, stack[-1][3] if stack else 0)
+
     while at < end:
         m = TOKEN.search(markup, at)
         if m is None:
@@ -127,83 +159,98 @@ def read_blocks(markup: str) -> list[Block]:
                 if stack[k][0] == name:
                     if any(stack[i][1] != (stack[k - 1][1] if k else False) for i in range(k, len(stack))):
                         block = None
-                    del stack[k:]
+                    shut(k)
                     break
                 if name not in SCOPE and stack[k][0] in SCOPE:
                     break
             continue
         if not m[4]:
             break  # the page broke off inside a tag
-        if name in RAW or name in SKIP:
-            if name in RAW and not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\s*(?:>|$)", re.I).search(markup, at)
-                at = close.end() if close else (end if name != "title" else at)
-            elif name == "head" or name in SKIP:
-                block = None
+        if name in RAW or name in MUTE:
+            if not m[3].rstrip().endswith("/"):
+                close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(markup, at)
+                if close is None:
+                    unclosed.add(name)
+                at = close.end() if close else at if name == "title" or name in MUTE else end
+            continue
+        if name in ("head", "option", "optgroup"):
             continue
         if name in BLOCKS:
             block = None
-            shut = CLOSES.get(name)
-            if shut:
+            closes = CLOSES.get(name)
+            if closes:
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in shut:
-                        del stack[k:]
+                    if stack[k][0] in closes:
+                        shut(k)
                         break
                     if stack[k][0] in SCOPE:
                         break
         if name in VOID:
             continue
-        chrome, framed = stack[-1][1:] if stack else (False, False)
-        own = chrome or _is_chrome(name, m[3], framed)
+        chrome, framed, depth = stack[-1][1:] if stack else (False, 0, 0)
+        own = chrome or _is_chrome(name, m[3], framed > 0)
         if own and not chrome:
             block = None
         if name == "a":
-            links += 1
-        stack.append((name, own, framed or name in FRAME))
+            links = 1
+        framed = 2 if name == "article" else max(framed, 1) if name == "main" else framed
+        stack.append((name, own, framed, depth + (name in BLOCKS and name not in LEAVES)))
     return blocks
 
 
-def _carried(labels: list[str]) -> list[str]:
-    """For each label the last decided one up to it."""
-    out, last = [], "bad"
-    for x in labels:
-        last = x if x in ("good", "bad") else last
-        out.append(last)
+def score(block: Block, text: str, frame: int) -> float:
+    """Pass one's score; `frame` is the kind of frame that the page has."""
+    words = LETTERS.findall(text.lower())
+    stops = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+    prose = min(max(KEEN * (stops - USUAL), LEAN[0]), LEAN[1]) * min(1.0, len(text) / SURE)
+    place = 0.0 if not frame else INSIDE if block.framed == frame else BESIDE if block.framed else OUTSIDE
+    return prose + LINK * min(1.0, block.linked / max(1, len(text))) + place
+
+
+def _carried(blocks: list[Block], up: list[int]) -> list[tuple[str, int]]:
+    """For each block the last decided label before it, and the depth of the element they share; up[i] is shared by i - 1 and i."""
+    out, last, depth = [], "", -1
+    for b, shared in zip(blocks, up, strict=True):
+        depth = min(depth, shared)
+        out.append((last, depth))
+        if b.label in ("good", "bad"):
+            last, depth = b.label, 1 << 30
     return out
 
 
 def classify(blocks: list[tuple[Block, str]]) -> None:
-    """Both passes; blocks are paired with their clean text."""
-    framed = any(b.framed and not b.chrome for b, _ in blocks)
+    """Both passes; blocks are paired with their clean text. Chrome is bad and not asked."""
+    asked, shared = [], []
+    low = 1 << 30
     for b, text in blocks:
-        density = b.linked / max(1, len(text))
-        words = text.lower().split()
-        stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
-        if b.chrome or framed and not b.framed:
+        low = min(low, b.shared)
+        if b.chrome:
             b.label = "bad"
-        elif b.framed:
-            b.label = "good"
-        elif density > LINKED:
+        else:
+            asked.append((b, text))
+            shared.append(low)
+            low = 1 << 30
+    frame = max((b.framed for b, _ in asked), default=0)
+    for b, text in asked:
+        value = score(b, text, frame)
+        b.label = "good" if value >= GOOD else "short" if len(text) < SHORT else "near"
+        if value <= BAD and not (frame and b.framed == frame):
             b.label = "bad"
-        elif len(text) < SHORT:
-            b.label = "short" if not b.linked else "bad"
-        elif stops >= DENSE or stops >= SPARSE and len(text) >= LONG:
+    some = any(b.label == "good" for b, _ in asked)
+    own = [b for b, _ in asked]
+    before = _carried(own, shared)
+    after = _carried(own[::-1], [0, *shared[:0:-1]][: len(own)])[::-1]
+    for (b, text), (x, dx), (y, dy) in zip(asked, before, after, strict=True):
+        if b.label not in ("short", "near"):
+            continue
+        if frame and b.framed == frame:  # only blocks of the article are its neighbours, and none of them is bad
             b.label = "good"
-        elif stops >= SPARSE:
-            b.label = "near"
+        elif not some:
+            b.label = "good" if 2 * b.linked <= len(text) else "bad"
+        elif x == y or x and dx > dy or y and dy > dx:
+            b.label = x if x == y or x and dx > dy else y
         else:
-            b.label = "bad" if len(text) < LONG else "near"
-    decided = [b.label for b, _ in blocks]
-    if not {"good", "bad"} & set(decided):  # nothing to go by: a page of short text only
-        decided = ["good"] * len(decided)
-    # the nearest decided label on each side, at any distance; beyond the ends of the page it is bad
-    before, after = _carried(decided), _carried(decided[::-1])[::-1]
-    for (b, _), x, y in zip(blocks, before, after, strict=True):
-        if b.label in ("short", "near"):
-            if x == y:
-                b.label = x
-            else:
-                b.label = "good" if b.label == "near" or b.head and y == "good" else "bad"
+            b.label = "good" if b.label == "near" or b.head and y == "good" else "bad"
 
 
 def main_text(markup: str | None) -> str:

@@ -461,6 +461,39 @@ def test_long_runs_of_short_blocks_take_the_label_of_both_sides(n):
     assert html_text.main_text(f"<body>{runs}</body>") == " ".join(items)  # nothing is decided: all is kept, as before
 
 
+def test_quotes_buttons_and_nested_frames():
+    cases = {
+        '<article><p>One <a href="x>two</a></p><p>three</p></article>': "One two three",
+        "<article><p title='a > b' class=\"it's\">One</p><p don't>two</article>": "One two",
+        "<article><p>One <button type=button>Share this</button> two</p><button>Like</button></article>": "One two",
+        "<article><button>kept, as it has no end<p>three</p></article>": "kept, as it has no end three",
+        "<main><div>Teaser</div><article><p>Body</p></article></main>": "Body",
+        '<article><div class="product-menu-item">Item</div><div class="main-menu">No</div><div class="ad-slot">No</div></article>': "Item",
+        "<article><p><a href=q>all linked</a></p></article>": "all linked",
+    }
+    for markup, want in cases.items():
+        assert html_text.main_text(markup) == want
+
+
+@pytest.mark.parametrize("frame", ["article", "main", "div", "section"])
+def test_pages_made_of_known_blocks(frame):
+    """Whatever the article's element is called, its blocks come back and the rest does not."""
+    rng = random.Random(len(frame))
+    stock = "the of and in to a is that house garden river winter quiet letter".split()
+    chrome = ["<nav><ul><li><a href='/x'>Home page</a><li><a href='/y'>More</a></ul></nav>", '<div class="ad">Buy the best of it in a shop</div>', "<aside><p>Other</p></aside>", "<footer>&copy; the site</footer>", "<form><label>Your name</label><input></form>", '<div class="cookie-notice">We use it</div>']
+    for _ in range(60):
+        blocks = [" ".join(rng.choice(stock) for _ in range(rng.choice([1, 2, 12, 40, 120]))) + rng.choice([".", " & co", " <x>", " caf\u00e9"]) for _ in range(rng.randint(1, 12))]
+        blocks.append(" ".join(rng.choice(stock) for _ in range(60)))
+        inner = ""
+        for b in blocks:
+            tag = rng.choice(["p", "h2", "div", "blockquote", "li"])
+            body = b.replace("&", rng.choice(["&amp;", "&#38;"])).replace("<", "&lt;").replace("\u00e9", rng.choice(["&eacute;", "&#xe9;", "\u00e9"])).replace(" ", rng.choice([" ", "\n  ", " <b>", " <i></i>"]), 1)
+            inner += f"<{tag} data-k='a>b'>{body}" + (f"</{tag}>" if rng.random() < 0.6 or tag in ("div", "blockquote") else "")
+        before, after = rng.sample(chrome, 2)
+        page = f"<!DOCTYPE html><html><head><title>T</title><script>var a = '<p>';</script></head><body>{before}<{frame}>{inner}</{frame}>{after}</body></html>"
+        assert html_text.main_text(page) == " ".join(blocks)
+
+
 def test_main_text_of_broken_and_empty_markup(spark):
     cases = {None: "", "": "", "<article><p>cut off in a <a hre": "cut off in a", "<article>a &amp b &#x41; &bogus; <!-- no": "a & b A &bogus;", "<article><p>" + "long " * 50_000: ("long " * 50_000).strip()}
     pages = spark.createDataFrame([(k, "u", h, "t") for k, h in enumerate(cases)] + [(0, "u", None, "t")], "page_id long, url string, html string, text string")

@@ -528,6 +528,50 @@ def test_license_places_and_labels(spark):
     assert license_scan.scan_licenses(frame(spark, EMPTY)).count() == 0
 
 
+def test_license_versions_and_families():
+    cases = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0",
+        "CC-BY-NC-SA 4.0": "cc-by-nc-sa-4.0",
+        "Creative Commons Attribution-ShareAlike 3.0 Unported": "cc-by-sa-3.0",
+        "https://creativecommons.org/licenses/by/4.0/": "cc-by-4.0",
+        "Licensed under the Apache License, Version 2.0": "apache,apache-2.0",
+        "SPDX-License-Identifier: MPL-2.0": "mpl-2.0",
+        "GNU Lesser General Public License v2.1": "gpl,lgpl-2.1",
+        "by the way, 4.0 of 5.0 nc": "",
+    }
+    for text, want in cases.items():
+        assert license_scan.scan_text(text)[5] == want
+    bsd = {label: text for label, text, _ in license_scan.TEMPLATES if label.startswith("bsd")}
+    assert license_scan.scan_text(bsd["bsd-2-clause"])[5] == "bsd-2-clause"
+    assert license_scan.scan_text(bsd["bsd-2-clause"] + " and " + bsd["bsd-3-clause"])[5] == "bsd-3-clause"
+    notice = next(t for label, t, _ in license_scan.family_templates() if label == "gpl-2.0-or-later").split()
+    assert license_scan.scan_text(" ".join([*notice[:9], *["extra"] * 4, *notice[9:]]))[5] == "gpl,gpl-2.0-or-later"  # within the drift
+    assert license_scan.scan_text(" ".join([*notice[:20], *["extra"] * 30, *notice[20:]]))[5] == "gpl"  # beyond it
+
+
+def test_license_index_matches_a_naive_alignment():
+    """Without the index: every template at every place of the file, word by word."""
+    templates = [(label, text, needed) for label, text, needed in [*license_scan.TEMPLATES, *license_scan.family_templates()] if len(text.split()) < license_scan.DRIFT]
+    index = license_scan.Index(templates)
+    rng = random.Random(12)
+    weights = [{k: w for of in index.postings.values() for u, k, w in of if u == t} for t in range(len(templates))]
+    for _ in range(150):
+        parts = [rng.choice(templates)[1] if rng.random() < 0.5 else rng.choice(["the gnu", "version 3", "cc by", "4 0", "licenses by nc", "license"]) for _ in range(6)]
+        words = [w.encode() for w in " ".join(parts).split() if rng.random() < 0.97]
+        want = Counter()
+        for t, (label, text, needed) in enumerate(templates):
+            mine, best = text.encode().split(), 0.0
+            for at in range(-len(mine) + 1, len(words)):
+                weight = sum(w for k, w in weights[t].items() if 0 <= at + k < len(words) and words[at + k] == mine[k])
+                here = b" " + b" ".join(words[max(0, at) : at + len(mine)]) + b" "
+                if weight >= (license_scan.LEAST - 1e-9) * index.total[t] and all(f" {p} ".encode() in here for p in needed):
+                    best = max(best, weight)
+            if best:
+                want[label, round(min(1.0, best / index.total[t]), 6)] += 1
+        assert Counter((x[0], x[3]) for x in index.findings(words)) == want
+
+
 def test_every_query_is_registered():
     from lodestone.llm.queries import QUERIES
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch handed to Python; very long texts make small batches.
@@ -19,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def has_table(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    try:
+        table(spark, sf_dir, name)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep what one Python worker holds small, whatever the lengths of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import has_table, table
 from .decontaminate import contamination_report
 from .html_text import extract_text
 from .license_scan import scan_licenses
 from .minhash_dedup import near_duplicates
 from .packing import pack
-from .quality import quality
+from .quality import fit_bands, quality
 from .sharding import shard_by_bytes
 from .suffix_dedup import remove_repeats
 from .toxicity import held_out, score, train
@@ -23,7 +23,9 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    floors = fit_bands(docs, table(spark, sf_dir, "labels")) if has_table(spark, sf_dir, "labels") else None
+    return quality(docs, floors=floors)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

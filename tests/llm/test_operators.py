@@ -159,33 +159,69 @@ def test_quality_counts_match_brute_force(docs, rows):
 
 
 def test_fertility_equals_whole_text_tokens(spark):
+    import base64
+
     import public_tokenizers
     import sentencepiece
+    import tiktoken
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    text = "The committee approved the yearly plan after a long and open debate about housing."
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    tokens = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = "The committee approved the yearly plan after a long and open debate about housing; the plan was the first of its kind."
     r = quality.quality(frame(spark, [(1, text), (2, "\u20bf\u20bf\u20bf \u20bf \U0001f9ff\U0001f9ff " * 9)])).orderBy("doc_id").collect()
-    assert r[0].n_tokens == len(model.encode(text)) and r[0].kept and r[0].fallback_share == 0
+    ids = tokens.encode_ordinary(" " + text)
+    counts = np.array(list(Counter(ids).values())) / len(ids)
+    assert (r[0].n_pieces, r[0].n_tokens) == (len(model.encode(text)), len(ids)) and r[0].kept and r[0].fallback_share == 0
+    chars = len(text.replace(" ", ""))
+    assert r[0].token_entropy == pytest.approx(-(counts * np.log2(counts)).sum()) and r[0].chars_per_token == pytest.approx(chars / len(ids)) and r[0].chars_per_piece == pytest.approx(chars / r[0].n_pieces)
     assert r[1].fallback_share > 0.8 and quality.quality(frame(spark, EMPTY)).count() == 0
 
 
-def test_a_text_of_one_word_and_symbols():
-    assert quality.repeated_words([b"a"] * 9) == 9 and quality.repeated_words([b"a"] * 5) == 0
-    assert quality.duplicate_lines(b"a\n\na\n \n \nb\na") == 2
+def test_quality_of_very_long_and_strange_texts(spark):
+    rows = [(1, "a" * 300_000), (2, "the plan of a house " * 30_000), (3, "\x00 \ufeff \u2028 \xa0 " * 20), (4, "\u3000" * 50), (5, "|" * 40 + " x" * 20)]
+    got = {r.doc_id: r for r in quality.quality(frame(spark, rows)).collect()}
+    assert got[1].n_words == 1 and got[1].word_chars == 300_000 and not got[1].kept
+    assert got[2].n_words == 150_000 and got[2].n_repeat_words == 150_000 and not got[2].kept and got[3].n_words == 80 and got[4].n_words == 1
+
+
+def test_the_memo_of_words_starts_afresh(monkeypatch):
+    texts = [" ".join(words(k, 50)) for k in range(6)]
+    whole = quality.Vocabulary(quality.vocabulary_paths())
+    whole.learn([w.encode() for t in texts for w in dict.fromkeys(t.split()) if w.encode() not in whole])
+    monkeypatch.setattr(quality, "MEMO_WORDS", 1)
+    small = quality.Vocabulary(quality.vocabulary_paths())
+    for t in texts:
+        some = [w.encode() for w in dict.fromkeys(t.split())]
+        small.learn(some)
+        number = lambda v: np.array([v[w.encode()] for w in t.split()])
+        assert small.fertility(number(small)) == whole_fertility(t, small.__class__)
+
+
+def whole_fertility(text, make):
+    fresh = make(quality.vocabulary_paths())
+    fresh.learn([w.encode() for w in dict.fromkeys(text.split())])
+    return fresh.fertility(np.array([fresh[w.encode()] for w in text.split()]))
 
 
-def test_the_language_has_a_floor_of_entropy(spark):
-    """A table of made-up words of few pieces is junk in a known language; real words are not."""
+def test_bands_of_languages_are_fitted_on_labelled_rows(spark):
+    """Junk of many short pieces in a language with labelled prose is turned away; prose, other languages and unknown ones are not."""
     rng = random.Random(4)
-    parts = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le".split()
-    word = lambda n: "".join(rng.choice(parts[:n]) for _ in range(rng.randint(2, 4)))
-    junk = " ".join(word(14) + " |" for _ in range(300))
-    plain = "the committee approved a plan for the old river bridge and its garden ".split()
-    real = " ".join(rng.choice(plain) + rng.choice(["", ",", "s"]) for _ in range(300))
-    rows = [(0, junk, "en"), (1, junk, "en-GB"), (2, junk, None), (3, junk, "xx"), (4, real, "en"), (5, junk, "de"), (6, junk, "fr"), (7, junk, "es")]
-    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert not any(r.base_failed for r in got.values()) and "language" not in got[0].asDict()
-    assert {i: r.kept for i, r in got.items()} == {0: False, 1: False, 2: True, 3: True, 4: True, 5: False, 6: False, 7: False}, {i: (r.n_tokens, r.chars_per_token, r.token_entropy) for i, r in got.items()}
+    plain = "the committee approved a plan for an old river bridge and its garden which people of many towns had wanted since winter".split()
+    prose = lambda k: " ".join(random.Random(k * 1000 + j).choice(plain) for j in range(150))
+    parts = "th he in er an re on at en nd ti es or te".split()
+    junk = lambda n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(2, 4))) + " |" for _ in range(n))
+    rows = [(k, prose(k), "en") for k in range(120)] + [(200, junk(300), "en"), (201, junk(300), "en-GB"), (202, junk(300), None), (203, junk(300), "xx"), (204, prose(9), "en"), (205, prose(3), "de"), (0, "again " * 99, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k < 200)) for k in [*range(120), *range(200, 206), 9999]] + [(None, 1), (5, None)], "doc_id long, quality int")
+    floors = quality.fit_bands(docs, labels)
+    assert set(floors) == {"en"}
+    got = {r.doc_id: r for r in quality.quality(docs, floors=floors).where("doc_id >= 200").collect()}
+    assert "language" not in got[204].asDict() and not any(r.base_failed for r in got.values())
+    assert {k: r.kept for k, r in got.items()} == {200: False, 201: False, 202: True, 203: True, 204: True, 205: True} and got[200].band_failed == "language"
+    assert quality.fit_bands(docs, labels.limit(0)) == {} and quality.fit_bands(docs, labels, max_fit=10) == {}
+    assert quality.quality(docs.where("doc_id < 120"), floors=floors).where("not kept").count() <= 4
 
 
 # 3

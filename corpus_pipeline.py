@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, table
+from lodestone.llm.common import has_table, materialize, table
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.minhash_dedup import near_duplicates
 from lodestone.llm.packing import pack
-from lodestone.llm.quality import quality
+from lodestone.llm.quality import fit_bands, quality
 from lodestone.llm.suffix_dedup import remove_repeats, row_key
 
 #: Two of the stages are not SQL (near-duplicate links, a tokeniser); tests hold the pipeline
@@ -24,7 +24,8 @@ ORACLE_SQL: str | None = None
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counts and the tokeniser's bands."""
     keyed = docs.withColumn("__key", row_key("doc_id", "text"))
-    judged = quality(keyed, id_col="__key").where("not kept").select("__key").distinct()
+    floors = fit_bands(docs, table(spark, sf_dir, "labels")) if has_table(spark, sf_dir, "labels") else None
+    judged = quality(keyed, id_col="__key", floors=floors).where("not kept").select("__key").distinct()
     return keyed.join(judged, "__key", "left_anti").drop("__key")
 
 

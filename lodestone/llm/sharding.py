@@ -1,17 +1,17 @@
 """Contiguous minimax sharding of atomic groups (equal texts), with DataFrame functions only.
 
-Groups are ordered by the MD5 of their text. The smallest capacity is sought with which a greedy
-walk over that order needs no more than the wanted shards, and the order is cut where that walk
-cuts. The walk runs on the driver over a histogram by MD5 prefix, of at most 65,536 sums; only
-buckets in which a cut may lie are split by one more digit, until each holds a single group, so
-what the driver holds doesn't grow with the rows and the result is exact.
+Groups are ordered by the MD5 of their text, and all of them are cut in that order. A shard is a run
+of groups within the capacity, or one group alone where that is larger than the capacity, as it can't
+be divided. The smallest capacity is sought with which a greedy walk needs no more than the wanted
+shards, and the order is cut where that walk cuts. So the largest shard is as small as any contiguous
+partition can have it, and one huge group doesn't let the other shards grow to its size.
 
-A group larger than an even share of what is left can't be divided: it gets a shard of its own,
-the last ones, and the others are shared out evenly over the rest (there are fewer such groups
-than shards).
+The walk runs on the driver over a histogram by MD5 prefix, of at most 65,536 sums; only buckets in
+which a cut may lie are split by one more digit, until each holds a single group, so what the driver
+holds doesn't grow with the rows and the result is exact.
 
-Places within a shard are numbered in two steps: rows are spread over SALTS cells by the MD5 of
-their id, cells are numbered by their counts, rows within their cell; so no task holds a shard.
+Places within a shard are numbered in two steps: rows are spread over cells by the MD5 of their
+id, cells are numbered by their counts, rows within their cell; so no task holds a shard.
 
 Cases: a null text is an empty one, of `overhead` bytes, and groups with it. Repeated rows have
 places of their own. A null id is a value like others. Extra columns are ignored. With fewer
@@ -33,29 +33,33 @@ SALT_DIGITS = 2
 
 
 class _Order:
-    """Ordered buckets (prefix, bytes, groups) and the walk over them."""
+    """Ordered buckets (prefix, bytes, groups, bytes of the largest group) and the walk over them."""
 
-    def __init__(self, items: list[tuple[str, int, int]]):
+    def __init__(self, items: list[tuple[str, int, int, int]]):
         self.items = sorted(items)
-        self.ends = [0, *accumulate(b for _, b, _ in self.items)]
+        self.ends = [0, *accumulate(x[1] for x in self.items)]
 
     def walk(self, capacity: int, shards: int) -> list[tuple[int, int]]:
         """Bounds of the position (bytes before it) of each cut of the greedy walk."""
+        ends, items, n = self.ends, self.items, len(self.items)
         lo = hi = 0
         cuts = []
         for _ in range(shards):
-            i = bisect_right(self.ends, lo + capacity) - 1  # whole buckets surely fit up to here
-            lo = self.ends[i]
-            j = bisect_right(self.ends, hi + capacity) - 1
-            single = j < len(self.items) and self.items[j][2] == 1
-            hi = self.ends[j] if j == len(self.items) or single else hi + capacity
+            i = bisect_right(ends, lo) - 1  # lo is always the start of a bucket
+            j = bisect_right(ends, lo + capacity) - 1  # whole buckets surely fit up to here
+            lo = ends[i + 1] if i == j < n and items[i][2] == 1 else ends[j]
+            i = bisect_right(ends, hi) - 1
+            j = bisect_right(ends, hi + capacity) - 1
+            far = ends[j] if j == n or items[j][2] == 1 else hi + capacity
+            # the shard may also be one large group of the bucket that it begins in
+            hi = max(far, min(ends[i + 1], hi + items[i][3])) if i < n and (items[i][2] > 1 or hi == ends[i]) else far
             cuts.append((lo, hi))
         return cuts
 
     def least(self, shards: int, sure: bool) -> int:
         """Smallest capacity whose walk surely (or possibly) reaches the end."""
         total = self.ends[-1]
-        low, high = -(-total // shards), total
+        low, high = 1, total
         while low < high:
             mid = (low + high) // 2
             if self.walk(mid, shards)[-1][0 if sure else 1] >= total:
@@ -79,8 +83,8 @@ class _Order:
 def _even_cuts(groups: DataFrame, shards: int) -> list[str]:
     """The prefix with which each shard but the first begins."""
 
-    def histogram(of: DataFrame, digits: int) -> list[tuple[str, int, int]]:
-        return [tuple(r) for r in of.groupBy(F.substring("grp", 1, digits).alias("prefix")).agg(F.sum("bytes"), F.count("*")).collect()]
+    def histogram(of: DataFrame, digits: int) -> list[tuple[str, int, int, int]]:
+        return [tuple(r) for r in of.groupBy(F.substring("grp", 1, digits).alias("prefix")).agg(F.sum("bytes"), F.count("*"), F.max("bytes")).collect()]
 
     digits = FIRST_DIGITS
     order = _Order(histogram(groups, digits))
@@ -106,18 +110,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("grp")))
     groups = materialize(rows.groupBy("grp").agg(F.sum("size").alias("bytes")))
-    rest = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    alone: list[str] = []
-    for grp, size in groups.orderBy(F.desc("bytes"), "grp").limit(shards).collect():
-        if size * (shards - len(alone)) <= rest:
-            break
-        alone.append(grp)
-        rest -= size
-    others = groups.where(~F.col("grp").isin(alone)) if alone else groups
-    cuts = _even_cuts(others, shards - len(alone)) if shards > len(alone) else []
+    cuts = _even_cuts(groups, shards)
     shard = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<string>"), lambda c: c <= F.col("grp")))
-    for k, grp in enumerate(alone):
-        shard = F.when(F.col("grp") == grp, shards - len(alone) + k).otherwise(shard)
     placed = rows.select("*", shard.cast("int").alias("shard"), F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, SALT_DIGITS).alias("salt"))
     counts = placed.groupBy("shard", "salt").agg(F.count("*").alias("k"))
     before = Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -227,21 +227,23 @@ def test_bands_of_languages_are_fitted_on_labelled_rows(spark):
 # 3
 
 
-def minimax(sizes: list[int], shards: int) -> int:
-    def fits(most):
-        used, at = 1, 0
-        for s in sizes:
-            if s > most:
-                return False
-            if at + s > most:
-                used, at = used + 1, 0
-            at += s
-        return used <= shards
-
+def shards_used(sizes: list[int], most: int, alone: bool) -> int:
+    used, at = 0, most + 1
+    for x in sizes:
+        if at + x > most:
+            used, at = used + 1, 0
+        at += x
+        if x > most and not alone:
+            return len(sizes) + 10**6
+    return used
+
+
+def least_capacity(sizes: list[int], shards: int, alone: bool) -> int:
+    """By search over all capacities; with `alone`, a group above it may be a shard by itself."""
     low, high = 1, sum(sizes)
     while low < high:
         mid = (low + high) // 2
-        low, high = (low, mid) if fits(mid) else (mid + 1, high)
+        low, high = (low, mid) if shards_used(sizes, mid, alone) <= shards else (mid + 1, high)
     return low
 
 
@@ -260,14 +262,40 @@ def test_shards_are_minimax_and_whole(docs, rows, monkeypatch, digits, shards):
         totals[r.shard] += r["size"]
         held[group[r.doc_id]] += r["size"]
     assert all(sorted(p) == list(range(len(p))) for p in places.values()) and all(len(s) == 1 for s in where.values())
-    rest, alone = sum(held.values()), []
-    for g, b in sorted(held.items(), key=lambda x: (-x[1], x[0])):
-        if b * (shards - len(alone)) <= rest:
+    order = sorted(held)
+    assert [min(where[g]) for g in order] == sorted(min(where[g]) for g in order)  # contiguous
+    sizes = [held[g] for g in order]
+    most = least_capacity(sizes, shards, alone=True)
+    groups = Counter(min(x) for x in where.values())
+    assert all(t <= most or groups[k] == 1 for k, t in totals.items()) and max(totals.values()) == least_capacity(sizes, shards, alone=False)
+    assert max(totals) < shards
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_the_walk_over_buckets_is_exact(seed):
+    """Buckets of one group each against coarse ones that are split where needed."""
+    rng = random.Random(seed)
+    groups = {f"{rng.randrange(16**4):04x}": rng.choice([20, 30, 50, 90, 5000]) if rng.random() < 0.9 else rng.randrange(1, 20_000) for _ in range(rng.randint(1, 60))}
+    shards = rng.randint(1, 12)
+
+    def buckets(digits, wanted=None):
+        found = defaultdict(list)
+        for g, x in groups.items():
+            if wanted is None or any(g.startswith(w) for w in wanted):
+                found[g[:digits]].append(x)
+        return [(p, sum(x), len(x), max(x)) for p, x in found.items()]
+
+    digits, order = 1, sharding._Order(buckets(1))
+    while True:
+        low, high = order.least(shards, sure=False), order.least(shards, sure=True)
+        split = order.unsure(low, high, shards)
+        if not split:
             break
-        alone.append(g)
-        rest -= b
-    others = [held[g] for g in sorted(held) if g not in alone]
-    assert max(t for s, t in totals.items() if s < shards - len(alone)) == minimax(others, shards - len(alone))
+        digits += 1
+        order = sharding._Order([x for x in order.items if x[0] not in split] + buckets(digits, split))
+    sizes = [groups[g] for g in sorted(groups)]
+    assert order.least(shards, sure=True) == least_capacity(sizes, shards, alone=True)
+    assert order.walk(order.least(shards, sure=True), shards) == sharding._Order(buckets(4)).walk(least_capacity(sizes, shards, alone=True), shards)
 
 
 def test_shards_of_nothing(spark):

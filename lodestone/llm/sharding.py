@@ -10,8 +10,9 @@ The walk runs on the driver over a histogram by MD5 prefix, of at most 65,536 su
 which a cut may lie are split by one more digit, until each holds a single group, so what the driver
 holds doesn't grow with the rows and the result is exact.
 
-Places within a shard are numbered in two steps: rows are spread over cells by the MD5 of their
-id, cells are numbered by their counts, rows within their cell; so no task holds a shard.
+Places within a shard are numbered in two steps: rows are dealt to cells of about CELL rows by a
+number of their own, whatever their values; cells are numbered by their counts, rows within their
+cell; so no task holds a shard.
 
 Cases: a null text is an empty one, of `overhead` bytes, and groups with it. Repeated rows have
 places of their own. A null id is a value like others. Extra columns are ignored. With fewer
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 FIRST_DIGITS = 4
-SALT_DIGITS = 2
+#: Rows of a cell of places; cells whose counts may be broadcast.
+CELL, MAX_CELLS = 50_000, 200_000
 
 
 class _Order:
@@ -108,19 +110,20 @@ def _even_cuts(groups: DataFrame, shards: int) -> list[str]:
 def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for each row of `docs`."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = materialize(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("grp")))
+    rows = materialize(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("grp"), F.monotonically_increasing_id().alias("n")))
     groups = materialize(rows.groupBy("grp").agg(F.sum("size").alias("bytes")))
     cuts = _even_cuts(groups, shards)
     shard = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<string>"), lambda c: c <= F.col("grp")))
-    placed = rows.select("*", shard.cast("int").alias("shard"), F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, SALT_DIGITS).alias("salt"))
+    salts = -(-rows.count() // (CELL * shards)) + 16
+    placed = rows.select("*", shard.cast("int").alias("shard"), F.pmod("n", F.lit(salts)).alias("salt"))
     counts = placed.groupBy("shard", "salt").agg(F.count("*").alias("k"))
     before = Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "salt", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"))
-    # the table of cells has at most shards * 16 ** SALT_DIGITS rows
-    within = Window.partitionBy("shard", "salt").orderBy("id", "size", "text_crc32", "grp")
+    counts = F.broadcast(counts) if salts * shards <= MAX_CELLS else counts
+    within = Window.partitionBy("shard", "salt").orderBy("n")
     return (
         placed.withColumn("at", F.row_number().over(within))
-        .join(F.broadcast(counts), ["shard", "salt"])
+        .join(counts, ["shard", "salt"])
         .select(
             F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("at") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
         )

@@ -1,11 +1,12 @@
 """Best-fit packing of tokenised documents into fixed sequences by minimum bin slack.
 
 Only documents longer than a sequence are cut; all but their first piece fill sequences of their
-own. What is left are pieces of 1 to SIZE tokens, of which only the histogram of lengths matters:
-at most SIZE counts, whatever the corpus. For each bin, subset-sum dynamic programming on a bitset
-over the available lengths, longest first, finds the fullest combination that still can be made,
-which is then removed as many times as the counts allow at once. The rows are dealt to the bins by
-their rank among the pieces of equal length; ranks are counted over salted cells first, so that no
+own, which are numbered below zero without any shuffle. What is left are pieces of fewer than SIZE
+tokens, of which only the histogram of lengths matters: fewer than SIZE counts, whatever the corpus.
+For each bin, subset-sum dynamic programming on a bitset over the available lengths, longest first,
+finds the fullest combination that still can be made, which is then removed as many times as the
+counts allow at once. The rows are dealt to the bins by their rank among the pieces of equal length;
+ranks are counted over cells of about CELL rows first, dealt by a number of their own, so that no
 task holds all pieces of a length.
 
 Cases: a null or empty text is the end token alone. Repeated rows are packed each. A null id is a
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 
 SIZE, END = 1024, 2
-SALTS = 64
+#: Rows of a cell of ranks; cells whose counts may be broadcast.
+CELL, MAX_CELLS = 50_000, 200_000
 VOCABULARY = "byte_bpe_50k"
 
 
@@ -175,14 +177,22 @@ def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, paths: tuple[str, str] | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) for each piece."""
-    cut = materialize(tokenized_pieces(docs, id_col, text_col, size, end, paths))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    cells = salted.groupBy("length", "salt").agg(F.count("*").alias("k"))  # at most size * SALTS rows
+    cut = materialize(tokenized_pieces(docs, id_col, text_col, size, end, paths).withColumn("n", F.monotonically_increasing_id()))
+    kept = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32"]
+    full = cut.where(F.col("length") == size).select(*kept, (-1 - F.col("n")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = cut.where(F.col("length") < size)
+    counts = {n: c for n, c in rest.groupBy("length").count().collect()}  # fewer than `size` numbers
+    salts = {n: -(-c // CELL) for n, c in counts.items()}
+    # length n is dealt to salts[n] cells; lengths are small, so an array holds them
+    of = F.get(F.array(*[F.lit(salts.get(n, 1)) for n in range(size)]), F.col("length").cast("int"))
+    salted = rest.withColumn("salt", F.pmod("n", of))
+    cells = salted.groupBy("length", "salt").agg(F.count("*").alias("k"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select("length", "salt", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"))
-    counts = {n: c for n, c in cut.groupBy("length").count().collect()}
-    within = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
-    ranked = salted.withColumn("at", F.row_number().over(within)).join(F.broadcast(offsets), ["length", "salt"])
-    ranked = ranked.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("at") - 1).alias("rank"))
+    offsets = F.broadcast(offsets) if sum(salts.values()) <= MAX_CELLS else offsets
+    within = Window.partitionBy("length", "salt").orderBy("n")
+    ranked = salted.withColumn("at", F.row_number().over(within)).join(offsets, ["length", "salt"])
+    ranked = ranked.select(*kept, (F.col("before") + F.col("at") - 1).alias("rank"))
     kind = ranked.schema[id_col].dataType.simpleString()
-    return ranked.mapInPandas(partial(_deal, places=_places(fill(counts, size))), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    dealt = ranked.mapInPandas(partial(_deal, places=_places(fill(counts, size))), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return full.unionByName(dealt)

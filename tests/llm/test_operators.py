@@ -469,11 +469,14 @@ def test_fill_uses_each_piece_once_and_finds_full_bins():
 # 8
 
 
-def test_url_rules_match_brute_force(spark):
+@pytest.mark.parametrize("share", [100_000, 7])
+def test_url_rules_match_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(url_filter, "SHARE", share)
     rng = random.Random(6)
-    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "a.net", ""), ("allow", "b.a.net", "/x"), ("block", "ample.com", "/en/"), ("block", "b.a.net", "/x/y")]
-    hosts = ["example.com", "WWW.Example.com", "m.www.example.com", "a.net", "b.a.net", "c.b.a.net", "net", "com", "xample.com", "anet", "", "EXAMPLE.com.", "é.net"]
-    urls = [f"{rng.choice(['http', 'https', 'HTTP'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/en', '/es/1', '/x', '/x/y/z', '?/en/', '#a', '/a?b#c', '/en/?q://z/'])}" for _ in range(400)]
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "a.net", ""), ("allow", "b.a.net", "/x"), ("block", "ample.com", "/en/"), ("block", "b.a.net", "/x/y"), ("allow", "example.com", "/en/"), ("block", "a.com", ""), *(("block", "many.org", f"/{k % 17}" + "/a" * (k % 5)) for k in range(85))]
+    hosts = ["a\x01b.com", "b\x01.a.com", "a\x02b.com", "x.many.org", "many.org", "example.com", "WWW.Example.com", "m.www.example.com", "a.net", "b.a.net", "c.b.a.net", "net", "com", "xample.com", "anet", "", "EXAMPLE.com.", "é.net"]
+    urls = [f"{rng.choice(['http', 'https', 'HTTP'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/en', '/es/1', '/x', '/x/y/z', '?/en/', '#a', '/a?b#c', '/en/?q://z/', '/3/a/a/b', '/16/a/a/a/a/a', '/1', '/30'])}" for _ in range(900)]
+    urls.append("http://m.a.net/" + "x" * 200_000)
     urls += [None, "", "nothing", "a.com/en/", "://", "http://"]
     pages = spark.createDataFrame([(k, u, "com", 1) for k, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string, part int")
     got = url_filter.judge_urls(pages, url_filter.rule_table(spark, rules)).collect()
@@ -484,6 +487,7 @@ def test_url_rules_match_brute_force(spark):
         host = "".join(c.lower() if c.isascii() else c for c in m[1]) if m else ""
         path = m[2] if m else ""
         fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        fit = [(n, h, v) for n, h, v in fit if v == min(w for _, g, w in fit if g == h)]  # equal rules: the first verdict
         best = max(fit, default=None)
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best and best[1], best[2] if best else "allow")
     assert url_filter.judge_urls(pages.limit(0), url_filter.rule_table(spark)).count() == 0

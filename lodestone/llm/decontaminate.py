@@ -2,9 +2,10 @@
 
 Windows of SIZE consecutive normalised words of each benchmark item (all words of a shorter item)
 form the set to look for. A window of a document holds exactly one run of GRAM words that starts
-at a multiple of SIZE - GRAM + 1, so only those runs are hashed and looked up in a fixed bitmap
-of the runs in the set, which travels with the tasks (SLOTS bytes, whatever the benchmark). The
-few windows around a run that passes are joined with the set on their whole text, which is the
+at a multiple of SIZE - GRAM + 1, so only those runs are hashed and looked up in a map of the runs in
+the set, which travels with the tasks. It has SPARE slots for each window, counted, and between
+LEAST_SLOTS and MOST_SLOTS of them (a byte each); a set that outgrows it has more windows looked up in
+vain, and the same hits. The few windows around a run that passes are joined with the set on their whole text, which is the
 verification; the set is broadcast while it has at most MAX_SET windows, which is counted, and
 joined by shuffle beyond. The words that hits cover are merged per document.
 
@@ -22,10 +23,14 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SIZE = 13
 GRAM = 5
-#: Size of the bitmap (a byte a slot); each run of words has two slots.
-SLOTS = 1 << 17
+#: Size of the map (a byte a slot); each run of words has two slots.
+LEAST_SLOTS, MOST_SLOTS, SPARE = 1 << 17, 1 << 24, 16
+#: The eight slots of a byte of eight bits, the lowest first.
+_UNPACKED = [bytes(b >> k & 1 for k in range(8)) for b in range(256)]
 #: Windows that may be broadcast, of some hundred bytes each.
 MAX_SET = 50_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,28 +49,32 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return each.groupBy("window", "width").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _slots(h: Column) -> list[Column]:
-    return [h.bitwiseAND(SLOTS - 1).cast("int"), F.shiftrightunsigned(h, 40).bitwiseAND(SLOTS - 1).cast("int")]
+def slots_for(n_windows: int) -> int:
+    """A power of two."""
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (SPARE * n_windows - 1).bit_length()))
+
+
+def _slots(h: Column, slots: int) -> list[Column]:
+    return [h.bitwiseAND(slots - 1).cast("int"), F.shiftrightunsigned(h, 40).bitwiseAND(slots - 1).cast("int")]
 
 
-def _bitmap(windows: DataFrame, width: int, gram: int) -> bytes:
-    """Which slots are taken by the runs of `gram` words of the windows: at most SLOTS numbers."""
+def _map(windows: DataFrame, width: int, gram: int, slots: int) -> bytes:
+    """Which slots are taken by the runs of `gram` words of the windows; gathered as bitmaps of 4 KB."""
     runs = windows.where(F.col("width") == width).select(F.split("window", " ").alias("w"))
     runs = runs.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(width - gram + 1)), lambda p: F.xxhash64(F.slice("w", p, F.lit(gram))))).alias("h"))
-    bits = bytearray(SLOTS)
-    for (slot,) in runs.select(F.explode(F.array(*_slots(F.col("h")))).alias("slot")).distinct().collect():
-        bits[slot] = 1
-    return bytes(bits)
+    taken = runs.select(F.explode(F.array(*_slots(F.col("h"), slots))).alias("slot"))
+    parts = dict(taken.groupBy(F.shiftright("slot", 15)).agg(F.bitmap_construct_agg((F.col("slot") % 32768).cast("long"))).collect())
+    return b"".join(b"".join(map(_UNPACKED.__getitem__, parts[k])) if k in parts else bytes(32768) for k in range(slots // 32768))
 
 
-def _candidates(windows: DataFrame, width: int) -> Column:
-    """Windows of `words` whose run of words at a multiple of the stride passes the bitmap."""
+def _candidates(windows: DataFrame, width: int, slots: int) -> Column:
+    """Windows of `words` whose run of words at a multiple of the stride passes the map."""
     gram = min(GRAM, width)
     stride = width - gram + 1
-    bits, n = F.lit(_bitmap(windows, width, gram)), F.size("words")
+    bits, n = F.lit(_map(windows, width, gram, slots)), F.size("words")
 
     def passes(q: Column) -> Column:
-        one, two = _slots(F.xxhash64(F.slice("words", q + 1, F.lit(gram))))
+        one, two = _slots(F.xxhash64(F.slice("words", q + 1, F.lit(gram))), slots)
         return (F.substring(bits, one + 1, F.lit(1)) == F.lit(b"\x01")) & (F.substring(bits, two + 1, F.lit(1)) == F.lit(b"\x01"))
 
     def around(q: Column) -> Column:
@@ -84,9 +93,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     spans: the word ranges that are hit, merged: (first word from 0, words).
     """
-    windows = benchmark_windows(benchmark, item_col, "text", size)
-    widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # at most `size` numbers
-    inside = windows.count() <= max_set
+    windows = materialize(benchmark_windows(benchmark, item_col, "text", size))
+    widths = dict(sorted(windows.groupBy("width").count().collect()))  # at most `size` numbers
+    inside = sum(widths.values()) <= max_set
     row = F.struct(F.lit(-1).alias("p"), F.lit(0).alias("width"), F.lit(None).cast("string").alias("window"))
     # explode_outer of a single element keeps the optimiser from copying the splitting of the text
     # into the lambdas below, where it would run once for each window
@@ -94,7 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.col(id_col).alias("id"), F.xxhash64(F.col(text_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")))).alias("fingerprint"), F.explode_outer(F.array(word_array(F.col(text_col)))).alias("words")
     )
     # the first element stands for the row itself, so that rows without hits stay and copies are counted
-    rows = base.select("id", "fingerprint", F.size("words").cast("long").alias("n_words"), F.explode_outer(F.concat(F.array(row), *[_candidates(windows, w) for w in widths])).alias("hit"))
+    rows = base.select("id", "fingerprint", F.size("words").cast("long").alias("n_words"), F.explode_outer(F.concat(F.array(row), *[_candidates(windows, w, slots_for(n)) for w, n in widths.items()])).alias("hit"))
     rows = rows.select("id", "fingerprint", "n_words", "hit.*")
     known_windows = windows.select("window", "items")
     joined = rows.join(F.broadcast(known_windows) if inside else known_windows, "window", "left").where("p < 0 or items is not null")

@@ -328,8 +328,13 @@ def contaminated(rows, items):
     return out
 
 
+def test_the_map_of_runs_grows_with_the_benchmark():
+    assert [decontaminate.slots_for(n) for n in (0, 8192, 8193, 10**9)] == [1 << 17, 1 << 17, 1 << 18, 1 << 24]
+
+
 @pytest.mark.parametrize("most", [0, 50_000])
 def test_contamination_matches_brute_force(spark, docs, rows, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "LEAST_SLOTS", 1 << 16)
     texts = [t for _, t in rows if t and len(t.split()) > 60]
     items = [(7, " ".join(texts[0].split()[5:30])), (8, texts[4].upper()), (9, "one, TWO"), (10, None), (11, "..."), (12, " ".join(texts[0].split()[20:33])), (8, texts[4].upper()), (13, "É" + " é x" * 9)]
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -43,6 +43,8 @@ def scratch(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
@@ -58,7 +60,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame, shuffles: bool = True) -> None:
     """Delete materialised tables that nothing will read again, and let go of finished shuffles.
 
     Spark deletes the files of a shuffle once the driver's garbage collector has met it.
@@ -68,7 +70,7 @@ def discard(*tables: DataFrame) -> None:
         if path:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-    if tables:
+    if tables and shuffles:
         gc.collect()
         tables[0].sparkSession._jvm.System.gc()
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     `edges` has columns a and b of one comparable type; loops, repeats and nulls are ignored.
     Nothing is collected: each round is two aggregations and two joins on edge lists, ended when
-    the edge list no longer changes, and cut from its lineage by a table in the shared folder.
+    the edge list no longer changes, and cut from its lineage by a table in the shared folder. The
+    tables of former rounds are deleted; discard() deletes the one that the result reads.
     """
     kind = edges.schema["a"].dataType.simpleString()
     edges = edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
@@ -52,7 +53,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = materialize(small.where("a <> b").distinct())
+        before, edges = edges, materialize(small.where("a <> b").distinct())
+        discard(before, large, shuffles=False)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break
@@ -61,4 +63,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     out = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    out.lodestone_path = edges.lodestone_path
     return out

@@ -11,9 +11,11 @@ registers are about as likely as the Jaccard similarity.
    the families within which all links lie. A pair of similarity 0.8 shares no key at all with a
    probability of about 5e-8.
 3. Within a family, pairs are judged by a likelihood-ratio test on (register greater, equal, less)
-   given both set sizes, then confirmed on the full sets, unless both are connected already.
-   Families of more than BLOCK classes are dealt out as pairs of blocks, so that no task holds
-   more than two blocks, and every pair is still looked at exactly once.
+   given both set sizes, then confirmed on the full sets, unless both are connected already. The
+   test turns away a pair at the threshold with a chance below 1e-7.
+   Families of more than BLOCK classes or BLOCK_BYTES of sets are dealt out as pairs of blocks, so
+   that no task holds more than about two blocks, and every pair is still looked at exactly once.
+   That is quadratic in the family's blocks, and the price of losing no link.
 4. Connected components of the confirmed links; the least document id stands for each.
 
 Cases: null or wordless text has the empty set, is linked with nothing, and is kept. Repeated rows
@@ -34,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mix, shingle_hashes, slices, small_batches
+from .common import WordHashes, discard, materialize, mix, shingle_hashes, slices, small_batches
 from .components import components
 
 M, ROWS = 128, 4
 BASE, RATE = 1.001, 20.0
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
 #: Twice the log-likelihood ratio above which a pair is held to be below the threshold.
 REJECT = 32.0
 
@@ -169,22 +171,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema["id"].dataType.simpleString()
     sketched = materialize(docs.mapInArrow(partial(_sketch, size=words), f"id {kind}, mark long, n long, sig binary, regs binary"))
     classes = sketched.where("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("row"), F.first("n").alias("size"), F.first("regs").alias("regs"))
-    classes = classes.select("sig", "row.id", "row.mark", "size", "regs")
+    classes = materialize(classes.select("sig", "row.id", "row.mark", "size", "regs"))
     width = 2 * ROWS
     keyed = classes.select("sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(M // ROWS - 1)), lambda k: F.substring("regs", k * width + 1, F.lit(width)))).alias("band", "key"))
     keyed = keyed.select("sig", F.xxhash64("band", "key").alias("key"))
     leaders = materialize(keyed.groupBy("key").agg(F.min("sig").alias("b"), F.count("*").alias("k")).where("k > 1").select("key", "b"))
-    family = materialize(components(keyed.join(leaders, "key").select(F.col("sig").alias("a"), "b")).select(F.col("node").alias("sig"), F.col("root").alias("family")))
+    grown = components(keyed.join(leaders, "key").select(F.col("sig").alias("a"), "b"))
+    family = materialize(grown.select(F.col("node").alias("sig"), F.col("root").alias("family")))
+    discard(leaders, grown, shuffles=False)
     members = classes.join(family, "sig").withColumnsRenamed({"id": "own", "mark": "own_mark"})
     texts = docs.join(members, (F.col("mark") == F.col("own_mark")) & F.col("id").eqNullSafe(F.col("own"))).select("text", "sig", "family", "size", "regs")
     sets = texts.mapInArrow(partial(_sets, size=words), "sig binary, family binary, size long, regs binary, shingles binary")
-    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     spread = sets.dropDuplicates(["sig"]).join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     # block x meets every block y >= x once, in the group of that pair
     dealt = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "sig", "size", "regs", "shingles", "family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.col("block").alias("side")
     )
-    links = dealt.groupBy("family", "lo", "hi").applyInPandas(partial(_links, num=num, den=den), "a binary, b binary")
+
+    def linked_pairs(group: pd.DataFrame) -> pd.DataFrame:
+        return _links(group, num, den)
+
+    links = dealt.groupBy("family", "lo", "hi").applyInPandas(linked_pairs, "a binary, b binary")
     joined = components(links)
     label = joined.join(classes.select(F.col("sig").alias("node"), "id"), "node").select("node", "root", "id")
     least = label.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -192,6 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = classes.select("sig", F.col("id").alias("own"))
     # written, so that the join below has a shuffle on both sides and a class of many copies is split
     result = materialize(alone.join(linked, "sig", "left").select("sig", F.coalesce("component_id", "own").alias("component_id")))
+    discard(family, joined, classes, shuffles=False)
     return sketched.select("id", "n", "sig").join(result, "sig", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), (F.col("id").eqNullSafe(F.coalesce("component_id", "id"))).alias("kept")
     )

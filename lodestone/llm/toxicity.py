@@ -7,7 +7,7 @@ two features' numbers score their joint presence, which additive weights miss. I
 driver on at most MAX_FIT labelled rows, the first by a hash of the id, and sent to the tasks as
 two small tables.
 
-Cases: null and empty texts have no features and score the base rate. Without labels the score is
+Cases: null and empty texts have no features and score the model's bias, the rate among texts without any term. Without labels the score is
 one half everywhere. Labels that are null are left out. Repeated rows give repeated results. Extra
 columns are ignored. An empty table gives no rows.
 """
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most max_fit rows are broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("id", "label", "text")
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(_features, f"id {kind}, label int, slots binary").dropDuplicates(["id"]).orderBy("id").toArrow()
+    got = rows.mapInArrow(_features, f"id {kind}, label int, slots binary").groupBy("id").agg(F.min("slots").alias("slots"), F.first("label").alias("label")).orderBy("id").toArrow()
     slots = [np.frombuffer(b, np.int32) for b in got.column("slots").to_pylist()]
     return fit(slots, np.array(got.column("label").to_pylist(), np.int64))
 

@@ -49,13 +49,13 @@ _ABSENT = 256
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = np.array(batch.column(0).to_pylist(), np.int64)
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        keys, lows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
         for i, j in slices([len(t) for t in texts], CHUNK):
             r = Runs(texts[i:j])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r.anchor.view(np.int64)), pa.array(keys[i:j][r.text]), pa.array(r.first.astype(np.int32)), pa.array(r.count.astype(np.int32)), pa.array(r.fragment.view(np.int64)),
-                 pa.array(np.where(r.ties > 1, -1, r.at).astype(np.int32))], names=["anchor", "key", "first", "count", "fragment", "at"],
+                [pa.array(r.anchor.view(np.int64)), pa.array(keys[i:j][r.text]), pa.array(lows[i:j][r.text]), pa.array(r.first.astype(np.int32)), pa.array(r.count.astype(np.int32)), pa.array(r.fragment.view(np.int64)),
+                 pa.array(np.where(r.ties > 1, -1, r.at).astype(np.int32))], names=["anchor", "key", "low", "first", "count", "fragment", "at"],
             )
 
 
@@ -142,48 +142,58 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fragment makes as many rows as its period has bytes.
     """
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
+    names = ["anchor", "fragment", "one", "two", "n", "spans"]
     for batch in batches:
+        held: list[list] = [[] for _ in names]
         for anchor, fragment, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             one, two = window_hashes(body, 1), window_hashes(body, 2)
             _, first, inverse, count = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
             spans = [[{"start": int(f), "stop": int(f) + 1}] if c == 1 else [] for f, c in zip(first, count, strict=True)]
             n = len(first)
             columns = [[anchor] * (n + 1), [fragment] * (n + 1), [*one[first].view(np.int64).tolist(), None], [*two[first].view(np.int64).tolist(), None], [*count.tolist(), 0], [*spans, _spans(count[inverse] > 1)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "fragment", "one", "two", "n", "spans"])
+            for all_, some in zip(held, columns, strict=True):
+                all_ += some
+            if len(held[0]) >= BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds, strict=True)], names=names)
+                held = [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds, strict=True)], names=names)
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(id_col, text_col)
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """128 bits of a row's id and text, as two numbers."""
+    return [F.xxhash64(id_col, text_col).alias("key"), F.xxhash64(F.lit(7), text_col, id_col).alias("low")]
 
 
 _SPANS = "array<struct<start: int, stop: int>>"
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, spans): for each row key with repeated windows, the ranges of their first bytes."""
+    """(key, low, spans): for each row key with repeated windows, the ranges of their first bytes."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    runs = materialize(rows.mapInArrow(_runs, "anchor long, key long, first int, count int, fragment long, at int"))
+    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    runs = materialize(rows.mapInArrow(_runs, "anchor long, key long, low long, first int, count int, fragment long, at int"))
     many = runs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("fragment") != F.max("fragment")).alias("several"), (F.min("at") < 0).alias("periodic"))
     many = materialize(many.where("n > 1 or periodic").drop("n"))
     again = materialize(runs.join(many, "anchor"))
     discard(runs, many)
     pieces = again.groupBy("anchor", "fragment").agg(
-        F.count("*").alias("n"), F.min(F.struct("key", "first", "count", "at")).alias("one"), F.first("several").alias("several"), F.first("periodic").alias("periodic"), F.max("count").alias("count")
+        F.count("*").alias("n"), F.min(F.struct("key", "low", "first", "count", "at")).alias("one"), F.first("several").alias("several"), F.first("periodic").alias("periodic"), F.max("count").alias("count")
     )
     pieces = materialize(pieces)
     open_ = pieces.where("several or periodic")
     # written, so that the join with it has a shuffle on both sides and hot anchors are split
     hot = materialize(open_.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("anchor", F.lit(True).alias("hot")))
     wanted = open_.join(hot, "anchor", "left").select("anchor", "fragment", "one.*", (F.col("periodic") | F.coalesce("hot", F.lit(False))).alias("loose"))
-    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "fragment", "first", "count", "at", "loose")).alias("runs"))
-    bodies = rows.join(wanted, "key").select("text", "runs").mapInArrow(_cut, "anchor long, fragment long, at int, loose boolean, body binary")
+    wanted = wanted.groupBy("key", "low").agg(F.collect_list(F.struct("anchor", "fragment", "first", "count", "at", "loose")).alias("runs"))
+    bodies = rows.join(wanted, ["key", "low"]).select("text", "runs").mapInArrow(_cut, "anchor long, fragment long, at int, loose boolean, body binary")
     bodies = materialize(bodies)
     discard(hot)
     firm = bodies.where("not loose").dropDuplicates(["anchor", "fragment"]).repartition("anchor").sortWithinPartitions("anchor", "fragment")
     solved = firm.select("anchor", "fragment", "at", "body").mapInPandas(_transform, f"anchor long, fragment long, spans {_SPANS}")
-    loose = bodies.where("loose").dropDuplicates(["anchor", "fragment"]).select("anchor", "fragment", "body")
+    # few bytes that make many rows: dealt out by number, so that they are not put together again
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    loose = bodies.where("loose").dropDuplicates(["anchor", "fragment"]).select("anchor", "fragment", "body").repartition(wide, "fragment")
     loose = materialize(loose.mapInArrow(_windows, f"anchor long, fragment long, one long, two long, n int, spans {_SPANS}"))
     single = loose.where("n = 1")
     twice = loose.where("n > 0").groupBy("one", "two").agg(F.sum("n").alias("k")).where("k > 1").select("one", "two")
@@ -192,8 +202,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = pieces.where("n > 1").select("anchor", "fragment", F.array(F.struct(F.lit(0).alias("start"), F.col("count").alias("stop"))).alias("spans"))
     spans = materialize(whole.unionByName(solved).unionByName(counted))
     discard(bodies, loose, pieces)
-    each = again.join(spans, ["anchor", "fragment"]).select("key", F.explode("spans").alias("s"), "first")
-    found = each.groupBy("key").agg(F.array_sort(F.collect_set(F.struct((F.col("first") + F.col("s.start")).alias("start"), (F.col("first") + F.col("s.stop")).alias("stop")))).alias("spans"))
+    each = again.join(spans, ["anchor", "fragment"]).select("key", "low", F.explode("spans").alias("s"), "first")
+    found = each.groupBy("key", "low").agg(F.array_sort(F.collect_set(F.struct((F.col("first") + F.col("s.start")).alias("start"), (F.col("first") + F.col("s.stop")).alias("stop")))).alias("spans"))
     found = materialize(found)
     discard(again, spans)
     return found
@@ -230,12 +240,14 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) for each row of `docs`.
 
-    kept_text is what remains, without characters of which only a part remains.
+    kept_text is what remains, without characters of which only a part remains. `key_col` tells rows
+    apart together with the text where the id column is of a type that can't be hashed; the id by default.
     """
-    spans = repeated_spans(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key")).join(spans, "key", "left").select("id", "text", "spans")
+    key_col = key_col or id_col
+    spans = repeated_spans(docs, key_col, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_key(key_col, text_col)).join(spans, ["key", "low"], "left").select("id", "text", "spans")
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_report, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)

@@ -140,14 +140,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     per = contamination(docs, benchmark, id_col, text_col).where("n_hit > 0")
     key = F.xxhash64(F.col(text_col), F.crc32(F.coalesce(F.col(text_col), F.lit(""))))
-    keyed = docs.withColumn("__fingerprint", key)
+    # the row as one column, so that its names can't clash with ours
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("mine"), key.alias("print"))
+    same = F.col("mine").eqNullSafe(F.col("id")) & (F.col("print") == F.col("fingerprint"))
     if not spans:
-        bad = per.where("20 * n_hit >= n_words").select(F.col("id").alias("__id"), F.col("fingerprint").alias("__fp"))
-        return keyed.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fingerprint") == F.col("__fp")), "left_anti").select(docs.columns)
-    hit = per.select(F.col("id").alias("__id"), F.col("fingerprint").alias("__fp"), F.col("spans").alias("__spans"))
+        return keyed.join(per.where("20 * n_hit >= n_words").select("id", "fingerprint"), same, "left_anti").select("row.*")
+    joined = keyed.join(per.select("id", "fingerprint", "spans"), same, "left")
+    text = F.col("row")[text_col]
     lead = SEPARATORS[:-1] + "*"
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({SEPARATORS.replace('[', '[^', 1)}{lead})"), F.lit(1))
-    kept = F.filter(pieces, lambda w, i: ~F.exists(F.col("__spans"), lambda s: (i >= s["first"]) & (i < s["first"] + s["words"])))
-    cut = F.concat(F.regexp_extract(F.col(text_col), f"^{lead}", 0), F.array_join(kept, ""))
-    joined = keyed.join(hit, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fingerprint") == F.col("__fp")), "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).select(docs.columns)
+    pieces = F.regexp_extract_all(text, F.lit(f"({SEPARATORS.replace('[', '[^', 1)}{lead})"), F.lit(1))
+    kept = F.filter(pieces, lambda w, i: ~F.exists(F.col("spans"), lambda s: (i >= s["first"]) & (i < s["first"] + s["words"])))
+    cut = F.concat(F.regexp_extract(text, f"^{lead}", 0), F.array_join(kept, ""))
+    return joined.select(*[F.when(F.col("spans").isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -6,7 +6,7 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import has_table, materialize, table
@@ -21,44 +21,55 @@ from lodestone.llm.suffix_dedup import remove_repeats, row_key
 ORACLE_SQL: str | None = None
 
 
+def own_key() -> Column:
+    """128 bits of a row's id and text."""
+    return F.struct(*row_key("doc_id", "text"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the counts and the tokeniser's bands."""
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    """Documents that pass the counts and the tokenisers' bands; those of languages are fitted on `labels`, if there.
+
+    Rows are judged one by one, repeated ids, null ids and repeated rows alike; null and empty texts
+    go, as they have too few words. Extra columns stay.
+    """
     floors = fit_bands(docs, table(spark, sf_dir, "labels")) if has_table(spark, sf_dir, "labels") else None
-    judged = quality(keyed, id_col="__key", floors=floors).where("not kept").select("__key").distinct()
-    return keyed.join(judged, "__key", "left_anti").drop("__key")
+    # the whole row goes along as the id: no join is needed, and no name can clash
+    return quality(docs.select(F.struct("*").alias("row"), "text", "lang"), id_col="row", floors=floors).where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id, null ids last.
 
     Rows that repeat both id and text are one document, of which one row stays; rows that repeat
-    the id alone are documents of their own.
+    the id alone are documents of their own. Null and wordless texts are near to nothing and stay.
     """
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
     # a row's own id, ordered by doc_id with nulls last; without null fields, so that null ids are linked too
     zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
-    own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", zero).alias("doc"), F.col("__key").alias("key"))
-    judged = near_duplicates(keyed.withColumn("__id", own), id_col="__id")
-    gone = judged.where("not kept").select(F.col("__id.key").alias("__key")).distinct()
-    return keyed.join(gone, "__key", "left_anti").dropDuplicates(["__key"]).select(docs.columns)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", zero).alias("doc"), own_key().alias("key"))
+    judged = near_duplicates(docs.select(own.alias("own"), "text"), id_col="own")
+    gone = judged.where("not kept").select("own.key").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), own_key().alias("key"))
+    return keyed.join(gone, "key", "left_anti").dropDuplicates(["key"]).select("row.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand elsewhere; n_chars follows the text."""
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
-    cut = materialize(remove_repeats(keyed, id_col="__key").where("n_removed > 0").select("__key", F.col("kept_text").alias("__text")).dropDuplicates(["__key"]))
-    joined = keyed.join(cut, "__key", "left").withColumn("text", F.coalesce("__text", "text"))
-    return joined.withColumn("n_chars", F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("__text")).cast("long")).select(docs.columns)
+    """Texts without the passages that stand elsewhere; n_chars follows the text where that was cut.
+
+    Every row stays. Rows that repeat both id and text cut each other, as their texts stand twice.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    cut = remove_repeats(docs.select(F.struct(*rest).alias("row"), "doc_id", "text"), id_col="row", key_col="doc_id")
+    new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))}
+    return cut.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by a passage of the benchmark."""
+    """Documents that are not contaminated by a passage of the benchmark. Rows are judged by id and text; null texts stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their places in sequences."""
+    """The pieces of all documents, with their places in sequences. A null text is the end token alone; repeated rows are packed each."""
     return pack(docs)
 
 

@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = materialize(keyed.groupBy("key").agg(F.min("sig").alias("b"), F.count("*").alias("k")).where("k > 1").select("key", "b"))
     grown = components(keyed.join(leaders, "key").select(F.col("sig").alias("a"), "b"))
     family = materialize(grown.select(F.col("node").alias("sig"), F.col("root").alias("family")))
-    discard(leaders, grown, shuffles=False)
+    discard(leaders, grown)
     members = classes.join(family, "sig").withColumnsRenamed({"id": "own", "mark": "own_mark"})
     texts = docs.join(members, (F.col("mark") == F.col("own_mark")) & F.col("id").eqNullSafe(F.col("own"))).select("text", "sig", "family", "size", "regs")
     sets = texts.mapInArrow(partial(_sets, size=words), "sig binary, family binary, size long, regs binary, shingles binary")
@@ -194,13 +194,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = dealt.groupBy("family", "lo", "hi").applyInPandas(linked_pairs, "a binary, b binary")
     joined = components(links)
+    discard(family)  # with the shuffles of sets
     label = joined.join(classes.select(F.col("sig").alias("node"), "id"), "node").select("node", "root", "id")
     least = label.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = label.join(least, "root").select(F.col("node").alias("sig"), "component_id")
     alone = classes.select("sig", F.col("id").alias("own"))
     # written, so that the join below has a shuffle on both sides and a class of many copies is split
     result = materialize(alone.join(linked, "sig", "left").select("sig", F.coalesce("component_id", "own").alias("component_id")))
-    discard(family, joined, classes, shuffles=False)
+    discard(joined, classes)
     return sketched.select("id", "n", "sig").join(result, "sig", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), (F.col("id").eqNullSafe(F.coalesce("component_id", "id"))).alias("kept")
     )

@@ -1,25 +1,36 @@
 """Section trees as adjacency lists: depth, ancestors, flattening and budgeted traversal.
 
-A tree is walked level by level with one join on (tree, parent) a level, so its height bounds the
-rounds; `max_height` guards against cycles, whose nodes are never reached.
+Ancestors are found by doubling: each round, a node's known chain is put behind the chain of the
+topmost node in it, so the rounds grow with the logarithm of the height. Nodes on or below a cycle
+or a missing parent have no depth and are left out; unreachable() names them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import drop, settle
+
 
 def _levels(nodes: DataFrame, tree: str, node: str, parent: str) -> DataFrame:
-    """(tree, node, depth, ancestors from the root down) by a recursive query."""
-    nodes.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("p")).createOrReplaceTempView("_lodestone_nodes")
-    return nodes.sparkSession.sql(
-        """WITH RECURSIVE walk(t, n, depth, ancestors) MAX RECURSION LEVEL 500 AS (
-             SELECT t, n, 0, cast(array() AS array<bigint>) FROM _lodestone_nodes WHERE p IS NULL
-             UNION ALL
-             SELECT c.t, c.n, w.depth + 1, concat(w.ancestors, array(w.n)) FROM walk w JOIN _lodestone_nodes c ON c.t = w.t AND c.p = w.n)
-           SELECT * FROM walk"""
-    )
+    """(t, n, depth, ancestors from the root down) of every node that hangs on a root."""
+    known = nodes.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("top"), F.when(F.col(parent).isNull(), F.array()).otherwise(F.array(parent)).cast("array<bigint>").alias("chain"))
+    # top: the parent of the topmost node in the chain, which is yet to be found; lost: there is none
+    known = settle(known.withColumn("lost", F.lit(False)))
+    while known.where("top is not null").limit(1).count():
+        up = known.select("t", F.col("n").alias("top"), F.col("top").alias("next"), F.col("chain").alias("above"), F.col("lost").alias("gone"))
+        step = known.join(up, ["t", "top"], "left")
+        chain = F.when(F.col("top").isNotNull() & F.col("above").isNotNull(), F.concat("above", "chain")).otherwise(F.col("chain"))
+        step = step.select("t", "n", "next", chain.alias("chain"), (F.col("lost") | (F.col("top").isNotNull() & F.coalesce("gone", F.lit(True)))).alias("lost"))
+        # a chain that meets itself is on a cycle or leads to one
+        lost = F.col("lost") | (F.size(F.array_distinct("chain")) < F.size("chain")) | F.array_contains("chain", F.col("n"))
+        step = step.select("t", "n", F.when(~lost, F.col("next")).alias("top"), F.when(lost, F.array().cast("array<bigint>")).otherwise(F.col("chain")).alias("chain"), lost.alias("lost"))
+        before, known = known, settle(step)
+        drop(before)
+    return known.where("not lost").select("t", "n", F.size("chain").alias("depth"), F.col("chain").alias("ancestors"))
 
 
 def depths(nodes: DataFrame, tree: str = "paper_id", node: str = "node", parent: str = "parent") -> DataFrame:
@@ -49,25 +60,54 @@ def roots(nodes: DataFrame, tree: str = "paper_id", node: str = "node", parent:
     return nodes.where(F.col(parent).isNull()).select(tree, node).unionByName(orphans)
 
 
-def expanded(nodes: DataFrame, budget: int, tree: str = "paper_id", node: str = "node", parent: str = "parent") -> DataFrame:
-    """Nodes a breadth-first walk of each tree opens within a budget, with their place.
+#: Judges a batch: gets nodes with their place, adds expand (go on below) and sufficient (stop after this batch).
+Judge = Callable[[DataFrame], DataFrame]
 
-    `nodes` has expand (whether the judge goes on below) and sufficient (whether it stops after
-    that level). Nodes of a level are taken in the order of their ids.
+
+def expanded(nodes: DataFrame, budget: int, judge: Judge | None = None, walk: str | None = None, order: list[str] | None = None, tree: str = "paper_id", node: str = "node", parent: str = "parent") -> DataFrame:
+    """Nodes that a walk opens within a budget: (tree, node, depth, place, sufficient), and `walk` if given.
+
+    The frontier is first in, first out: roots (nodes without a parent among the given ones) in
+    `order`, by default tree and node; then the children of what was opened, in its order. A batch is
+    the frontier as far as the budget goes. There is one budget, or one for each value of `walk`. A
+    judge that isn't given is read from the columns expand and sufficient. A walk stops after a batch
+    of which any node is sufficient.
     """
-    nodes.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("p"), "expand", "sufficient").createOrReplaceTempView("_lodestone_judged")
-    walk = nodes.sparkSession.sql(
-        """WITH RECURSIVE walk(t, n, depth, expand, sufficient) MAX RECURSION LEVEL 500 AS (
-             SELECT t, n, 0, expand, sufficient FROM _lodestone_judged WHERE p IS NULL
-             UNION ALL
-             SELECT c.t, c.n, w.depth + 1, c.expand, c.sufficient FROM walk w JOIN _lodestone_judged c ON c.t = w.t AND c.p = w.n WHERE w.expand)
-           SELECT * FROM walk"""
-    )
-    place = Window.partitionBy("t").orderBy("depth", "n")
-    seen = walk.withColumn("place", F.row_number().over(place)).where(F.col("place") <= budget)
-    stop = seen.groupBy("t").agg(F.min(F.when(F.col("sufficient"), F.col("depth"))).alias("last"))
-    kept = seen.join(stop, "t").where(F.col("last").isNull() | (F.col("depth") <= F.col("last")))
-    return kept.select(F.col("t").alias(tree), F.col("n").alias(node), F.col("depth").cast("long").alias("depth"), F.col("place").cast("long").alias("place"), "sufficient")
+    order = order or [tree, node]
+    group = F.col(walk) if walk else F.lit(0)
+    base = settle(nodes.withColumn("_walk", group))
+    keys = base.select(tree, F.col(node).alias(parent), F.lit(True).alias("_held"))
+    front = base.join(keys, [tree, parent], "left").where("_held is null").drop("_held").withColumn("_above", F.lit(0).cast("long"))
+    spent = None
+    batches, depth, used_most = [], 0, 0
+    while True:
+        ordered = [F.col("_above"), *(F.col(c) for c in order)]
+        if walk:
+            left = F.lit(budget) if spent is None else F.lit(budget) - F.coalesce("_spent", F.lit(0))
+            front = front if spent is None else front.join(spent, "_walk", "left")
+            batch = front.withColumn("place", F.row_number().over(Window.partitionBy("_walk").orderBy(*ordered))).where(F.col("place") <= left)
+            batch = batch.withColumn("place", F.col("place") + (F.lit(0) if spent is None else F.coalesce("_spent", F.lit(0)))).drop("_spent")
+        else:  # at most `budget` rows are numbered in one task
+            batch = front.orderBy(*ordered).limit(budget - used_most)
+            batch = batch.withColumn("place", F.row_number().over(Window.orderBy(*ordered)) + used_most)
+        batch = settle((judge or (lambda b: b))(batch).withColumn("depth", F.lit(depth).cast("long")))
+        n = batch.count()
+        if not n:
+            break
+        batches.append(batch)
+        depth, used_most = depth + 1, used_most + n
+        if not walk and used_most >= budget:
+            break
+        done = batch.groupBy("_walk").agg(F.bool_or("sufficient").alias("_done")).where("_done").select("_walk")
+        going = batch.where("expand").join(done, "_walk", "left_anti").select("_walk", tree, F.col(node).alias(parent), F.col("place").alias("_above"))
+        front = base.join(going, ["_walk", tree, parent])
+        if walk:
+            total = batch.groupBy("_walk").agg(F.max("place").alias("_spent"))
+            spent = settle(total if spent is None else spent.unionByName(total).groupBy("_walk").agg(F.max("_spent").alias("_spent")))
+    out = batches[0] if batches else batch
+    for b in batches[1:]:
+        out = out.unionByName(b)
+    return out.select(*([walk] if walk and walk != tree else []), tree, node, "depth", F.col("place").cast("long").alias("place"), "sufficient")
 
 
 def stop_reasons(opened: DataFrame, budget: int, tree: str = "paper_id") -> DataFrame:

@@ -344,7 +344,7 @@ BFS = """WITH RECURSIVE w AS (SELECT paper_id, node, 0::BIGINT AS depth FROM sec
 
 def opened(r: Roles) -> DataFrame:
     judged = r.section.select("paper_id", "node", "parent", (F.col("node") % 4 != 3).alias("expand"), (F.col("node") % 7 == 5).alias("sufficient"))
-    return trees.expanded(judged, budget=12)
+    return trees.expanded(judged, budget=12, walk="paper_id")
 
 
 @query(BFS + "SELECT paper_id, node, depth, place, sufficient FROM o")
@@ -352,6 +352,22 @@ def tree_bfs(r: Roles) -> DataFrame:
     return opened(r)
 
 
+FOUND = """WITH f AS (SELECT paper_id, row_number() OVER (ORDER BY rank DESC, paper_id) AS pos FROM (SELECT paper_id, max((len(regexp_extract_all(lower(body), '\\bthe\\b')) + len(regexp_extract_all(lower(body), '\\bof\\b')))::BIGINT) AS rank FROM section
+  WHERE regexp_matches(lower(body), '\\bthe\\b') AND regexp_matches(lower(body), '\\bof\\b') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)),
+  w AS (SELECT paper_id, pos, node, 0::BIGINT AS depth FROM section JOIN f USING (paper_id) WHERE parent IS NULL UNION ALL SELECT s.paper_id, w.pos, s.node, w.depth + 1 FROM w JOIN section s ON s.paper_id = w.paper_id AND s.parent = w.node WHERE w.node % 4 <> 3),
+  p AS (SELECT *, row_number() OVER (ORDER BY depth, pos, node) AS place FROM w), k AS (SELECT * FROM p WHERE place <= 60)
+  SELECT paper_id, node, depth, place, node % 29 = 28 AS sufficient FROM k WHERE depth <= coalesce((SELECT min(depth) FROM k WHERE node % 29 = 28), depth)"""
+
+
+@query(FOUND)
+def tree_traverse(r: Roles) -> DataFrame:
+    """One budget over the trees of the shortlisted papers, whose roots come in the order of the list."""
+    found = history.ranked(search.shortlist(r.section, "the of", limit=20), [], [F.desc("rank"), F.asc("paper_id")], "pos")
+    trees_found = r.section.join(F.broadcast(found.select("paper_id", "pos")), "paper_id").select("paper_id", "node", "parent", "pos")
+    judge = lambda batch: batch.withColumn("expand", F.col("node") % 4 != 3).withColumn("sufficient", F.col("node") % 29 == 28)
+    return trees.expanded(trees_found, 60, judge, order=["pos", "node"])
+
+
 @query(BFS + "SELECT paper_id, count(*) AS nodes_expanded, CASE WHEN bool_or(sufficient) THEN 'sufficient_evidence' WHEN count(*) >= 12 THEN 'budget_exhausted' ELSE 'no_candidates' END AS stopped_reason FROM o GROUP BY 1")
 def stop_reason(r: Roles) -> DataFrame:
     return trees.stop_reasons(opened(r), budget=12)
@@ -601,19 +617,36 @@ def eligible_pairs(r: Roles) -> DataFrame:
 
 @query()
 def canonical_groups(r: Roles) -> DataFrame:
-    return identity.canonical_groups(part_pairs(r), ["p_brand", "p_type"])
+    return identity.canonical_groups(part_pairs(r))
 
 
-@query()
-def entity_resolution(r: Roles) -> DataFrame:
+SEEN = """WITH c AS (SELECT o_orderkey AS position, ['arxiv', 'openalex', 's2'][o_orderkey % 3 + 1] AS source, o_orderkey // 4 AS g, o_orderkey::VARCHAR AS external_id, 'Title ' || o_orderkey // 4 AS title, 'Ann Clerk' || o_orderkey // 8 AS first_author, '2020-01-01' AS published_at,
+  CASE WHEN o_orderkey % 4 = 1 THEN '10.1/' || o_orderkey // 4 END AS doi, CASE WHEN o_orderkey % 6 = 1 THEN '24.' || o_orderkey // 6 END AS arxiv_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus WHEN o_orderkey % 3 = 0 THEN '' END AS venue FROM orders),
+  e AS (SELECT *, min(position) OVER (PARTITION BY g) AS entity_id, row_number() OVER (PARTITION BY g, source ORDER BY position) = 1 AS is_source_row FROM c) """
+
+
+def candidates(r: Roles) -> DataFrame:
     """Orders as candidates of three sources; sparse identifiers and repeated titles tie them together."""
     o, key = r.read("orders"), F.col("o_orderkey")
-    seen = o.select(
-        key.alias("position"), F.element_at(F.array(F.lit("arxiv"), F.lit("openalex"), F.lit("s2")), (key % 3 + 1).cast("int")).alias("source"), F.concat(F.lit("Title "), F.floor(key / 4).cast("string")).alias("title"),
+    return o.select(
+        key.alias("position"), F.element_at(F.array(F.lit("arxiv"), F.lit("openalex"), F.lit("s2")), (key % 3 + 1).cast("int")).alias("source"), key.cast("string").alias("external_id"), F.concat(F.lit("Title "), F.floor(key / 4).cast("string")).alias("title"),
         F.concat(F.lit("Ann Clerk"), F.floor(key / 8).cast("string")).alias("first_author"), F.lit("2020-01-01").alias("published_at"), F.when(key % 4 == 1, F.concat(F.lit("10.1/"), F.floor(key / 4).cast("string"))).alias("doi"),
-        F.when(key % 6 == 1, F.concat(F.lit("24."), F.floor(key / 6).cast("string"))).alias("arxiv_id"), F.when(key % 2 == 0, F.col("o_orderstatus")).alias("venue"),
+        F.when(key % 6 == 1, F.concat(F.lit("24."), F.floor(key / 6).cast("string"))).alias("arxiv_id"), F.when(key % 2 == 0, F.col("o_orderstatus")).when(key % 3 == 0, F.lit("")).alias("venue"),
     )
-    return identity.resolve_entities(seen)
+
+
+@query(SEEN + "SELECT entity_id, position, is_source_row FROM e")
+def entity_resolution(r: Roles) -> DataFrame:
+    return identity.resolve_entities(candidates(r))
+
+
+@query(SEEN + """SELECT entity_id, arg_min(title, position) AS title, arg_min(first_author, position) AS first_author, arg_min(doi, position) FILTER (doi IS NOT NULL) AS doi, arg_min(arxiv_id, position) FILTER (arxiv_id IS NOT NULL) AS arxiv_id,
+  arg_min(venue, position) FILTER (venue <> '') AS venue, string_agg(source || ':' || external_id, ',' ORDER BY position) FILTER (is_source_row) AS sources FROM e GROUP BY 1""")
+def merged_papers(r: Roles) -> DataFrame:
+    """The records that candidates are merged into, with the first row of each source."""
+    seen = candidates(r)
+    merged = identity.merged_papers(seen, identity.resolve_entities(seen))
+    return merged.withColumn("sources", F.array_join(F.transform("sources", lambda x: F.concat_ws(":", x["source"], x["external_id"])), ",")).drop("published_at")
 
 
 @query("""SELECT count(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 'doi:10.1/' || o_orderkey // 6 WHEN o_orderkey % 3 = 1 THEN 'title:' || o_orderkey // 10 ELSE 'id:s:' || o_orderkey END) AS n_references FROM orders""")

@@ -42,7 +42,7 @@ def test_pairs_and_cliques(spark):
     values = spark.createDataFrame([(1, "t", 0.94), (2, "t", 1.0), (3, "t", 1.06), (4, "u", 1.0), (5, "t", None), (6, "t", -1.0), (7, "t", 0.0), (8, "t", 0.0)], "id long, block string, v double")
     pairs = identity.prefilter_pairs(values, ["block"], "id", "v")
     assert sorted((r.left_id, r.right_id) for r in pairs.collect()) == [(1, 2), (2, 3), (7, 8)]
-    groups = identity.canonical_groups(pairs, ["block"]).collect()
+    groups = identity.canonical_groups(pairs).collect()
     assert sorted((r.canonical_id, r.claim_id) for r in groups) == [(1, 1), (1, 2), (7, 7), (7, 8)]
 
 
@@ -104,9 +104,9 @@ def test_deep_trees_are_flattened(spark):
 
 def test_walks_stop(spark):
     nodes = spark.createDataFrame([(1, 1, None, True, False), (1, 2, 1, False, False), (1, 3, 1, False, True), (2, 1, None, False, False)], "paper_id long, node long, parent long, expand boolean, sufficient boolean")
-    got = trees.stop_reasons(trees.expanded(nodes, 5), 5)
+    got = trees.stop_reasons(trees.expanded(nodes, 5, walk="paper_id"), 5)
     assert {(r.paper_id, r.nodes_expanded, r.stopped_reason) for r in got.collect()} == {(1, 3, "sufficient_evidence"), (2, 1, "no_candidates")}
-    few = trees.stop_reasons(trees.expanded(nodes, 1), 1)
+    few = trees.stop_reasons(trees.expanded(nodes, 1, walk="paper_id"), 1)
     assert {(r.paper_id, r.stopped_reason) for r in few.collect()} == {(1, "budget_exhausted"), (2, "budget_exhausted")}
 
 

@@ -35,12 +35,21 @@ def root_segment(path: Column) -> Column:
     return F.substring_index(path, "/", 1)
 
 
+#: A number: digits with or without a fraction, or a fraction alone; then an exponent. A unit: one word.
+_NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?"
+_QUANTITY = rf"^\s*({_NUMBER})\s*(\S+)?\s*$"
+
+
 def parse_quantity(text: Column) -> Column:
     """struct(value, unit) of a number with an optional unit; nulls if the text is no such thing."""
-    pattern = r"^\s*([+-]?(?:\d+\.\d*|\.\d+|\d+)(?:[eE][+-]?\d+)?)\s*(\S+)?\s*$"
-    value = F.regexp_extract(text, pattern, 1)
-    unit = F.regexp_extract(text, pattern, 2)
-    return F.struct(F.expr("try_cast(null as double)").alias("none"), F.nullif(value, F.lit("")).try_cast("double").alias("value"), F.nullif(unit, F.lit("")).alias("unit")).dropFields("none")
+    number, unit = (F.nullif(F.regexp_extract(text, _QUANTITY, k), F.lit("")) for k in (1, 2))
+    return F.struct(number.try_cast("double").alias("value"), unit.alias("unit"))
+
+
+def split_quantity(text: str) -> tuple[float | None, str | None]:
+    """The same outside of a query."""
+    found = re.match(_QUANTITY, text)
+    return (float(found[1]), found[2]) if found else (None, None)
 
 
 def normalize_quantity(value: Column, unit: Column) -> Column:
@@ -83,22 +92,63 @@ def normalize_title(titles: pd.Series) -> pd.Series:
     return titles.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if c.isalnum()))
 
 
+class Runs:
+    """Suffix automaton of a row of words: the longest run that it shares with another, in one pass over that."""
+
+    def __init__(self, words: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        last = 0
+        for w in words:
+            now = self._state(self.length[last] + 1, {})
+            p = last
+            while p >= 0 and w not in self.next[p]:
+                self.next[p][w] = now
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][w]
+                if self.length[q] > self.length[p] + 1:
+                    copy = self._state(self.length[p] + 1, dict(self.next[q]))
+                    self.link[copy] = self.link[q]
+                    self.link[q] = copy
+                    while p >= 0 and self.next[p].get(w) == q:
+                        self.next[p][w] = copy
+                        p = self.link[p]
+                    q = copy
+                self.link[now] = q
+            last = now
+
+    def _state(self, length: int, ways: dict[str, int]) -> int:
+        self.next.append(ways)
+        self.length.append(length)
+        self.link.append(0)
+        return len(self.length) - 1
+
+    def longest(self, words: list[str]) -> int:
+        best = at = run = 0
+        for w in words:
+            while at and w not in self.next[at]:
+                at = self.link[at]
+                run = self.length[at]
+            if w in self.next[at]:
+                at, run = self.next[at][w], run + 1
+                best = max(best, run)
+        return best
+
+
 @F.pandas_udf(DoubleType())
 def verbatim_overlap(claims: pd.Series, bodies: pd.Series) -> pd.Series:
     """Longest common run of tokens over the tokens of the claim."""
+    known: dict[str, tuple[int, Runs]] = {}
 
     def one(claim: str | None, body: str | None) -> float:
-        a, b = (re.findall(r"\w+", (x or "").casefold()) for x in (claim, body))
-        if not a or not b:
+        if not claim or not body:
             return 0.0
-        best, before = 0, [0] * (len(b) + 1)
-        for x in a:
-            now = [0] * (len(b) + 1)
-            for j, y in enumerate(b, 1):
-                if x == y:
-                    now[j] = before[j - 1] + 1
-            best, before = max(best, max(now)), now
-        return best / len(a)
+        if claim not in known:
+            words = re.findall(r"\w+", claim.casefold())
+            known[claim] = len(words), Runs(words)
+        n, runs = known[claim]
+        return runs.longest(re.findall(r"\w+", body.casefold())) / n if n else 0.0
 
     return pd.Series([one(c, b) for c, b in zip(claims, bodies, strict=True)])
 

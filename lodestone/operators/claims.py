@@ -65,15 +65,31 @@ def keep_canonical_evidence(claim: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def stale_claims(claim: DataFrame, score: DataFrame, evidence: DataFrame, observed: DataFrame, traced: DataFrame) -> DataFrame:
-    """Claims never scored, or with evidence of their root, observations or traces later than their score.
+    """Claims never scored, or with evidence of their root, observations, traces or a check of identity later than their score.
 
-    `observed` and `traced` have claim_id and at. A comparison with a missing time is not true.
+    `observed` and `traced` have claim_id and at; `claim` may have identity_checked_at. A comparison with a missing time is not true.
     """
-    rooted = claim.select("claim_id", F.coalesce("canonical_claim_id", "claim_id").alias("root_id"))
+    checked = F.col("identity_checked_at") if "identity_checked_at" in claim.columns else F.lit(None).cast("timestamp_ntz")
+    rooted = claim.select("claim_id", F.coalesce("canonical_claim_id", "claim_id").alias("root_id"), checked.alias("checked"))
     last = lambda df, col, name, key="claim_id": df.groupBy(key).agg(F.max(col).alias(name))
     joined = (
         rooted.join(last(score, "scored_at", "scored"), "claim_id", "left")
         .join(last(evidence.withColumnRenamed("claim_id", "root_id"), "created_at", "linked", "root_id"), "root_id", "left")
         .join(last(observed, "at", "seen"), "claim_id", "left").join(last(traced, "at", "traced"), "claim_id", "left")
     )
-    return joined.where("scored is null or scored < linked or scored < seen or scored < traced").select("claim_id", "root_id")
+    return joined.where("scored is null or scored < linked or scored < seen or scored < traced or scored < checked").select("claim_id", "root_id")
+
+
+def repoint(claim: DataFrame, groups: DataFrame) -> DataFrame:
+    """`claim` after groups (canonical_id, claim_id) were saved: duplicates and what hung on them point to the group's root."""
+    moved = groups.where("claim_id <> canonical_id").select(F.col("claim_id").alias("_from"), F.col("canonical_id").alias("_to"))
+    own = claim.join(moved, F.col("claim_id") == F.col("_from"), "left").drop("_from").withColumnRenamed("_to", "_own")
+    above = own.join(moved, F.col("canonical_claim_id") == F.col("_from"), "left").drop("_from")
+    return above.withColumn("canonical_claim_id", F.coalesce("_own", "_to", "canonical_claim_id")).select(claim.columns)
+
+
+def mark_checked(claim: DataFrame, ids: DataFrame, moment) -> DataFrame:
+    """Claims among `ids` that have no time of their check get this one."""
+    mine = ids.select("claim_id").distinct().withColumn("_hit", F.lit(True))
+    at = F.when(F.col("_hit"), F.coalesce("identity_checked_at", F.lit(moment).cast(claim.schema["identity_checked_at"].dataType))).otherwise(F.col("identity_checked_at"))
+    return claim.join(mine, "claim_id", "left").withColumn("identity_checked_at", at).select(claim.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import settle
+
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -52,3 +54,23 @@ def match_first(candidates: DataFrame, known: DataFrame, first: str, second: str
     one = known.where(F.col(first).isNotNull()).groupBy(first).agg(F.min(id_col).alias("_one"))
     two = known.where(F.col(second).isNotNull()).groupBy(second).agg(F.min(id_col).alias("_two"))
     return candidates.join(one, first, "left").join(two, second, "left").withColumn("matched_id", F.coalesce("_one", "_two")).drop("_one", "_two")
+
+
+def with_dependents(actions: DataFrame, current_id: str, dependents: DataFrame) -> DataFrame:
+    """Deletions of rows that others depend on are refused; `dependents` has the id column."""
+    held = dependents.select(current_id).distinct().withColumn("_held", F.lit(True))
+    joined = actions.join(held, current_id, "left")
+    return joined.withColumn("action", F.when((F.col("action") == "delete") & F.col("_held"), "refuse").otherwise(F.col("action"))).select(actions.columns)
+
+
+def insert_with_ids(current: DataFrame, incoming: DataFrame, id_col: str) -> DataFrame:
+    """`incoming` with the ids after the greatest there is, without gaps; no task numbers more than its own rows."""
+    top = current.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    placed = settle(incoming.withColumn("_n", F.monotonically_increasing_id()))
+    part = F.shiftright("_n", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_k"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there were partitions
+    starts = counts.select("_part", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("_n"))
+    numbered = placed.withColumn("_part", part).withColumn("_at", within).join(starts, "_part")
+    return numbered.select((F.lit(top) + F.col("_before") + F.col("_at")).alias(id_col), *incoming.columns)

@@ -7,6 +7,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import jaccard, tokens, verbatim_overlap
+from .history import latest, ranked
+
 #: Points of the factors, and ratios of their bands.
 CONFIDENCE_POINTS = {"nodes": 25, "overlap": 25, "consistency": 20, "stopped": 20, "validation": 10}
 STOPPED_RATIOS = {"sufficient_evidence": 1.0, "budget_exhausted": 0.25, "no_candidates": 0.0}
@@ -56,6 +59,32 @@ def replication_ratio(papers: Column) -> Column:
     return out
 
 
+def confidence_inputs(claim: DataFrame, evidence: DataFrame, nodes: DataFrame, observation: DataFrame, trace: DataFrame, validation: DataFrame) -> DataFrame:
+    """What the factors are made of, from the relations.
+
+    `claim`: claim_id, canonical_claim_id, paper_id, claim_text, question, model, prompt; `evidence` counts for the claim's root if it
+    supports; `nodes`: tree_node_id, body; `observation`: claim_id, observation_id, claim_text, of which the last of a claim is the claim
+    itself; `trace`: question, created_at, trace_id, stopped_reason; `validation`: paper_id, model, prompt, accepted, rejected.
+    """
+    rooted = claim.select("claim_id", F.coalesce("canonical_claim_id", "claim_id").alias("root_id"), "paper_id", "claim_text", "question", "model", "prompt")
+    backing = evidence.where("stance = 'supports'").select(F.col("claim_id").alias("root_id"), "tree_node_id").distinct().join(nodes.select("tree_node_id", "body"), "tree_node_id")
+    # equal texts are held against a node's body once
+    pairs = rooted.select("claim_id", "root_id", "claim_text").join(backing, "root_id").select("claim_id", "tree_node_id", verbatim_overlap("claim_text", "body").alias("overlap"))
+    support = pairs.groupBy("claim_id").agg(F.count("*").alias("nodes"), F.max("overlap").alias("overlap"))
+    earlier = ranked(observation.select("claim_id", "observation_id", F.col("claim_text").alias("said")), ["claim_id"], [F.desc("observation_id")]).where("rank > 1 and trim(said) <> ''")
+    alike = earlier.join(rooted.select("claim_id", "claim_text"), "claim_id").groupBy("claim_id").agg(F.avg(jaccard(F.array_distinct(tokens(F.col("claim_text"))), F.array_distinct(tokens(F.col("said"))))).alias("consistency"))
+    last = latest(trace, ["question"], [F.desc("created_at"), F.desc("trace_id")]).select("question", "stopped_reason")
+    joined = rooted.join(support, "claim_id", "left").join(alike, "claim_id", "left").join(last, "question", "left").join(validation, ["paper_id", "model", "prompt"], "left")
+    zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    return joined.select("claim_id", zero("nodes", 0), zero("overlap", 0.0), zero("consistency", 0.0), zero("stopped_reason", "no_candidates"), zero("accepted", 0), zero("rejected", 0))
+
+
+def isolated(df: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with the columns added, and `error` naming those that came out null; no row stops the others."""
+    out = df.select("*", *[c.alias(k) for k, c in columns.items()])
+    return out.withColumn("error", F.nullif(F.concat_ws(",", *[F.when(F.col(k).isNull(), F.lit(k)) for k in columns]), F.lit("")))
+
+
 def confidence_factors(claims: DataFrame) -> DataFrame:
     """`claims`: claim_id, nodes, overlap, consistency, stopped_reason, accepted, rejected."""
     checked = F.col("accepted") + F.col("rejected")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import changes, claims, evaluate, history, identity, scoring, search, status, trees, validation
+from ..operators import changes, claims, evaluate, history, identity, records, scoring, search, status, trees, validation
 from ..sources import feeds, papers, tei
 from ..streaming import poll
 from .roles import ROLE_SQL, Roles
@@ -97,10 +97,12 @@ def canonical_evidence_keep(r: Roles) -> DataFrame:
 @query("""WITH x AS (SELECT claim_id, coalesce(canonical_claim_id, claim_id) AS root_id FROM claim)
   SELECT x.claim_id, x.root_id FROM x LEFT JOIN (SELECT claim_id, max(scored_at) - INTERVAL 27 YEAR AS scored FROM score GROUP BY 1) s ON s.claim_id = x.claim_id
   LEFT JOIN (SELECT claim_id, max(created_at) AS linked FROM evidence GROUP BY 1) e ON e.claim_id = x.root_id LEFT JOIN (SELECT claim_id, max(created_at) AS seen FROM claim GROUP BY 1) o ON o.claim_id = x.claim_id
-  LEFT JOIN (SELECT tree_node_id AS claim_id, max(created_at) AS traced FROM evidence GROUP BY 1) t ON t.claim_id = x.claim_id WHERE scored IS NULL OR scored < linked OR scored < seen OR scored < traced""")
+  LEFT JOIN (SELECT tree_node_id AS claim_id, max(created_at) AS traced FROM evidence GROUP BY 1) t ON t.claim_id = x.claim_id JOIN claim k ON k.claim_id = x.claim_id
+  WHERE scored IS NULL OR scored < linked OR scored < seen OR scored < traced OR scored < CASE WHEN x.claim_id % 7 = 0 THEN k.created_at + INTERVAL 1 YEAR END""")
 def stale_claims(r: Roles) -> DataFrame:
     score = r.score.withColumn("scored_at", F.expr("scored_at - INTERVAL '27' YEAR"))
-    return claims.stale_claims(r.claim, score, r.evidence, r.claim.select("claim_id", F.col("created_at").alias("at")), r.evidence.select(F.col("tree_node_id").alias("claim_id"), F.col("created_at").alias("at")))
+    claim = r.claim.withColumn("identity_checked_at", F.when(F.col("claim_id") % 7 == 0, F.expr("created_at + INTERVAL '1' YEAR")))
+    return claims.stale_claims(claim, score, r.evidence, r.claim.select("claim_id", F.col("created_at").alias("at")), r.evidence.select(F.col("tree_node_id").alias("claim_id"), F.col("created_at").alias("at")))
 
 
 @query("SELECT e.evidence_id, e.claim_id, p.p_name AS node, s.s_name AS paper, e.stance FROM evidence e JOIN part p ON p.p_partkey = e.tree_node_id JOIN supplier s ON s.s_suppkey = e.paper_id")
@@ -587,6 +589,26 @@ def validate_records(r: Roles) -> DataFrame:
     return validation.validate_records(raw, "payload", r.read("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("node_id")))
 
 
+@query("""SELECT p_partkey AS batch, CASE WHEN p_partkey % 6 IN (3, 5) THEN NULL ELSE 0 END AS at, CASE p_partkey % 6 WHEN 0 THEN 'claim' WHEN 1 THEN 'method' WHEN 2 THEN 'dataset' WHEN 4 THEN 'metric' END AS record_type, CASE WHEN p_partkey % 6 IN (0, 1, 2, 4) THEN p_size END::BIGINT AS tree_node_id,
+  CASE p_partkey % 6 WHEN 3 THEN 'malformed payload' WHEN 5 THEN 'malformed payload' ELSE CASE WHEN p_size % 4 = 0 THEN 'outside the paper' WHEN p_partkey % 6 = 2 THEN 'unknown extra' WHEN p_partkey % 6 = 1 AND p_size % 3 = 0 THEN 'method_text' END END AS reason,
+  CASE WHEN p_partkey % 6 = 0 AND p_size % 4 <> 0 THEN p_size / 2 WHEN p_partkey % 6 = 4 AND p_size % 4 <> 0 THEN p_size END::DOUBLE AS object_value FROM part""")
+def validate_payloads(r: Roles) -> DataFrame:
+    """Payloads of six shapes: an object of records, a list, one object, no JSON, JSON within JSON, and records that are no list."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    own = lambda fields: F.concat(F.lit('{"tree_node_id": '), size, F.lit(', "extraction_model": "m", "prompt_version": "1", '), *fields, F.lit("}"))
+    claim = own([F.lit('"claim_text": " A ", "normalized_text": "a", "claim_type": "x", "object_value": '), (F.col("p_size") / 2).cast("string")])
+    method = own([F.lit('"method_text": "'), F.when(F.col("p_size") % 3 == 0, " ").otherwise("m"), F.lit('"')])
+    metric = own([F.lit('"type": "metric", "metric_name": "m", "object_value": "'), size, F.lit(' ms"')])
+    payload = (
+        F.when(key == 0, F.concat(F.lit('{"records": ['), claim, F.lit("]}"))).when(key == 1, F.concat(F.lit("["), method, F.lit("]"))).when(key == 2, own([F.lit('"dataset_name": "d", "extra": 1')]))
+        .when(key == 3, F.lit("{no json")).when(key == 4, F.concat(F.lit('"'), F.replace(metric, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(F.lit('{"records": 3}'))
+    )
+    raw = r.read("part").select(F.col("p_partkey").alias("batch"), payload.alias("payload"))
+    nodes = r.read("part").where("p_size % 4 <> 0").select(F.col("p_partkey").alias("batch"), F.col("p_size").cast("long").alias("tree_node_id"))
+    read = records.within_paper(records.read_records(raw, "batch", "payload"), nodes, "batch")
+    return read.select("batch", "at", "record_type", "tree_node_id", "reason", F.when(F.col("reason").isNull(), F.col("object_value")).alias("object_value"))
+
+
 @query("SELECT name, n FROM (SELECT arg_min(p_brand, p_partkey) AS name, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE ' ' || p_brand || ' ' END AS p_brand, p_partkey FROM part) GROUP BY lower(trim(p_brand)))")
 def ci_unique(r: Roles) -> DataFrame:
     """First spelling of each term that differs in more than case and outer spaces."""
@@ -682,6 +704,44 @@ def conf_score(r: Roles) -> DataFrame:
     return scoring.confidence(scoring.confidence_factors(confidence_inputs(r)))
 
 
+RUN = """coalesce(list_max(list_transform(range(1, len(c) + 1), lambda l: CASE WHEN len(list_filter(range(1, len(c) - l + 2), lambda i: contains(' ' || array_to_string(b, ' ') || ' ', ' ' || array_to_string(c[i:i + l - 1], ' ') || ' '))) > 0 THEN l ELSE 0 END)), 0)"""
+SAID = """WITH c AS (SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 5 = 1 THEN o_orderkey - 1 ELSE o_orderkey END AS root_id, o_custkey AS paper_id, lower(o_orderpriority) || ' order of ' || year(o_orderdate) AS claim_text, CASE WHEN o_orderkey % 2 = 0 THEN 'view' ELSE 'click' END AS model FROM orders),
+  t AS (SELECT claim_id, root_id, paper_id, model, regexp_extract_all(claim_text, '[\\p{L}\\p{N}_]+') AS c FROM c),
+  n AS (SELECT p_partkey AS tree_node_id, regexp_extract_all(lower('an urgent order of ' || (1992 + p_partkey % 7) || ' ' || p_type), '[\\p{L}\\p{N}_]+') AS b FROM part),
+  s AS (SELECT DISTINCT claim_id AS root_id, tree_node_id FROM evidence WHERE stance = 'supports'),
+  u AS (SELECT claim_id, count(*) AS nodes, max(%s / len(c)) AS overlap FROM t JOIN s USING (root_id) JOIN n USING (tree_node_id) GROUP BY 1),
+  o AS (SELECT claim_id, regexp_extract_all(lower(claim_text), '[\\p{L}\\p{N}_]+') AS w, row_number() OVER (PARTITION BY claim_id ORDER BY observation_id DESC) AS k FROM observation WHERE true),
+  a AS (SELECT claim_id, avg(len(list_intersect(list_distinct(c), list_distinct(w))) / greatest(len(list_distinct(list_concat(c, w))), 1)) AS consistency FROM o JOIN t USING (claim_id) WHERE k > 1 GROUP BY 1),
+  l AS (SELECT author_id AS claim_id, arg_max(score %% 3, (created_at, mention_id)) AS stop FROM mention GROUP BY 1),
+  v AS (SELECT paper_id, source AS model, count(*) FILTER (score %% 2 = 1) AS accepted, count(*) FILTER (score %% 2 = 0) AS rejected FROM mention GROUP BY 1, 2),
+  f AS (SELECT t.claim_id, round_even(least(coalesce(nodes, 0) / 3.0::DOUBLE, 1) * 25, 4) AS nodes, round_even(coalesce(overlap, 0) * 25, 4) AS overlap, round_even(coalesce(consistency, 0) * 20, 4) AS consistency,
+  CASE stop WHEN 0 THEN 20.0 WHEN 1 THEN 5.0 ELSE 0.0 END::DOUBLE AS stopped, round_even(CASE WHEN accepted + rejected > 0 THEN accepted / (accepted + rejected) ELSE 0 END * 10, 4) AS validation
+  FROM t LEFT JOIN u USING (claim_id) LEFT JOIN a USING (claim_id) LEFT JOIN l USING (claim_id) LEFT JOIN v USING (paper_id, model)) """.replace("%s", RUN).replace("%%", "%")
+
+
+def said(r: Roles) -> DataFrame:
+    """The inputs of confidence, each from its relation."""
+    text_of = F.concat(F.lower("o_orderpriority"), F.lit(" order of "), F.year("o_orderdate").cast("string"))
+    key = F.col("o_orderkey")
+    claim = r.read("orders").select(key.alias("claim_id"), F.when(key % 5 == 1, key - 1).alias("canonical_claim_id"), F.col("o_custkey").alias("paper_id"), text_of.alias("claim_text"), key.alias("question"), F.when(key % 2 == 0, "view").otherwise("click").alias("model"), F.lit("v1").alias("prompt"))
+    nodes = r.read("part").select(F.col("p_partkey").alias("tree_node_id"), F.concat(F.lit("an urgent order of "), (F.lit(1992) + F.col("p_partkey") % 7).cast("string"), F.lit(" "), F.col("p_type")).alias("body"))
+    stop = F.when(F.col("score") % 3 == 0, "sufficient_evidence").when(F.col("score") % 3 == 1, "budget_exhausted").otherwise("no_candidates")
+    trace = r.mention.select(F.col("author_id").alias("question"), "created_at", F.col("mention_id").alias("trace_id"), stop.alias("stopped_reason"))
+    validation = r.mention.groupBy("paper_id", F.col("source").alias("model"), F.lit("v1").alias("prompt")).agg(F.count_if(F.col("score") % 2 == 1).alias("accepted"), F.count_if(F.col("score") % 2 == 0).alias("rejected"))
+    return scoring.confidence_inputs(claim, r.evidence, nodes, r.observation, trace, validation)
+
+
+@query(SAID + "SELECT * FROM f")
+def conf_relations(r: Roles) -> DataFrame:
+    """The five factors of confidence from claims, evidence, passages, observations, traces and validations."""
+    return scoring.confidence_factors(said(r))
+
+
+@query(SAID + "SELECT claim_id, round_even(nodes + overlap + consistency + stopped + validation, 0)::INTEGER AS confidence FROM f")
+def conf_relations_score(r: Roles) -> DataFrame:
+    return scoring.confidence(scoring.confidence_factors(said(r)))
+
+
 def quality_inputs(r: Roles) -> DataFrame:
     by = r.evidence.where("stance = 'supports'").groupBy("claim_id").agg(F.bool_or("is_direct").alias("any_direct"), F.countDistinct("paper_id").alias("papers"))
     joined = r.claim.join(r.paper, "paper_id").join(by, "claim_id", "left")
@@ -752,7 +812,8 @@ def link_validation(r: Roles) -> DataFrame:
     return r.evidence.join(nodes, "tree_node_id", "left").select("claim_id", "evidence_id", verdict.alias("verdict"))
 
 
-@query()
+@query(f"""WITH o AS (SELECT claim_id, observation_id, regexp_extract_all(lower(claim_text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM observation),
+  p AS (SELECT x.claim_id, x.observation_id, x.t AS c, y.t AS b FROM o x JOIN o y ON x.claim_id = y.claim_id AND y.observation_id = x.observation_id + 1) SELECT claim_id, observation_id, CASE WHEN len(c) = 0 THEN 0 ELSE {RUN} / len(c) END::DOUBLE AS overlap FROM p""")
 def verbatim_overlap(r: Roles) -> DataFrame:
     o = r.observation.select("claim_id", "observation_id", "claim_text")
     after = o.select("claim_id", (F.col("observation_id") - 1).alias("observation_id"), F.col("claim_text").alias("body"))
@@ -771,6 +832,32 @@ def fts_shortlist(r: Roles) -> DataFrame:
     return search.shortlist(r.section, "the of", limit=20)
 
 
+@query("""WITH t AS (SELECT paper_id, body FROM section UNION ALL SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'The report of the ' || source ELSE 'the ' || source END FROM documents)
+  SELECT paper_id, max((len(regexp_extract_all(lower(body), '\\bthe\\b')) + len(regexp_extract_all(lower(body), '\\bof\\b')))::BIGINT) AS rank FROM t JOIN documents d ON d.doc_id = paper_id AND d.lang = 'en' WHERE regexp_matches(lower(body), '\\bthe\\b') AND regexp_matches(lower(body), '\\bof\\b') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""")
+def fts_scoped(r: Roles) -> DataFrame:
+    """Papers of one scope by the greater of two ranks: of their titles, and of their best section."""
+    d = r.read("documents")
+    title = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("The report of the "), F.col("source"))).otherwise(F.concat(F.lit("the "), F.col("source")))
+    return search.shortlist(r.section, "the of", 50, papers=d.select(F.col("doc_id").alias("paper_id"), title.alias("title")), scope="en", paper_scopes=d.select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("scope_name")))
+
+
+@query("""WITH g AS (SELECT o_orderkey AS claim_id, o_orderkey - o_orderkey % 20 AS canonical_id FROM orders WHERE o_orderkey % 10 = 0)
+  SELECT c.claim_id, coalesce(nullif(a.canonical_id, a.claim_id), nullif(b.canonical_id, b.claim_id), c.canonical_claim_id) AS canonical_claim_id FROM claim c LEFT JOIN g a ON a.claim_id = c.claim_id LEFT JOIN g b ON b.claim_id = c.canonical_claim_id""")
+def alias_repoint(r: Roles) -> DataFrame:
+    """Duplicates and the claims that hung on them, after groups were saved."""
+    k = F.col("claim_id")
+    groups = r.claim.where(k % 10 == 0).select((k - k % 20).alias("canonical_id"), "claim_id")
+    return claims.repoint(r.claim, groups).select("claim_id", "canonical_claim_id")
+
+
+@query("""WITH o AS (SELECT tree_node_id, stance, evidence_id AS old_id, row_number() OVER (PARTITION BY tree_node_id, stance ORDER BY evidence_id) AS n FROM evidence WHERE quantity < 25),
+  n AS (SELECT tree_node_id, stance, evidence_id AS new_id, row_number() OVER (PARTITION BY tree_node_id, stance ORDER BY evidence_id) AS n FROM evidence WHERE quantity >= 25)
+  SELECT old_id, new_id, CASE WHEN old_id IS NULL THEN 'insert' WHEN new_id IS NULL AND old_id % 3 = 0 THEN 'refuse' WHEN new_id IS NULL THEN 'delete' ELSE 'keep' END AS action FROM o FULL JOIN n USING (tree_node_id, stance, n)""")
+def reconcile_dependents(r: Roles) -> DataFrame:
+    """As reconcile_claims, but what others depend on is not deleted."""
+    return history.with_dependents(reconcile_claims(r), "old_id", r.evidence.where("evidence_id % 3 = 0").select(F.col("evidence_id").alias("old_id")))
+
+
 # evaluation
 
 

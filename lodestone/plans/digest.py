@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import json
+from datetime import date, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
@@ -22,3 +24,13 @@ def render(since: datetime, changes: dict[str, DataFrame]) -> str:
                 lines += [f"- {part.replace('_', ' ')}: " + ", ".join(f"{c} {r[c]}" for c in df.columns) for r in df.orderBy(*df.columns).toLocalIterator()]
         out += [*(lines or [NOTHING]), ""]
     return "\n".join(out)
+
+
+def write_report(folder: str | Path, day: date, report: dict) -> Path:
+    """`eval-<day>.json`, put in place at once, so that a reader never sees half of it."""
+    target = Path(folder) / f"eval-{day.isoformat()}.json"
+    target.parent.mkdir(parents=True, exist_ok=True)
+    part = target.with_suffix(".part")
+    part.write_text(json.dumps(report, indent=2, sort_keys=True, default=str))
+    part.replace(target)
+    return target

@@ -704,10 +704,10 @@ def conf_score(r: Roles) -> DataFrame:
     return scoring.confidence(scoring.confidence_factors(confidence_inputs(r)))
 
 
-RUN = """coalesce(list_max(list_transform(range(1, len(c) + 1), lambda l: CASE WHEN len(list_filter(range(1, len(c) - l + 2), lambda i: contains(' ' || array_to_string(b, ' ') || ' ', ' ' || array_to_string(c[i:i + l - 1], ' ') || ' '))) > 0 THEN l ELSE 0 END)), 0)"""
+RUN = """coalesce(list_max(list_transform(range(1, len(c) + 1), lambda l: CASE WHEN len(list_filter(range(1, len(c) - l + 2), lambda i: contains(b, ' ' || array_to_string(c[i:i + l - 1], ' ') || ' '))) > 0 THEN l ELSE 0 END)), 0)"""
 SAID = """WITH c AS (SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 5 = 1 THEN o_orderkey - 1 ELSE o_orderkey END AS root_id, o_custkey AS paper_id, lower(o_orderpriority) || ' order of ' || year(o_orderdate) AS claim_text, CASE WHEN o_orderkey % 2 = 0 THEN 'view' ELSE 'click' END AS model FROM orders),
   t AS (SELECT claim_id, root_id, paper_id, model, regexp_extract_all(claim_text, '[\\p{L}\\p{N}_]+') AS c FROM c),
-  n AS (SELECT p_partkey AS tree_node_id, regexp_extract_all(lower('an urgent order of ' || (1992 + p_partkey % 7) || ' ' || p_type), '[\\p{L}\\p{N}_]+') AS b FROM part),
+  n AS (SELECT p_partkey AS tree_node_id, ' ' || array_to_string(regexp_extract_all(lower('an urgent order of ' || (1992 + p_partkey % 7) || ' ' || p_type), '[\\p{L}\\p{N}_]+'), ' ') || ' ' AS b FROM part),
   s AS (SELECT DISTINCT claim_id AS root_id, tree_node_id FROM evidence WHERE stance = 'supports'),
   u AS (SELECT claim_id, count(*) AS nodes, max(%s / len(c)) AS overlap FROM t JOIN s USING (root_id) JOIN n USING (tree_node_id) GROUP BY 1),
   o AS (SELECT claim_id, regexp_extract_all(lower(claim_text), '[\\p{L}\\p{N}_]+') AS w, row_number() OVER (PARTITION BY claim_id ORDER BY observation_id DESC) AS k FROM observation WHERE true),
@@ -813,7 +813,7 @@ def link_validation(r: Roles) -> DataFrame:
 
 
 @query(f"""WITH o AS (SELECT claim_id, observation_id, regexp_extract_all(lower(claim_text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM observation),
-  p AS (SELECT x.claim_id, x.observation_id, x.t AS c, y.t AS b FROM o x JOIN o y ON x.claim_id = y.claim_id AND y.observation_id = x.observation_id + 1) SELECT claim_id, observation_id, CASE WHEN len(c) = 0 THEN 0 ELSE {RUN} / len(c) END::DOUBLE AS overlap FROM p""")
+  p AS (SELECT x.claim_id, x.observation_id, x.t AS c, ' ' || array_to_string(y.t, ' ') || ' ' AS b FROM o x JOIN o y ON x.claim_id = y.claim_id AND y.observation_id = x.observation_id + 1) SELECT claim_id, observation_id, CASE WHEN len(c) = 0 THEN 0 ELSE {RUN} / len(c) END::DOUBLE AS overlap FROM p""")
 def verbatim_overlap(r: Roles) -> DataFrame:
     o = r.observation.select("claim_id", "observation_id", "claim_text")
     after = o.select("claim_id", (F.col("observation_id") - 1).alias("observation_id"), F.col("claim_text").alias("body"))

@@ -57,5 +57,16 @@ def rss(spark: SparkSession, path: str) -> DataFrame:
     return x.select(*_item("rss", F.coalesce("guid", "link"), F.col("link"), F.trim("title"), F.col("author"), F.col("description"), parse_date(F.col("pubDate")), none, none))
 
 
+def atom(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of Atom feeds: the page an entry names, its text or summary, and when it came out or was last changed."""
+    kind = "id string, title string, link array<struct<_href:string,_rel:string>>, author array<struct<name:string>>, summary string, content string, published string, updated string"
+    x = spark.read.format("xml").option("rowTag", "entry").option("mode", "DROPMALFORMED").schema(kind).load(path)
+    page = F.filter("link", lambda a: a["_rel"].isNull() | (a["_rel"] == "alternate"))
+    url = F.coalesce(F.get(page, F.lit(0))["_href"], F.get("link", F.lit(0))["_href"])
+    none = F.lit(None)
+    posted = F.coalesce(parse_date(F.col("published")), parse_date(F.col("updated")))
+    return x.select(*_item("rss", F.coalesce("id", url), url, F.trim("title"), F.get("author", F.lit(0))["name"], F.coalesce("content", "summary"), posted, none, none))
+
+
 def scite_count(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"(\d+)\s*[Ss]cites?\b", 1), F.lit("")).cast("bigint")

@@ -20,10 +20,14 @@ def arxiv_query(terms: Column, excluded: Column, categories: Column, first: Colu
 
 
 def arxiv_atom(spark: SparkSession, path: str) -> DataFrame:
-    kind = "id string, title string, summary string, published string, author array<struct<name:string>>"
+    kind = "id string, title string, summary string, published string, author array<struct<name:string>>, link array<struct<_href:string,_title:string>>, `arxiv:doi` string, `arxiv:journal_ref` string, category array<struct<_term:string>>"
     x = spark.read.format("xml").option("rowTag", "entry").schema(kind).load(path)
     squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    return x.select(F.element_at(F.split("id", "/"), -1).alias("arxiv_id"), squeeze(F.col("title")).alias("title"), squeeze(F.col("summary")).alias("abstract"), F.col("published").cast("timestamp").cast("date").alias("published_at"), F.transform("author", lambda a: a["name"]).alias("authors"))
+    return x.select(
+        F.element_at(F.split("id", "/"), -1).alias("arxiv_id"), squeeze(F.col("title")).alias("title"), squeeze(F.col("summary")).alias("abstract"), F.col("published").cast("timestamp").cast("date").alias("published_at"),
+        F.transform("author", lambda a: a["name"]).alias("authors"), F.col("`arxiv:doi`").alias("doi"), F.col("`arxiv:journal_ref`").alias("venue"),
+        F.get(F.filter("link", lambda a: a["_title"] == "pdf"), F.lit(0))["_href"].alias("pdf_url"), F.transform("category", lambda c: c["_term"]).alias("categories"),
+    )
 
 
 def openalex(raw: DataFrame, json_col: str = "value") -> DataFrame:

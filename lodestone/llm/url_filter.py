@@ -4,7 +4,7 @@ The key of a host is its labels in reverse, each followed by the lowest byte (wh
 labels), so that the hosts under a rule's host are exactly the interval of keys that begin with the
 rule's key. Rules and pages are dealt to the same key ranges (bounds are taken from the rules, at most
 RANGES of them; a rule goes to every range its interval meets). A range is spread over one task for
-each SHARE of its pages, which are counted, and each gets the range's rules. Every task sweeps its rows
+each even share of all pages, SHARE at most, which are counted, and each gets the range's rules. Every task sweeps its rows
 in key order with a stack of the hosts whose intervals are open. The paths of a host's rules are
 intervals as well, nested by their prefixes: a page's path is looked up by bisection, and from there
 goes out to the smallest interval that holds it. Of the rules found on the stack the longest (host and
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RANGES = 256
-#: Pages of one task of a range.
+#: Most pages of one task of a range.
 SHARE = 100_000
 MARK = "\x01"
 #: What stands in a key for the mark, and for the byte that begins it.
@@ -122,7 +122,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     spark = pages.sparkSession
     ranged = pages.select(F.col(id_col).alias("page"), host.alias("host"), path.alias("path")).withColumn("key", key_of(F.col("host"))).withColumn("part", below(F.col("key")))
     # at most `ranges` + 1 counts
-    tasks = {part: -(-n // SHARE) for part, n in ranged.groupBy("part").count().collect()}
+    held = dict(ranged.groupBy("part").count().collect())
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, min(SHARE, sum(held.values()) // wide))
+    tasks = {part: -(-n // share) for part, n in held.items()}
     salts = F.get(F.array(*[F.lit(tasks.get(k, 1)) for k in range(len(bounds) + 1)]), F.col("part"))
     right = ranged.select("part", F.pmod(F.monotonically_increasing_id(), salts).cast("int").alias("salt"), "key", F.lit(1).alias("kind"), "page", "host", "path", F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("rule_host"))
     kind = pages.schema[id_col].dataType.simpleString()
@@ -130,7 +133,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     last = F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit(chr(ord(MARK) + 1)))
     left = rules.withColumn("part", F.explode(F.sequence(below(F.col("key")), below(last)))).withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))))
     left = left.select("part", "salt", "key", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("page"), F.lit(None).cast("string").alias("host"), F.col("rule_path").alias("path"), "verdict", "rule_host")
-    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(tasks.values()))
-    rows = left.unionByName(right).repartition(wide, "part", "salt").sortWithinPartitions("part", "salt", "key", "kind", "path", "verdict")
+    rows = left.unionByName(right).repartition(max(wide, sum(tasks.values())), "part", "salt").sortWithinPartitions("part", "salt", "key", "kind", "path", "verdict")
     judged = rows.mapInArrow(_sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
     return judged.select(F.col("page_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

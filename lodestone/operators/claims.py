@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .history import latest
+from .history import latest, ranked
 
 
 def latest_score(score: DataFrame) -> DataFrame:
@@ -93,3 +93,27 @@ def mark_checked(claim: DataFrame, ids: DataFrame, moment) -> DataFrame:
     mine = ids.select("claim_id").distinct().withColumn("_hit", F.lit(True))
     at = F.when(F.col("_hit"), F.coalesce("identity_checked_at", F.lit(moment).cast(claim.schema["identity_checked_at"].dataType))).otherwise(F.col("identity_checked_at"))
     return claim.join(mine, "claim_id", "left").withColumn("identity_checked_at", at).select(claim.columns)
+
+
+def evidence_nodes(evidence: DataFrame, nodes: DataFrame, papers: DataFrame) -> DataFrame:
+    """Evidence with what its node (tree_node_id, node) and its paper (paper_id, paper) are called."""
+    return evidence.join(nodes, "tree_node_id").join(papers, "paper_id").select("evidence_id", "claim_id", "node", "paper", "stance")
+
+
+def take_apart(claim: DataFrame, changed: DataFrame) -> DataFrame:
+    """(root_id, paper_id, claim_id) of groups with a member among `changed`: the claim that each paper's evidence goes back to."""
+    rooted = claim.select("claim_id", "paper_id", F.coalesce("canonical_claim_id", "claim_id").alias("root_id"))
+    hit = rooted.join(changed.select("claim_id"), "claim_id", "left_semi").select("root_id").distinct()
+    return rooted.join(hit, "root_id", "left_semi").groupBy("root_id", "paper_id").agg(F.min("claim_id").alias("claim_id"))
+
+
+def backed_mentions(mention: DataFrame, paper: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Each mention with its paper's title and, of the claims the paper backs, the highest."""
+    backed = evidence.groupBy("paper_id").agg(F.max("claim_id").alias("claim_id"))
+    return mention.join(paper.select("paper_id", "title"), "paper_id").join(backed, "paper_id").select("mention_id", "source", "score", "title", "claim_id")
+
+
+def number_citations(cited: DataFrame, key: str, item: str, order: str) -> DataFrame:
+    """(key, item, number): items numbered from 1 in the order in which they are first cited."""
+    first = cited.groupBy(key, item).agg(F.min(order).alias("_first"))
+    return ranked(first, [key], [F.asc("_first"), F.asc(item)], "number").select(key, item, F.col("number").cast("long").alias("number"))

@@ -46,3 +46,8 @@ def extraction_metrics(gold: DataFrame, extracted: DataFrame, keys: list[str]) -
     return all_.select(
         p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)).alias("f1"), ratio(F.col("span"), F.col("e")).alias("span_precision"), ratio(F.col("stance"), F.col("m")).alias("stance_accuracy")
     )
+
+
+def missing_gold(gold: DataFrame, known: DataFrame) -> DataFrame:
+    """Gold paths (scope_id, path) that no paper of the scope has."""
+    return gold.join(known.select("scope_id", "path").distinct(), ["scope_id", "path"], "left_anti")

@@ -74,3 +74,14 @@ def insert_with_ids(current: DataFrame, incoming: DataFrame, id_col: str) -> Dat
     within = F.row_number().over(Window.partitionBy("_part").orderBy("_n"))
     numbered = placed.withColumn("_part", part).withColumn("_at", within).join(starts, "_part")
     return numbered.select((F.lit(top) + F.col("_before") + F.col("_at")).alias(id_col), *incoming.columns)
+
+
+def first_spellings(terms: DataFrame, term: str, order: str) -> DataFrame:
+    """(name, n): of terms that differ in no more than case and outer spaces the first spelling, and how many there are."""
+    key = F.lower(F.trim(term))
+    return terms.groupBy(key.alias("_key")).agg(F.min_by(term, order).alias("name"), F.count("*").alias("n")).select("name", "n")
+
+
+def ordered_lookup(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """Known rows by `id`, each once for the place (pos) at which it is wanted; ids that nobody knows are left out."""
+    return wanted.select("pos", "id").distinct().join(known, "id")

@@ -113,3 +113,20 @@ def quality_factors(claims: DataFrame, as_of: date) -> DataFrame:
 
 def quality(factors: DataFrame) -> DataFrame:
     return factors.select("claim_id", total(*(F.col(c) for c in QUALITY_POINTS)).alias("evidence_quality"))
+
+
+def snapshots(score: DataFrame) -> DataFrame:
+    """Snapshots of confidence within its bounds, counted."""
+    bounded = F.least(F.greatest("confidence", F.lit(0).cast("long")), F.lit(100).cast("long"))
+    return score.groupBy("claim_id", bounded.alias("confidence")).agg(F.count("*").alias("snapshots"))
+
+
+def validation_lookup(claim: DataFrame, counts: DataFrame) -> DataFrame:
+    """Accepted and rejected records of each claim's paper, zeros if there are none."""
+    return claim.select("claim_id", "paper_id").join(counts, "paper_id", "left").select("claim_id", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
+
+def trace_lookup(claim: DataFrame, trace: DataFrame, default: str = "no_candidates") -> DataFrame:
+    """Why the latest traversal for each claim stopped; `trace`: claim_id, stopped_reason, created_at, trace_id."""
+    last = trace.groupBy("claim_id").agg(F.max_by("stopped_reason", F.struct("created_at", "trace_id")).alias("_last"))
+    return claim.select("claim_id").join(last, "claim_id", "left").select("claim_id", F.coalesce("_last", F.lit(default)).alias("stopped_reason"))

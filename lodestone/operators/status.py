@@ -41,3 +41,22 @@ def duplicate_subscriptions(wanted: DataFrame, claim: DataFrame, existing: DataF
     rooted = claim.select("claim_id", F.coalesce("canonical_claim_id", "claim_id").alias("root_id"))
     held = existing.join(rooted, "claim_id").select("root_id").distinct()
     return wanted.join(rooted, "claim_id").join(held, "root_id", "left_semi").select("claim_id", "root_id")
+
+
+#: Papers in one of these states have something to read.
+READABLE = ("parsed", "abstract_only")
+
+
+def eligible_papers(paper: DataFrame) -> DataFrame:
+    return paper.where(F.col("parse_status").isin(*READABLE)).select("paper_id", "parse_status")
+
+
+def first_scope(paper_scope: DataFrame) -> DataFrame:
+    """The least scope of each paper."""
+    return paper_scope.groupBy("paper_id").agg(F.min("scope_id").alias("scope_id"))
+
+
+def extraction_currency(paper: DataFrame, extracted: DataFrame, wanted: int = 1) -> DataFrame:
+    """Whether a paper has claims of exactly as many kinds as wanted; `extracted`: paper_id, kind."""
+    kinds = extracted.groupBy("paper_id").agg(F.countDistinct("kind").alias("_k"))
+    return paper.select("paper_id").join(kinds, "paper_id", "left").select("paper_id", (F.coalesce("_k", F.lit(0)) == wanted).alias("current"))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import root_segment
 from .scratch import drop, settle
 
 
@@ -115,3 +116,36 @@ def stop_reasons(opened: DataFrame, budget: int, tree: str = "paper_id") -> Data
     return opened.groupBy(tree).agg(F.count("*").alias("nodes_expanded"), F.bool_or("sufficient").alias("enough")).select(
         tree, "nodes_expanded", F.when(F.col("enough"), "sufficient_evidence").when(F.col("nodes_expanded") >= budget, "budget_exhausted").otherwise("no_candidates").alias("stopped_reason")
     )
+
+
+def currency(nodes: DataFrame, wanted: DataFrame | int, tree: str = "paper_id") -> DataFrame:
+    """Whether all nodes of a tree have one version and are as many as wanted: a number, or a frame (tree, wanted) whose trees without nodes aren't current."""
+    found = nodes.groupBy(tree, "version").agg(F.count("*").alias("_k")).groupBy(tree).agg(F.count("*").alias("_versions"), F.sum("_k").alias("_nodes"))
+    if isinstance(wanted, int):
+        found = found.withColumn("wanted", F.lit(wanted))
+    else:
+        found = wanted.select(tree, "wanted").join(found, tree, "left")
+    return found.select(tree, F.coalesce((F.col("_versions") == 1) & (F.col("_nodes") == F.col("wanted")), F.lit(False)).alias("current"))
+
+
+def abstract_sections(paper: DataFrame, sections: DataFrame) -> DataFrame:
+    """Papers of which only the abstract is known get one section, Abstract, if they have none."""
+    has = sections.select("paper_id").distinct().withColumn("_has", F.lit(True))
+    known = paper.where("parse_status = 'abstract_only'").join(has, "paper_id", "left")
+    return known.select("paper_id", F.col("_has").isNull().alias("synthetic"), F.when(F.col("_has").isNull(), "Abstract").otherwise(F.col("title")).alias("path"))
+
+
+def root_summaries(sections: DataFrame) -> DataFrame:
+    """The whole bodies of each paper's two top levels, in the order of their nodes."""
+    top = sections.where("parent is null or parent = 0").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("node", "body"))).alias("x"))
+    return top.select("paper_id", F.array_join(F.transform("x", lambda e: e["body"]), " | ").alias("summary"))
+
+
+def section_groups(sections: DataFrame) -> DataFrame:
+    """(paper_id, root, first_node, nodes): sections by the first segment of their path; `sections`: paper_id, node, path."""
+    return sections.select("paper_id", "node", root_segment(F.col("path")).alias("root")).groupBy("paper_id", "root").agg(F.min("node").alias("first_node"), F.count("*").alias("nodes"))
+
+
+def sections_of(sections: DataFrame, venue: str) -> DataFrame:
+    """The sections of a venue's papers with the lengths of their bodies."""
+    return sections.where(F.col("venue") == venue).select("paper_id", "node", F.length("body").cast("long").alias("chars"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import verbatim_span
+
 
 def scope_reason(name: Column, terms: Column, limit: Column, first: Column, last: Column) -> Column:
     """Why a scope definition is invalid; null if it isn't."""
@@ -41,3 +43,15 @@ def validate_records(raw: DataFrame, payload: str, allowed: DataFrame) -> DataFr
     known = allowed.select(F.col("node_id"), F.lit(True).alias("known")).distinct()
     reason = F.when(F.col("node_id").isNull(), "node_id").when(F.col("known").isNull(), "unknown node").when(F.col("claim_text").isNull() | (F.trim("claim_text") == ""), "claim_text")
     return parsed.join(known, "node_id", "left").select("record", "node_id", "claim_text", reason.alias("reason"))
+
+
+def link_verdicts(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`links` (tree_node_id, rationale and other columns) with a verdict: the rationale has to stand in its node's body, but for white space."""
+    found = links.join(nodes.select("tree_node_id", F.col("body").alias("_body")), "tree_node_id", "left")
+    verdict = F.when(F.col("_body").isNull(), "unknown node").when(verbatim_span("_body", "rationale").isNull(), "no verbatim rationale").otherwise("ok")
+    return found.withColumn("verdict", verdict).drop("_body")
+
+
+def enough_citable(nodes: DataFrame, first: Column, last: Column, least: int = 2) -> DataFrame:
+    """(question, n_citable, answerable): an answer needs at least `least` nodes whose pages are known."""
+    return nodes.groupBy("question").agg(F.count_if(citable(first, last)).alias("n_citable")).withColumn("answerable", F.col("n_citable") >= least)

@@ -107,18 +107,18 @@ def stale_claims(r: Roles) -> DataFrame:
 
 @query("SELECT e.evidence_id, e.claim_id, p.p_name AS node, s.s_name AS paper, e.stance FROM evidence e JOIN part p ON p.p_partkey = e.tree_node_id JOIN supplier s ON s.s_suppkey = e.paper_id")
 def evidence_nodes(r: Roles) -> DataFrame:
-    nodes, owners = r.read("part").select(F.col("p_partkey").alias("tree_node_id"), F.col("p_name").alias("node")), r.read("supplier").select(F.col("s_suppkey").alias("paper_id"), F.col("s_name").alias("paper"))
-    return r.evidence.join(nodes, "tree_node_id").join(owners, "paper_id").select("evidence_id", "claim_id", "node", "paper", "stance")
+    nodes = r.read("part").select(F.col("p_partkey").alias("tree_node_id"), F.col("p_name").alias("node"))
+    return claims.evidence_nodes(r.evidence, nodes, r.read("supplier").select(F.col("s_suppkey").alias("paper_id"), F.col("s_name").alias("paper")))
 
 
 @query("SELECT paper_id, min(scope_id) AS scope_id FROM (SELECT l_suppkey AS paper_id, l_orderkey % 25 AS scope_id FROM lineitem) GROUP BY paper_id")
 def first_scope(r: Roles) -> DataFrame:
-    return r.read("lineitem").groupBy(F.col("l_suppkey").alias("paper_id")).agg(F.min(F.col("l_orderkey") % 25).alias("scope_id"))
+    return status.first_scope(r.read("lineitem").select(F.col("l_suppkey").alias("paper_id"), (F.col("l_orderkey") % 25).alias("scope_id")))
 
 
 @query("SELECT paper_id, parse_status FROM paper WHERE parse_status IN ('parsed', 'abstract_only')")
 def eligible_papers(r: Roles) -> DataFrame:
-    return r.paper.where(F.col("parse_status").isin("parsed", "abstract_only")).select("paper_id", "parse_status")
+    return status.eligible_papers(r.paper)
 
 
 # status and subscriptions
@@ -210,9 +210,7 @@ def changes_mentions(r: Roles) -> DataFrame:
 
 @query("""SELECT m.mention_id, m.source, m.score, s.s_name AS title, x.claim_id FROM mention m JOIN supplier s ON s.s_suppkey = m.paper_id JOIN (SELECT paper_id, max(claim_id) AS claim_id FROM evidence GROUP BY 1) x ON x.paper_id = m.paper_id""")
 def digest_community(r: Roles) -> DataFrame:
-    """Each mention with its paper and, of the claims the paper backs, the highest."""
-    backed = r.evidence.groupBy("paper_id").agg(F.max("claim_id").alias("claim_id"))
-    return r.mention.join(r.read("supplier").select(F.col("s_suppkey").alias("paper_id"), F.col("s_name").alias("title")), "paper_id").join(backed, "paper_id").select("mention_id", "source", "score", "title", "claim_id")
+    return claims.backed_mentions(r.mention, r.read("supplier").select(F.col("s_suppkey").alias("paper_id"), F.col("s_name").alias("title")), r.evidence)
 
 
 @query("""SELECT claim_id, arg_max(CASE WHEN tree_node_id % 3 = 0 THEN '10.1/' || tree_node_id WHEN tree_node_id % 3 = 1 THEN 'arx.' || tree_node_id ELSE 'paper #' || paper_id END, evidence_id) AS ref FROM evidence GROUP BY 1""")
@@ -285,18 +283,13 @@ def distinct_on_union(r: Roles) -> DataFrame:
 
 @query("""SELECT claim_id, least(greatest(confidence, 0), 100) AS confidence, count(*) AS snapshots FROM score GROUP BY 1, 2""")
 def score_append(r: Roles) -> DataFrame:
-    """Snapshots of scores within their bounds, counted."""
-    bounded = r.score.select("claim_id", F.least(F.greatest("confidence", F.lit(0).cast("long")), F.lit(100).cast("long")).alias("confidence"))
-    return bounded.groupBy("claim_id", "confidence").agg(F.count("*").alias("snapshots"))
+    return scoring.snapshots(r.score)
 
 
 @query("""WITH x AS (SELECT claim_id, paper_id, coalesce(canonical_claim_id, claim_id) AS root_id, object_value > 200000 AS changed FROM claim), g AS (SELECT DISTINCT root_id FROM x WHERE changed)
   SELECT root_id, paper_id, min(claim_id) AS claim_id FROM x WHERE root_id IN (SELECT root_id FROM g) GROUP BY 1, 2""")
 def alias_invalidate(r: Roles) -> DataFrame:
-    """Groups with a changed member, taken apart: the claim that each paper's evidence goes back to."""
-    rooted = r.claim.select("claim_id", "paper_id", F.coalesce("canonical_claim_id", "claim_id").alias("root_id"), (F.col("object_value") > 200000).alias("changed"))
-    hit = rooted.where("changed").select("root_id").distinct()
-    return rooted.join(hit, "root_id", "left_semi").groupBy("root_id", "paper_id").agg(F.min("claim_id").alias("claim_id"))
+    return claims.take_apart(r.claim, r.claim.where("object_value > 200000"))
 
 
 # polling
@@ -305,7 +298,8 @@ def alias_invalidate(r: Roles) -> DataFrame:
 @query("""SELECT source, external_id, score, posted_at FROM (SELECT source, mention_id::VARCHAR AS external_id, score, created_at AS posted_at FROM mention) WHERE posted_at > TIMESTAMP '2024-01-25'""")
 def discourse_poll(r: Roles) -> DataFrame:
     items = r.mention.select("source", F.col("mention_id").cast("string").alias("external_id"), "score", F.col("created_at").alias("posted_at"))
-    return items.where("posted_at > timestamp_ntz'2024-01-25'")
+    marks = items.select("source").distinct().select("source", F.expr("timestamp_ntz'2024-01-25'").alias("mark"))
+    return poll.fresh(items, marks, time="posted_at")
 
 
 @query("""WITH o AS (SELECT source, max(created_at) AS mark FROM mention WHERE created_at <= TIMESTAMP '2024-01-10' GROUP BY 1)
@@ -385,33 +379,28 @@ def ranked_nodes(r: Roles) -> DataFrame:
 @query("""WITH v AS (SELECT paper_id, node % 2 AS version, count(*) AS k FROM section GROUP BY 1, 2), t AS (SELECT paper_id, count(*) AS versions, sum(k)::BIGINT AS nodes FROM v GROUP BY 1)
   SELECT paper_id, versions = 1 AND nodes = 1 AS current FROM t""")
 def tree_currency(r: Roles) -> DataFrame:
-    """A tree is current if all its nodes have one version and there are as many as wanted."""
-    v = r.section.groupBy("paper_id", (F.col("node") % 2).alias("version")).agg(F.count("*").alias("k"))
-    return v.groupBy("paper_id").agg(F.count("*").alias("versions"), F.sum("k").alias("nodes")).select("paper_id", ((F.col("versions") == 1) & (F.col("nodes") == 1)).alias("current"))
+    return trees.currency(r.section.withColumn("version", F.col("node") % 2), 1)
 
 
 @query("""SELECT p.paper_id, coalesce(c.k, 0) = 0 AS synthetic, CASE WHEN coalesce(c.k, 0) = 0 THEN 'Abstract' ELSE p.title END AS path FROM paper p LEFT JOIN (SELECT paper_id, count(*) AS k FROM claim GROUP BY 1) c USING (paper_id) WHERE p.parse_status = 'abstract_only'""")
 def abstract_section(r: Roles) -> DataFrame:
-    """Papers of which only the abstract is known get one section if they have none."""
-    has = r.claim.select("paper_id").distinct().withColumn("has", F.lit(True))
-    return r.paper.where("parse_status = 'abstract_only'").join(has, "paper_id", "left").select("paper_id", F.col("has").isNull().alias("synthetic"), F.when(F.col("has").isNull(), "Abstract").otherwise(F.col("title")).alias("path"))
+    return trees.abstract_sections(r.paper, r.claim)
 
 
-@query("SELECT paper_id, string_agg(substr(body, 1, 20), ' | ' ORDER BY node) AS summary FROM section WHERE parent IS NULL OR parent = 0 GROUP BY 1")
+@query("SELECT paper_id, string_agg(body, ' | ' ORDER BY node) AS summary FROM section WHERE parent IS NULL OR parent = 0 GROUP BY 1")
 def root_summaries(r: Roles) -> DataFrame:
-    top = r.section.where("parent is null or parent = 0").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("node", F.substring("body", 1, 20).alias("s")))).alias("x"))
-    return top.select("paper_id", F.array_join(F.transform("x", lambda e: e["s"]), " | ").alias("summary"))
+    return trees.root_summaries(r.section)
 
 
 @query("SELECT paper_id, root, min(node) AS first_node, count(*) AS nodes FROM (SELECT paper_id, node, split_part(split_part(body, ' ', 1) || '/x', '/', 1) AS root FROM section) GROUP BY 1, 2")
 def section_groups(r: Roles) -> DataFrame:
     path = F.concat(F.split_part("body", F.lit(" "), F.lit(1)), F.lit("/x"))
-    return r.section.select("paper_id", "node", text.root_segment(path).alias("root")).groupBy("paper_id", "root").agg(F.min("node").alias("first_node"), F.count("*").alias("nodes"))
+    return trees.section_groups(r.section.select("paper_id", "node", path.alias("path")))
 
 
 @query("SELECT paper_id, node, length(body) AS chars FROM section WHERE venue = 'src3'")
 def paper_sections(r: Roles) -> DataFrame:
-    return r.section.where("venue = 'src3'").select("paper_id", "node", F.length("body").cast("long").alias("chars"))
+    return trees.sections_of(r.section, "src3")
 
 
 @query("SELECT node, reason FROM (SELECT node, CASE WHEN n > 1 THEN 'repeated' WHEN top > 100 THEN 'relevance' WHEN o IS NULL THEN 'not opened' WHEN n IS NULL THEN 'missing' END AS reason FROM (SELECT coalesce(a.node, b.node) AS node, a.node AS o, b.n, b.top FROM (SELECT DISTINCT p_partkey AS node FROM part) a FULL JOIN (SELECT ps AS node, count(*) AS n, max(rel) AS top FROM (SELECT p_partkey * 2 AS ps, p_size * 3 AS rel FROM part) GROUP BY 1) b ON a.node = b.node)) WHERE reason IS NOT NULL".replace("CASE WHEN n > 1 THEN 'repeated' WHEN top > 100 THEN 'relevance' WHEN o IS NULL THEN 'not opened' WHEN n IS NULL THEN 'missing' END", "CASE WHEN o IS NULL THEN 'not opened' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' WHEN top > 100 THEN 'relevance' END"))
@@ -572,6 +561,14 @@ def citable_nodes(r: Roles) -> DataFrame:
     return r.read("part").select(F.col("p_partkey").alias("id"), validation.citable(first, last).alias("citable"))
 
 
+@query("SELECT p_size::BIGINT % 7 AS question, count(*) FILTER (p_size > 10 AND p_partkey % 3 = 1) AS n_citable, count(*) FILTER (p_size > 10 AND p_partkey % 3 = 1) >= 2 AS answerable FROM part GROUP BY 1")
+def answer_gate(r: Roles) -> DataFrame:
+    """Whether each question has enough nodes that can be cited."""
+    first = F.col("p_size") - 10
+    last = F.when(F.col("p_partkey") % 3 == 0, F.lit(None)).when(F.col("p_partkey") % 3 == 1, first).otherwise(first - 1)
+    return validation.enough_citable(r.read("part").withColumn("question", long("p_size") % 7), first, last)
+
+
 @query("""SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 5 = 0 THEN 'name' WHEN n_nationkey % 5 = 1 THEN 'terms' WHEN n_nationkey % 5 = 2 THEN 'limit' WHEN n_nationkey % 5 = 3 THEN 'dates' END AS reason FROM nation""")
 def scope_validation(r: Roles) -> DataFrame:
     k = F.col("n_nationkey") % 5
@@ -611,9 +608,8 @@ def validate_payloads(r: Roles) -> DataFrame:
 
 @query("SELECT name, n FROM (SELECT arg_min(p_brand, p_partkey) AS name, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE ' ' || p_brand || ' ' END AS p_brand, p_partkey FROM part) GROUP BY lower(trim(p_brand)))")
 def ci_unique(r: Roles) -> DataFrame:
-    """First spelling of each term that differs in more than case and outer spaces."""
-    raw = r.read("part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.concat(F.lit(" "), F.col("p_brand"), F.lit(" "))).alias("term"), "p_partkey")
-    return raw.groupBy(F.lower(F.trim("term")).alias("key")).agg(F.min_by("term", "p_partkey").alias("name"), F.count("*").alias("n")).select("name", "n")
+    term = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.concat(F.lit(" "), F.col("p_brand"), F.lit(" ")))
+    return history.first_spellings(r.read("part").select(term.alias("term"), "p_partkey"), "term", "p_partkey")
 
 
 # identity
@@ -771,45 +767,40 @@ def recency_band(r: Roles) -> DataFrame:
 
 @query("SELECT c.claim_id, coalesce(v.accepted, 0) AS accepted, coalesce(v.rejected, 0) AS rejected FROM claim c LEFT JOIN (SELECT paper_id, count(*) FILTER (stance = 'supports') AS accepted, count(*) FILTER (stance = 'refutes') AS rejected FROM evidence GROUP BY 1) v USING (paper_id)")
 def validation_lookup(r: Roles) -> DataFrame:
-    """Validation counts of each claim's paper, zeros if there are none."""
-    v = r.evidence.groupBy("paper_id").agg(F.count_if(F.col("stance") == "supports").alias("accepted"), F.count_if(F.col("stance") == "refutes").alias("rejected"))
-    return r.claim.join(v, "paper_id", "left").select("claim_id", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
+    of = lambda stance: F.count_if(F.col("stance") == stance)
+    return scoring.validation_lookup(r.claim, r.evidence.groupBy("paper_id").agg(of("supports").alias("accepted"), of("refutes").alias("rejected")))
 
 
 @query("SELECT c.claim_id, coalesce(t.source, 'no_candidates') AS stopped_reason FROM claim c LEFT JOIN (SELECT author_id, arg_max(source, (created_at, mention_id)) AS source FROM mention GROUP BY 1) t ON t.author_id = c.claim_id")
 def trace_lookup(r: Roles) -> DataFrame:
-    """The latest trace of each claim's question, or the default."""
-    last = r.mention.groupBy(F.col("author_id").alias("claim_id")).agg(F.max_by("source", F.struct("created_at", "mention_id")).alias("source"))
-    return r.claim.join(last, "claim_id", "left").select("claim_id", F.coalesce("source", F.lit("no_candidates")).alias("stopped_reason"))
+    return scoring.trace_lookup(r.claim, r.mention.select(F.col("author_id").alias("claim_id"), F.col("source").alias("stopped_reason"), "created_at", F.col("mention_id").alias("trace_id")))
 
 
 @query("SELECT p.paper_id, coalesce(e.k, 0) = 1 AS current FROM paper p LEFT JOIN (SELECT paper_id, count(DISTINCT claim_type) AS k FROM claim GROUP BY 1) e USING (paper_id)")
 def extraction_currency(r: Roles) -> DataFrame:
-    e = r.claim.groupBy("paper_id").agg(F.countDistinct("claim_type").alias("k"))
-    return r.paper.join(e, "paper_id", "left").select("paper_id", (F.coalesce("k", F.lit(0)) == 1).alias("current"))
+    return status.extraction_currency(r.paper, r.claim.select("paper_id", F.col("claim_type").alias("kind")))
 
 
 @query("""SELECT pos, p_partkey AS id, p_name AS name FROM (SELECT l_orderkey AS pos, unnest(list(DISTINCT l_partkey)) AS p_partkey FROM lineitem WHERE l_quantity > 45 GROUP BY 1) JOIN part USING (p_partkey) WHERE p_size > 5""")
 def ordered_lookup(r: Roles) -> DataFrame:
-    """Wanted ids with their place, those that exist, each once for a place."""
-    wanted = r.read("lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("pos"), F.col("l_partkey").alias("id")).distinct()
-    return wanted.join(r.read("part").where("p_size > 5").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "id").select("pos", "id", "name")
+    wanted = r.read("lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("pos"), F.col("l_partkey").alias("id"))
+    known = r.read("part").where("p_size > 5").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return history.ordered_lookup(wanted, known).select("pos", "id", "name")
 
 
 @query("SELECT claim_id, tree_node_id, row_number() OVER (PARTITION BY claim_id ORDER BY first) AS number FROM (SELECT claim_id, tree_node_id, min(evidence_id) AS first FROM evidence GROUP BY 1, 2)")
 def citation_numbers(r: Roles) -> DataFrame:
-    """Nodes numbered in the order in which they are first cited."""
-    first = r.evidence.groupBy("claim_id", "tree_node_id").agg(F.min("evidence_id").alias("first"))
-    return history.ranked(first, ["claim_id"], [F.asc("first")], "number").select("claim_id", "tree_node_id", long("number").alias("number"))
+    return claims.number_citations(r.evidence, "claim_id", "tree_node_id", "evidence_id")
 
 
 @query("""SELECT e.claim_id, e.evidence_id, CASE WHEN p_size IS NULL THEN 'unknown node' WHEN p_size % 4 = 0 THEN 'no verbatim rationale' ELSE 'ok' END AS verdict FROM evidence e LEFT JOIN part ON p_partkey = e.tree_node_id AND p_size > 3""")
 def link_validation(r: Roles) -> DataFrame:
-    """Links to known nodes whose rationale stands in the node word for word."""
-    nodes = r.read("part").where("p_size > 3").select(F.col("p_partkey").alias("tree_node_id"), F.col("p_name").alias("body"), "p_size")
-    rationale = F.when(F.col("p_size") % 4 == 0, F.concat(F.col("body"), F.lit("!"))).otherwise(F.substring("body", 1, 4))
-    verdict = F.when(F.col("body").isNull(), "unknown node").when(~F.contains("body", rationale), "no verbatim rationale").otherwise("ok")
-    return r.evidence.join(nodes, "tree_node_id", "left").select("claim_id", "evidence_id", verdict.alias("verdict"))
+    """The rationale is the node's whole body with wider spaces, or for some nodes what they don't say."""
+    part = r.read("part").select(F.col("p_partkey").alias("tree_node_id"), F.col("p_name").alias("body"), "p_size")
+    wide = F.regexp_replace("body", " ", "  ")
+    said = part.select("tree_node_id", F.when(F.col("p_size") % 4 == 0, F.concat(wide, F.lit("!"))).otherwise(wide).alias("rationale"))
+    links = r.evidence.select("claim_id", "evidence_id", "tree_node_id").join(said, "tree_node_id", "left")
+    return validation.link_verdicts(links, part.where("p_size > 3")).select("claim_id", "evidence_id", "verdict")
 
 
 @query(f"""WITH o AS (SELECT claim_id, observation_id, regexp_extract_all(lower(claim_text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM observation),
@@ -820,11 +811,10 @@ def verbatim_overlap(r: Roles) -> DataFrame:
     return o.join(after, ["claim_id", "observation_id"]).select("claim_id", "observation_id", text.verbatim_overlap("claim_text", "body").alias("overlap"))
 
 
-@query(r"SELECT item_id, CASE WHEN regexp_full_match(substr(text, 5, 30), '\S[^\n]*\S') THEN substr(text, 5, 30) END AS span FROM benchmark")
+@query(r"SELECT item_id, nullif(regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'), '') AS span FROM benchmark")
 def verbatim_span(r: Roles) -> DataFrame:
-    piece = F.substring("text", 5, 30)
-    wanted = F.when(piece.rlike(r"^\S[^\n]*\S\z"), F.regexp_replace(piece, r"\s+", "  "))
-    return r.read("benchmark").select("item_id", text.verbatim_span("text", wanted).alias("span"))
+    """Each whole text, looked up with other white space than it has."""
+    return r.read("benchmark").select("item_id", text.verbatim_span("text", F.regexp_replace("text", r"\s+", "  ")).alias("span"))
 
 
 @query("""SELECT paper_id, max((len(regexp_extract_all(lower(body), '\\bthe\\b')) + len(regexp_extract_all(lower(body), '\\bof\\b')))::BIGINT) AS rank FROM section WHERE regexp_matches(lower(body), '\\bthe\\b') AND regexp_matches(lower(body), '\\bof\\b') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
@@ -900,10 +890,8 @@ def unsupported_statements(r: Roles) -> DataFrame:
 
 @query("SELECT DISTINCT s.scope_id, g.path FROM (SELECT n_nationkey::BIGINT AS scope_id, unnest(['BUILDING', 'MACHINERY', 'ROBOTICS']) AS path FROM nation) g JOIN scope s USING (scope_id) WHERE NOT EXISTS (SELECT 1 FROM paper JOIN paper_scope p USING (paper_id) WHERE p.scope_id = g.scope_id AND venue = g.path)")
 def gold_path_antijoin(r: Roles) -> DataFrame:
-    """Gold paths that no paper of the scope has."""
     gold = r.scope.select("scope_id", F.explode(F.array(F.lit("BUILDING"), F.lit("MACHINERY"), F.lit("ROBOTICS"))).alias("path"))
-    known = r.paper.join(r.paper_scope, "paper_id").select("scope_id", F.col("venue").alias("path")).distinct()
-    return gold.join(known, ["scope_id", "path"], "left_anti")
+    return evaluate.missing_gold(gold, r.paper.join(r.paper_scope, "paper_id").select("scope_id", F.col("venue").alias("path")))
 
 
 @query()

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINE_COLUMNS = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+#: Room for the lines of an order in their ids; keys up to 9e11 fit into 64 bits, beyond these the product overflows with an error.
+LINES = 10_000_000
 
 
 class Roles:
@@ -46,10 +48,10 @@ class Roles:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        """Ids number the lines of an order, at most 999 of them."""
+        """Ids number the lines of an order; an order of LINES or more fails instead of taking the ids of the next."""
         at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_COLUMNS))
         return self.read("lineitem").select(
-            (F.col("l_orderkey") * 1000 + at).alias("evidence_id"), F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("tree_node_id"), F.col("l_suppkey").alias("paper_id"),
+            F.when(at < LINES, F.col("l_orderkey") * LINES + at).otherwise(F.raise_error(F.lit("too many lines in one order")).cast("long")).alias("evidence_id"), F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("tree_node_id"), F.col("l_suppkey").alias("paper_id"),
             F.when(F.col("l_returnflag") == "A", "supports").when(F.col("l_returnflag") == "R", "refutes").otherwise("mentions").alias("stance"),
             (F.col("l_linestatus") == "F").alias("is_direct"), F.col("l_shipdate").alias("created_at"), F.col("l_quantity").alias("quantity"),
         )
@@ -87,7 +89,7 @@ paper AS (SELECT c_custkey AS paper_id, c_name AS title, c_mktsegment AS venue,
 paper_scope AS (SELECT c_custkey AS paper_id, c_nationkey::BIGINT AS scope_id FROM customer),
 claim AS (SELECT o_orderkey AS claim_id, o_custkey AS paper_id, o_orderpriority AS claim_type, o_orderstatus AS predicate, o_totalprice AS object_value, o_orderdate AS created_at,
   CASE WHEN o_orderkey % 5 = 1 THEN o_orderkey - 1 END AS canonical_claim_id FROM orders),
-evidence AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS evidence_id,
+evidence AS (SELECT l_orderkey * 10000000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS evidence_id,
   l_orderkey AS claim_id, l_partkey AS tree_node_id, l_suppkey AS paper_id, CASE l_returnflag WHEN 'A' THEN 'supports' WHEN 'R' THEN 'refutes' ELSE 'mentions' END AS stance,
   l_linestatus = 'F' AS is_direct, l_shipdate AS created_at, l_quantity AS quantity FROM lineitem),
 score AS (SELECT event_id AS score_id, user_id AS claim_id, floor(value)::BIGINT % 101 AS confidence, json_extract_string(props, '$.k')::BIGINT AS evidence_quality, ts AS scored_at FROM events),

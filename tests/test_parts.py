@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import registry
 from lodestone.functions.text import Runs, split_quantity
-from lodestone.operators import claims, history, records, scoring
+from lodestone.operators import claims, history, records, scoring, trees, validation
 from lodestone.plans import digest
 from lodestone.sources import feeds, papers
 from lodestone.streaming import poll
@@ -142,3 +142,34 @@ def test_feeds_of_communities(spark, tmp_path):
     daily = [{"publishedAt": None, "title": None, "numComments": 1, "paper": {"id": "2401.1", "title": "P", "summary": "s", "upvotes": 9, "publishedAt": "2024-01-02T00:00:00.000Z", "submittedOnDailyAt": None}}]
     r = feeds.daily_papers(one(daily)).first()
     assert (r.external_id, r.title, r.score, r.posted_at.day) == ("2401.1", "P", 9, 2)
+
+
+def test_currency_of_trees_by_counts_and_versions(spark):
+    nodes = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 2), (3, 1)], "paper_id long, version long")
+    wanted = spark.createDataFrame([(1, 2), (2, 2), (3, 2), (4, 1)], "paper_id long, wanted long")
+    assert {r.paper_id: r.current for r in trees.currency(nodes, wanted).collect()} == {1: True, 2: False, 3: False, 4: False}
+    assert {r.paper_id: r.current for r in trees.currency(nodes, 1).collect()} == {1: False, 2: False, 3: True}
+
+
+def test_rationales_stand_in_their_node_but_for_white_space(spark):
+    nodes = spark.createDataFrame([(1, "One  two\nthree."), (2, None)], "tree_node_id long, body string")
+    links = spark.createDataFrame([(1, 1, "two three"), (2, 1, "two, three"), (3, 9, "two"), (4, 1, None), (5, 1, " "), (6, 2, "two")], "evidence_id long, tree_node_id long, rationale string")
+    got = {r.evidence_id: r.verdict for r in validation.link_verdicts(links, nodes).collect()}
+    none = "no verbatim rationale"
+    assert got == {1: "ok", 2: none, 3: "unknown node", 4: none, 5: none, 6: "unknown node"}
+
+
+def test_groups_with_a_changed_member_are_taken_apart(spark):
+    claim = spark.createDataFrame([(1, 7, None), (2, 8, 1), (3, 8, 1), (4, 7, None)], "claim_id long, paper_id long, canonical_claim_id long")
+    changed = spark.createDataFrame([(3,), (3,), (None,)], "claim_id long")
+    assert sorted(map(tuple, claims.take_apart(claim, changed).collect())) == [(1, 7, 1), (1, 8, 2)]
+
+
+def test_too_many_lines_in_one_order_fail(spark, monkeypatch, tmp_path):
+    from lodestone.plans import roles
+
+    monkeypatch.setattr(roles, "LINES", 3)
+    columns = [F.lit(1).cast("long").alias(c) for c in [*roles.LINE_COLUMNS, "l_orderkey"]]
+    spark.range(3).select(*columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    with pytest.raises(Exception, match="too many lines"):
+        roles.Roles(spark, str(tmp_path)).evidence.collect()

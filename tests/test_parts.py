@@ -169,7 +169,7 @@ def test_too_many_lines_in_one_order_fail(spark, monkeypatch, tmp_path):
     from lodestone.plans import roles
 
     monkeypatch.setattr(roles, "LINES", 3)
-    columns = [F.lit(1).cast("long").alias(c) for c in [*roles.LINE_COLUMNS, "l_orderkey"]]
+    columns = [F.lit(1).cast("string" if c in ("l_returnflag", "l_linestatus") else "long").alias(c) for c in [*roles.LINE_COLUMNS, "l_orderkey"]]
     spark.range(3).select(*columns).write.parquet(str(tmp_path / "lineitem.parquet"))
     with pytest.raises(Exception, match="too many lines"):
         roles.Roles(spark, str(tmp_path)).evidence.collect()

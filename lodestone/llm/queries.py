@@ -10,12 +10,15 @@ from .decontaminate import contamination_report
 from .html_text import extract_text
 from .license_scan import scan_licenses
 from .minhash_dedup import near_duplicates
+from .mixing import mix
 from .packing import pack
 from .quality import fit_bands, quality
 from .sharding import shard_by_bytes
 from .suffix_dedup import remove_repeats
 from .toxicity import held_out, score, train
 from .url_filter import judge_urls, rule_table
+from .vector_codes import encode
+from .whitening import whiten
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +65,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -73,9 +88,43 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
+    "op11_mixing": op11_mixing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_whitening": op13_whitening,
 }
 
+
+def _codes_sql(rounds: int) -> str:
+    """The rounds of op12 one after the other; all numbers are integers that doubles hold exactly."""
+    nearest = "SELECT n, p.part, p.v, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT n, p.part, p.v, entry, list_inner_product(p.v, p.v) - 2 * list_inner_product(p.v, b.v) + list_inner_product(b.v, b.v) AS d FROM p JOIN b{0} b USING (part)) p GROUP BY 1, 2, 3"
+    after = "SELECT part, entry, coalesce(m.v, o.v) AS v FROM b{0} o LEFT JOIN (SELECT part, entry, list(floor(s / k) ORDER BY pos) AS v FROM (SELECT part, entry, pos, sum(c) AS s, count(*) AS k FROM (SELECT part, entry, unnest(v) AS c, generate_subscripts(v, 1) AS pos FROM a{0}) GROUP BY 1, 2, 3) GROUP BY 1, 2) m USING (part, entry)"
+    steps = ",\n        ".join(f"a{k} AS MATERIALIZED ({nearest.format(k)}), b{k + 1} AS MATERIALIZED ({after.format(k)})" for k in range(rounds))
+    return f"""
+        WITH e AS MATERIALIZED (SELECT vec_id, label, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT n, part, v[part * len(v) // 8 + 1:(part + 1) * len(v) // 8] AS v FROM e, range(8) t(part)),
+        b0 AS MATERIALIZED (SELECT part, entry, v FROM p JOIN (SELECT n, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e ORDER BY vec_id LIMIT 16) USING (n)),
+        {steps},
+        f AS ({nearest.format(rounds)}),
+        c AS (SELECT n, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM f GROUP BY 1),
+        h AS (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY part, entry, pos)) AS digest FROM (SELECT part, entry, unnest(v) AS c, generate_subscripts(v, 1) AS pos FROM b{rounds}))
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM e JOIN c USING (n), h
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_mixing": r"""
+        WITH d AS (SELECT doc_id, source, row_number() OVER () AS n, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>{}\[\]=\\]')) AS symbols,
+            (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u FROM documents),
+        k AS (SELECT *, CASE WHEN size > 0 THEN -ln(u) / ((CASE WHEN size < 10 THEN 0.5 ELSE 1 END)::DOUBLE * size / (size + 4 * symbols + 1)) ELSE 0 END AS key FROM d),
+        s AS (SELECT source, sum(size) AS source_size FROM k GROUP BY 1),
+        w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+        c AS (SELECT *, coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shared FROM w),
+        l AS (SELECT max(((SELECT sum(size) FROM k) - spent)::DOUBLE / shared) AS level FROM c),
+        t AS (SELECT source, source_size::BIGINT AS source_size, least((3 * source_size)::DOUBLE, weight * level) AS target FROM w, l),
+        r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS LAST, n ROWS UNBOUNDED PRECEDING) - size AS before FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, (epochs * size + least(greatest(round(target - epochs * source_size) - before, 0), size))::BIGINT AS taken, epochs FROM r
+    """,
+    "op12_vector_codes": _codes_sql(6),
     "op8_url_filter": r"""
         WITH rules(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
         p AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -470,14 +470,14 @@ def parse_quantity(r: Roles) -> DataFrame:
 
 
 MENTIONED = """CASE c_custkey % 4 WHEN 0 THEN 'see https://arxiv.org/abs/24' || lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') || '.' || lpad(c_custkey::VARCHAR, 5, '0') || 'v2 now'
-  WHEN 1 THEN 'text (doi:10.1038/S' || c_custkey || ').' WHEN 2 THEN 'old arXiv:quant-ph/' || lpad(c_custkey::VARCHAR, 7, '0') || ' and https://doi.org/10.1000/' || c_custkey || ';' ELSE 'none here' END"""
-MENTIONED_SPARK = MENTIONED.replace("(c_custkey % 12 + 1)::VARCHAR", "string(c_custkey % 12 + 1)").replace("c_custkey::VARCHAR", "string(c_custkey)")
+  WHEN 1 THEN 'text (doi:10.1038/S' || c_custkey || ').' WHEN 2 THEN 'old arXiv:quant-ph/06' || lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || ' and https://doi.org/10.1000/' || c_custkey || ';' ELSE 'none here' END"""
+MENTIONED_SPARK = MENTIONED.replace("(c_custkey % 12 + 1)::VARCHAR", "string(c_custkey % 12 + 1)").replace("(c_custkey % 1000)::VARCHAR", "string(c_custkey % 1000)").replace("c_custkey::VARCHAR", "string(c_custkey)")
 
 
 @query(rf"""WITH t AS (SELECT c_custkey AS item_id, {MENTIONED} AS body FROM customer),
-  x AS (SELECT item_id, 'arxiv' AS kind, unnest(regexp_extract_all(body, '(?:arxiv\.org/(?:abs|pdf)/|arxiv:)?(\d{{4}}\.\d{{4,5}})(?:v\d+)?(?:\.pdf)?', 1, 'i')) AS value FROM t
-  UNION SELECT item_id, 'arxiv', unnest(regexp_extract_all(body, '(?:arxiv\.org/(?:abs|pdf)/|arxiv:)?([a-z\-]+(?:\.[A-Za-z]{{2}})?/\d{{7}})(?:v\d+)?(?:\.pdf)?', 1, 'i')) FROM t
-  UNION SELECT item_id, 'doi', unnest(list_transform(regexp_extract_all(body, '(?:https?://(?:dx\.)?doi\.org/|doi:)?(10\.\d{{4,9}}/[^\s"<>]+)', 1, 'i'), lambda d: rtrim(d, ').,;]'))) FROM t)
+  x AS (SELECT item_id, 'arxiv' AS kind, unnest(regexp_extract_all(body, '(?:^|[^0-9])([0-9][0-9](?:0[1-9]|1[0-2])\.[0-9]{{4,5}})(?:[^0-9]|$)', 1)) AS value FROM t
+  UNION SELECT item_id, 'arxiv', unnest(regexp_extract_all(body, '(?:^|[^\w.-])([a-z]+(?:-[a-z]+)*(?:\.[a-z]{{2}})?/[0-9][0-9](?:0[1-9]|1[0-2])[0-9]{{3}})(?:[^0-9]|$)', 1, 'i')) FROM t
+  UNION SELECT item_id, 'doi', unnest(list_transform(regexp_extract_all(body, '(?:^|[^0-9.])(10\.[0-9]{{4,}}(?:\.[0-9]+)*/[^\s<>"]+)', 1), lambda d: rtrim(d, '.,;)]'))) FROM t)
   SELECT item_id, kind, lower(value) AS value FROM x""")
 def extract_identifiers(r: Roles) -> DataFrame:
     t = r.read("customer").select(F.col("c_custkey").alias("item_id"), F.expr(MENTIONED_SPARK).alias("body"))

@@ -57,6 +57,8 @@ def test_quantities(spark, raw, value, unit):
     [
         ("https://arxiv.org/abs/2601.01234", [("arxiv", "2601.01234")]), ("https://arxiv.org/pdf/quant-ph/0601001.pdf", [("arxiv", "quant-ph/0601001")]),
         ("see 2601.01234 and arXiv:1706.03762v5", [("arxiv", "2601.01234"), ("arxiv", "1706.03762")]), ("https://doi.org/10.1038/s41586-023-00001-x", [("doi", "10.1038/s41586-023-00001-x")]), ("", []),
+        ("month 2413.01234, run 12401.01234 and 2401.012345", []), ("(hep-th/9901001v2), math.GT/0309136.", [("arxiv", "hep-th/9901001"), ("arxiv", "math.gt/0309136")]),
+        ("<a href=\"https://dx.doi.org/10.1000.10/A(1)b\">x</a>; DOI:10.1002/x.y).", [("doi", "10.1000.10/a(1)b"), ("doi", "10.1002/x.y")]), ("110.1000/x 10.99/y hep-th/9913001", []),
     ],
 )
 def test_identifiers(spark, body, want):

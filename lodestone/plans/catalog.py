@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import changes, claims, evaluate, history, identity, records, scoring, search, status, trees, validation
+from ..operators import changes, claims, evaluate, history, identity, records, scoring, search, search_index, status, trees, validation
+from ..operators.scratch import folder
+from ..sinks.versioned import VersionedTable
 from ..sources import feeds, papers, tei
 from ..streaming import poll
 from .roles import ROLE_SQL, Roles
@@ -292,6 +294,49 @@ def alias_invalidate(r: Roles) -> DataFrame:
     return claims.take_apart(r.claim, r.claim.where("object_value > 200000"))
 
 
+# the same merges as changes of a table on disk
+
+
+def months(r: Roles) -> list[DataFrame]:
+    """Scores of the two halves of a month, each claim's latest."""
+    halves = ["scored_at <= timestamp_ntz'2024-01-15'", "scored_at > timestamp_ntz'2024-01-15'"]
+    return [claims.latest_score(r.score.where(h)).select("claim_id", "confidence", "evidence_quality") for h in halves]
+
+
+LATEST_HALVES = """WITH o AS (SELECT * FROM score WHERE scored_at <= TIMESTAMP '2024-01-15'), n AS (SELECT * FROM score WHERE scored_at > TIMESTAMP '2024-01-15'),
+  a AS (SELECT claim_id, arg_max(confidence, (scored_at, score_id)) AS confidence, arg_max(evidence_quality, (scored_at, score_id)) AS evidence_quality FROM o GROUP BY 1), b AS (SELECT claim_id, arg_max(confidence, (scored_at, score_id)) AS confidence, arg_max(evidence_quality, (scored_at, score_id)) AS evidence_quality FROM n GROUP BY 1) """
+
+
+@query(LATEST_HALVES + "SELECT * FROM b UNION ALL SELECT * FROM a WHERE claim_id NOT IN (SELECT claim_id FROM b)")
+def sink_upsert(r: Roles) -> DataFrame:
+    """Two batches into a table by claim; the second comes twice, as after a job that was repeated."""
+    first, second = months(r)
+    table = VersionedTable.create(r.spark, folder(r.spark), first.schema, ["claim_id"])
+    for k, batch in enumerate([first, second, second]):
+        table.upsert(batch, once=("scores", min(k, 1)))
+    return table.read()
+
+
+@query(LATEST_HALVES + "SELECT * FROM a UNION ALL SELECT * FROM b WHERE claim_id NOT IN (SELECT claim_id FROM a)")
+def sink_insert_ignore(r: Roles) -> DataFrame:
+    first, second = months(r)
+    table = VersionedTable.create(r.spark, folder(r.spark), first.schema, ["claim_id"])
+    for batch in (first, second):
+        table.insert_ignore(batch, [F.asc("claim_id")])
+    return table.read()
+
+
+@query("""SELECT claim_id, evidence_id, stance FROM evidence WHERE is_direct AND claim_id NOT IN (SELECT claim_id FROM evidence WHERE stance = 'refutes') AND claim_id % 7 <> 3 UNION ALL SELECT claim_id, evidence_id, stance FROM evidence WHERE stance = 'refutes' AND claim_id % 7 <> 3""")
+def sink_replace(r: Roles) -> DataFrame:
+    """All rows of a claim anew, then some claims deleted; read as of the last version."""
+    rows = r.evidence.select("claim_id", "evidence_id", "stance", "is_direct")
+    table = VersionedTable.create(r.spark, folder(r.spark), rows.drop("is_direct").schema, ["claim_id"])
+    table.append(rows.where("is_direct").drop("is_direct"))
+    table.replace(rows.where("stance = 'refutes'").drop("is_direct"))
+    table.delete(rows.where("claim_id % 7 = 3").select("claim_id").distinct())
+    return table.read()
+
+
 # polling
 
 
@@ -817,18 +862,41 @@ def verbatim_span(r: Roles) -> DataFrame:
     return r.read("benchmark").select("item_id", text.verbatim_span("text", F.regexp_replace("text", r"\s+", "  ")).alias("span"))
 
 
-@query("""SELECT paper_id, max((len(regexp_extract_all(lower(body), '\\bthe\\b')) + len(regexp_extract_all(lower(body), '\\bof\\b')))::BIGINT) AS rank FROM section WHERE regexp_matches(lower(body), '\\bthe\\b') AND regexp_matches(lower(body), '\\bof\\b') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+#: A question with a negation and a phrase; in SQL the lexemes are given by the words that have them.
+ASKED = 'ering oned -worthless or "aning ones"'
+FORMS = "CASE " + " ".join(f"WHEN regexp_full_match(word, '{x}(e|es|ed|ing|edly|ingly)') THEN '{x}e'" for x in ("er", "on", "an")) + " WHEN word = 'worthless' THEN word END"
+SHORTLISTED = rf"""WITH t AS (SELECT paper_id, node, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+') AS w FROM section), u AS (SELECT paper_id, node, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM t),
+  e AS MATERIALIZED (SELECT paper_id, node, pos, lex, row_number() OVER (PARTITION BY paper_id, node ORDER BY pos) AS nth FROM (SELECT paper_id, node, pos, {FORMS} AS lex FROM u) WHERE lex IS NOT NULL),
+  o AS (SELECT paper_id, node, lex AS k, pos AS start, pos AS stop FROM e UNION ALL SELECT a.paper_id, a.node, 'phrase', a.pos, b.pos FROM e a JOIN e b ON a.paper_id = b.paper_id AND a.node = b.node AND b.pos = a.pos + 1 AND a.lex = 'ane' AND b.lex = 'one'),
+  s AS (SELECT paper_id, node, stop, max(start) FILTER (k = 'ere') OVER w AS ere, max(start) FILTER (k = 'one') OVER w AS one, max(start) FILTER (k = 'phrase') OVER w AS phrase, bool_or(k = 'worthless') OVER (PARTITION BY paper_id, node) AS banned FROM o WINDOW w AS (PARTITION BY paper_id, node ORDER BY stop)),
+  f AS (SELECT paper_id, node, stop, CASE WHEN ere IS NULL OR one IS NULL OR banned THEN phrase ELSE greatest(least(ere, one), coalesce(phrase, 0)) END AS start FROM s),
+  c AS (SELECT paper_id, node, start, min(stop) AS stop FROM f WHERE start IS NOT NULL GROUP BY 1, 2, 3),
+  r AS (SELECT c.paper_id, c.node, sum(floor(1000000000 / (1 + (c.stop - c.start) - (b.nth - a.nth)))) AS n FROM c JOIN e a ON a.paper_id = c.paper_id AND a.node = c.node AND a.pos = c.start JOIN e b ON b.paper_id = c.paper_id AND b.node = c.node AND b.pos = c.stop GROUP BY 1, 2)
+  SELECT paper_id, max(n) / 10000000000 AS rank FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"""
+
+
+@query(SHORTLISTED)
 def fts_shortlist(r: Roles) -> DataFrame:
-    return search.shortlist(r.section, "the of", limit=20)
+    return search.shortlist(r.section, ASKED, limit=20)
+
+
+@query(SHORTLISTED)
+def fts_indexed(r: Roles) -> DataFrame:
+    """The same by an index: some sections come first with other bodies, then all as they are."""
+    index = search_index.SearchIndex(r.spark, folder(r.spark))
+    units = search.as_units(r.section, unit="node")
+    index.refresh(units.where("unit % 20 = 0").withColumn("body", F.concat(F.lit("ering of oned "), "body")))
+    index.refresh(units)
+    return index.shortlist(ASKED, 20)
 
 
-@query("""WITH t AS (SELECT paper_id, body FROM section UNION ALL SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'The report of the ' || source ELSE 'the ' || source END FROM documents)
-  SELECT paper_id, max((len(regexp_extract_all(lower(body), '\\bthe\\b')) + len(regexp_extract_all(lower(body), '\\bof\\b')))::BIGINT) AS rank FROM t JOIN documents d ON d.doc_id = paper_id AND d.lang = 'en' WHERE regexp_matches(lower(body), '\\bthe\\b') AND regexp_matches(lower(body), '\\bof\\b') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""")
+@query(r"""WITH t AS (SELECT paper_id, body FROM section UNION ALL SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'The reports of the ' || source ELSE 'the ' || source END FROM documents)
+  SELECT paper_id, max(len(list_filter(regexp_extract_all(lower(body), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, 'er(e|es|ed|ing|edly|ingly)|report(|s|ed|ing)')))) / 10 AS rank FROM t JOIN documents d ON d.doc_id = paper_id AND d.lang = 'en' GROUP BY 1 HAVING rank > 0 ORDER BY 2 DESC, 1 LIMIT 50""")
 def fts_scoped(r: Roles) -> DataFrame:
     """Papers of one scope by the greater of two ranks: of their titles, and of their best section."""
     d = r.read("documents")
-    title = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("The report of the "), F.col("source"))).otherwise(F.concat(F.lit("the "), F.col("source")))
-    return search.shortlist(r.section, "the of", 50, papers=d.select(F.col("doc_id").alias("paper_id"), title.alias("title")), scope="en", paper_scopes=d.select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("scope_name")))
+    title = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("The reports of the "), F.col("source"))).otherwise(F.concat(F.lit("the "), F.col("source")))
+    return search.shortlist(r.section, "ered or report", 50, papers=d.select(F.col("doc_id").alias("paper_id"), title.alias("title")), scope="en", paper_scopes=d.select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("scope_name")))
 
 
 @query("""WITH g AS (SELECT o_orderkey AS claim_id, o_orderkey - o_orderkey % 20 AS canonical_id FROM orders WHERE o_orderkey % 10 = 0)

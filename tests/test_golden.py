@@ -159,13 +159,13 @@ def test_shortlist_by_title_abstract_and_scope(spark):
     papers = [(1, "A noise model of noise", "the noise model"), (2, "Noise", None), (3, "Noise", "and a model"), (4, None, "noise model noise"), (5, "noise", "models"), (6, "Decoders", None)]
     p = spark.createDataFrame(papers, "paper_id long, title string, abstract string")
     scopes = spark.createDataFrame([(k, "one") for k in (1, 3, 4, 5, 9)] + [(2, "two"), (6, "two"), (1, "two"), (3, "one")], "paper_id long, scope_name string")
-    ranks = lambda **x: [tuple(r) for r in search.shortlist(s, "noise model", x.pop("limit", 9), **x).collect()]
-    assert ranks() == [(9, 6), (2, 4), (1, 2), (6, 2)]
-    assert ranks(papers=p) == [(1, 5), (2, 4), (4, 3), (3, 2), (6, 2)]  # 3 and 4 have no section, 9 is no paper
-    assert ranks(papers=p, scope="one", paper_scopes=scopes) == [(1, 5), (4, 3), (3, 2)]
-    assert ranks(papers=p, scope="two", paper_scopes=scopes, limit=2) == [(1, 5), (2, 4)]
-    assert ranks(scope="two", paper_scopes=scopes) == [(2, 4), (1, 2), (6, 2)]
-    assert ranks(papers=p.drop("abstract")) == [(2, 4), (1, 3), (6, 2)]
+    ranks = lambda **x: [(r[0], round(r[1], 4)) for r in search.shortlist(s, "noise model", x.pop("limit", 9), **x).collect()]
+    assert ranks() == [(9, 0.5), (2, 0.3), (1, 0.1), (6, 0.1)]
+    assert ranks(papers=p) == [(2, 0.3), (1, 0.25), (4, 0.2), (5, 0.1), (6, 0.1), (3, 0.0333)]  # 3, 4 and 5 have no section, 9 is no paper
+    assert ranks(papers=p, scope="one", paper_scopes=scopes) == [(1, 0.25), (4, 0.2), (5, 0.1), (3, 0.0333)]
+    assert ranks(papers=p, scope="two", paper_scopes=scopes, limit=2) == [(2, 0.3), (1, 0.25)]
+    assert ranks(scope="two", paper_scopes=scopes) == [(2, 0.3), (1, 0.1), (6, 0.1)]
+    assert ranks(papers=p.drop("abstract")) == [(2, 0.3), (1, 0.15), (6, 0.1)]
     for bad in ({"scope": "one"}, {"scope": " ", "paper_scopes": scopes}, {"paper_scopes": scopes}):
         with pytest.raises(ValueError):
             search.shortlist(s, "noise", 1, papers=p, **bad)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..operators import changes, claims, evaluate, history, identity, records, s
 from ..operators.scratch import folder
 from ..sinks.versioned import VersionedTable
 from ..sources import feeds, papers, tei
-from ..streaming import poll
+from ..streaming import landing, poll
 from .roles import ROLE_SQL, Roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -340,8 +341,51 @@ def sink_replace(r: Roles) -> DataFrame:
 # polling
 
 
-@query("""SELECT source, external_id, score, posted_at FROM (SELECT source, mention_id::VARCHAR AS external_id, score, created_at AS posted_at FROM mention) WHERE posted_at > TIMESTAMP '2024-01-25'""")
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+
+
+def landing_folder(r: Roles) -> str:
+    """Payloads of four sources, made of whole documents, a payload for each twenty items."""
+    k = F.col("doc_id")
+    posted = F.lit(1704067200) + k * 60
+    d = r.read("documents").select("doc_id", (k % 4).alias("kind"), F.floor(k / 80).alias("poll"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"), posted.alias("posted"), F.timestamp_seconds(posted).alias("at"))
+    story = F.struct(k.alias("id"), F.when(k % 8 == 0, "story").otherwise("comment").alias("type"), F.col("source").alias("title"), F.col("lang").alias("by"), "text", F.col("posted").alias("time"), F.col("n_chars").alias("score"), (k % 7).alias("descendants"))
+    post = F.struct(F.struct(F.concat(F.lit("r"), k).alias("id"), F.concat(F.lit("/r/"), k).alias("permalink"), F.col("source").alias("title"), F.col("lang").alias("author"), F.col("text").alias("selftext"), F.col("posted").cast("double").alias("created_utc"), F.col("n_chars").alias("score"), (k % 7).alias("num_comments")).alias("data"))
+    iso = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    paper = F.struct(iso.alias("publishedAt"), F.col("source").alias("title"), (k % 7).alias("numComments"), F.struct(F.concat(F.lit("p"), k).alias("id"), F.col("text").alias("summary"), F.col("n_chars").alias("upvotes")).alias("paper"))
+    escaped = F.regexp_replace(F.coalesce("text", F.lit("")), CONTROLS, " ")
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(entity))
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    item = tag("item", F.concat(tag("guid", F.concat(F.lit("g"), k)), tag("link", F.concat(F.lit("http://example.com/"), k)), tag("title", F.col("source")), tag("author", F.col("lang")), tag("description", escaped), tag("pubDate", F.date_format("at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"))))
+    path, parts = folder(r.spark), []
+    wraps = [
+        ("hackernews", story, F.to_json), ("reddit", post, lambda x: F.to_json(F.struct(F.struct(x.alias("children")).alias("data")))), ("hf_daily", paper, F.to_json),
+        ("rss", item, lambda x: F.concat(F.lit("<rss><channel>"), F.array_join(x, ""), F.lit("</channel></rss>"))),
+    ]
+    for kind, (name, one, wrap) in enumerate(wraps):
+        polls = d.where(F.col("kind") == kind).groupBy("poll").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", one.alias("x")))), lambda e: e["x"]).alias("xs"))
+        parts.append(polls.select(F.lit(name).alias("source"), wrap(F.col("xs")).alias("value")))
+    reduce(DataFrame.unionByName, parts).write.partitionBy("source").text(path)
+    return path
+
+
+@query(rf"""WITH d AS (SELECT *, 1704067200 + doc_id * 60 AS posted FROM documents)
+  SELECT 'hackernews' AS source, doc_id::VARCHAR AS external_id, 'https://news.ycombinator.com/item?id=' || doc_id AS url, source AS title, lang AS author, text AS body, posted, n_chars::BIGINT AS score, doc_id % 7 AS num_comments FROM d WHERE doc_id % 8 = 0
+  UNION ALL SELECT 'reddit', 'r' || doc_id, 'https://www.reddit.com/r/' || doc_id, source, lang, text, posted, n_chars, doc_id % 7 FROM d WHERE doc_id % 4 = 1
+  UNION ALL SELECT 'hf_daily', 'p' || doc_id, 'https://huggingface.co/papers/p' || doc_id, source, NULL, text, posted, n_chars, doc_id % 7 FROM d WHERE doc_id % 4 = 2
+  UNION ALL SELECT 'rss', 'g' || doc_id, 'http://example.com/' || doc_id, source, lang, regexp_replace(coalesce(text, ''), '{CONTROLS}', ' ', 'g'), posted, NULL, NULL FROM d WHERE doc_id % 4 = 3""")
 def discourse_poll(r: Roles) -> DataFrame:
+    """A run of the stream over what has landed, into a table by source and id; then a second one, which finds nothing new."""
+    path, state = landing_folder(r), folder(r.spark)
+    table = VersionedTable.create(r.spark, folder(r.spark), feeds.ITEM, ["source", "external_id"])
+    for _ in range(2):
+        landing.ingest(landing.items(landing.landed(r.spark, path, f"{state}/marks")), table, f"{state}/checkpoint").awaitTermination()
+    return table.read().withColumn("posted", F.unix_timestamp("posted_at")).drop("posted_at")
+
+
+@query("""SELECT source, external_id, score, posted_at FROM (SELECT source, mention_id::VARCHAR AS external_id, score, created_at AS posted_at FROM mention) WHERE posted_at > TIMESTAMP '2024-01-25'""")
+def poll_fresh(r: Roles) -> DataFrame:
     items = r.mention.select("source", F.col("mention_id").cast("string").alias("external_id"), "score", F.col("created_at").alias("posted_at"))
     marks = items.select("source").distinct().select("source", F.expr("timestamp_ntz'2024-01-25'").alias("mark"))
     return poll.fresh(items, marks, time="posted_at")

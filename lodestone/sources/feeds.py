@@ -28,6 +28,12 @@ def hacker_news(raw: DataFrame, json_col: str = "value", limit: int = 50) -> Dat
     return x.select(*_item("hackernews", F.col("id"), url, F.col("title"), F.col("by"), F.col("text"), F.timestamp_seconds("time"), F.col("score"), F.col("descendants")))
 
 
+def hacker_news_lists(raw: DataFrame, json_col: str = "value", limit: int = 50) -> DataFrame:
+    """The same of payloads that are lists of items in the order of the front page."""
+    each = raw.select(F.posexplode(F.from_json(json_col, "array<string>")).alias("position", "value"))
+    return hacker_news(each, limit=limit)
+
+
 def reddit(raw: DataFrame, json_col: str = "value") -> DataFrame:
     child = "struct<id:string,permalink:string,title:string,author:string,selftext:string,created_utc:double,score:bigint,num_comments:bigint>"
     x = raw.select(F.explode(F.from_json(json_col, f"struct<data:struct<children:array<struct<data:{child}>>>>")["data"]["children"]).alias("c")).select("c.data.*")
@@ -57,6 +63,15 @@ def rss(spark: SparkSession, path: str) -> DataFrame:
     return x.select(*_item("rss", F.coalesce("guid", "link"), F.col("link"), F.trim("title"), F.col("author"), F.col("description"), parse_date(F.col("pubDate")), none, none))
 
 
+def rss_payloads(raw: DataFrame, xml_col: str = "value") -> DataFrame:
+    """The same of whole feeds in a column."""
+    item = "struct<guid:string,link:string,title:string,author:string,description:string,pubDate:string>"
+    feed = F.from_xml(xml_col, f"struct<channel:struct<item:array<{item}>>>", {"ignoreSurroundingSpaces": "false"})
+    x = raw.select(F.explode(feed["channel"]["item"]).alias("i")).select("i.*")
+    none = F.lit(None)
+    return x.select(*_item("rss", F.coalesce("guid", "link"), F.col("link"), F.trim("title"), F.col("author"), F.col("description"), parse_date(F.col("pubDate")), none, none))
+
+
 def atom(spark: SparkSession, path: str) -> DataFrame:
     """Entries of Atom feeds: the page an entry names, its text or summary, and when it came out or was last changed."""
     kind = "id string, title string, link array<struct<_href:string,_rel:string>>, author array<struct<name:string>>, summary string, content string, published string, updated string"

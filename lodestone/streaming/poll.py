@@ -1,13 +1,12 @@
-"""Incremental polling: high-water marks, insert-if-new, and the same as a stream."""
+"""Incremental polling in batches: high-water marks and insert-if-new. `landing` has the same as a stream."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.history import insert_ignore
 
@@ -28,27 +27,23 @@ def poll(items: DataFrame, stored: DataFrame, marks: DataFrame, keys: list[str],
     return insert_ignore(stored, fresh(items, marks, keys[0], time), keys, [F.asc(time)])
 
 
-def stream_new_items(stream: DataFrame, target: str, checkpoint: str, keys: list[str], time: str = "posted_at", delay: str = "1 day") -> StreamingQuery:
-    """Write each key once to `target`, in one run over what has arrived (available-now)."""
-    once = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
-    return once.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def poll_all(sources: dict[str, Callable[[], DataFrame] | None], marks: dict[str, datetime]) -> tuple[dict[str, DataFrame], dict[str, datetime], dict[str, str]]:
-    """(items of each source, next marks, failures). A source that fails keeps its mark, so that its window is polled again;
-    one that is None is skipped, which is no failure. Counting a source's items makes it fail here and not later."""
+def poll_all(sources: dict[str, Callable[[], DataFrame] | None], marks: dict[str, datetime], clock: Callable[[], datetime] = lambda: datetime.now(UTC)) -> tuple[dict[str, DataFrame], dict[str, datetime], dict[str, str]]:
+    """(items of each source, next marks, failures). The next mark of a source is the time at which its poll began, once that
+    has succeeded, so what is posted meanwhile is polled again and known by its key. A source that fails keeps its mark, so that
+    its window is polled again; one that is None is skipped, which is no failure. Counting a source's items makes it fail here and not later."""
     items, after, failed = {}, dict(marks), {}
     for name, read in sources.items():
         if read is None:
             continue
         try:
+            began = clock()
             found = read()
             if name in marks:
                 found = found.where(F.col("posted_at") > F.lit(marks[name]))
-            latest = found.agg(F.max("posted_at")).first()[0]
+            found.count()
         except Exception as e:  # whatever goes wrong in one source
             failed[name] = str(e)
             continue
         items[name] = found
-        after[name] = max(filter(None, [latest, marks.get(name)]), default=None)
-    return items, {k: v for k, v in after.items() if v is not None}, failed
+        after[name] = began
+    return items, after, failed

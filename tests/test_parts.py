@@ -40,9 +40,10 @@ def test_a_failing_source_keeps_its_mark(spark):
     def bad():
         raise OSError("no answer")
 
-    items, marks, failed = poll.poll_all({"a": good, "b": bad, "c": None, "d": good}, {"a": datetime(2024, 1, 2), "b": old})
+    times = iter([datetime(2024, 2, k) for k in (1, 2, 3)])
+    items, marks, failed = poll.poll_all({"a": good, "b": bad, "c": None, "d": good}, {"a": datetime(2024, 1, 2), "b": old}, clock=lambda: next(times))
     assert [r.id for r in items["a"].collect()] == [2] and items["d"].count() == 2 and set(items) == {"a", "d"}
-    assert marks == {"a": new, "b": old, "d": new} and failed == {"b": "no answer"}
+    assert marks == {"a": datetime(2024, 2, 1), "b": old, "d": datetime(2024, 2, 3)} and failed == {"b": "no answer"}
 
 
 def test_reports_are_dated_and_replaced(tmp_path):

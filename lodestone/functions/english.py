@@ -124,5 +124,5 @@ def lexemes(text: str, memo: Stems | None = None) -> list[tuple[str, int]]:
 
 
 def surely_in(lexeme: str) -> str:
-    """What every word with this stem begins with."""
-    return lexeme[: max(1, len(lexeme) - 3)]
+    """What every word with this stem begins with: endings give way to others of the same first letter, but for `bility` and irregular words."""
+    return lexeme[: max(1, len(lexeme) - (2 if lexeme.endswith("le") or lexeme in IRREGULAR.values() else 1))]

@@ -13,15 +13,19 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.english import Stems, lexemes, surely_in
 from ..functions.websearch import Question, parse
 
 #: One cover without other words in it has the rank 0.1.
 WHOLE = 1_000_000_000
+#: A word, as `english.words` finds them.
+WORD = r"[\p{L}\p{N}]+(?:_+[\p{L}\p{N}]+)*"
 #: Characters of the texts of which postings are emitted at a time.
 SLICE = 4 << 20
 
@@ -36,10 +40,9 @@ def as_units(sections: DataFrame, papers: DataFrame | None = None, paper: str =
     return rows.join(heads.select("paper").distinct(), "paper", "left_semi").unionByName(heads)
 
 
-def postings(units: DataFrame, wanted: list[str] | None = None) -> DataFrame:
-    """(paper, unit, lexeme, positions) of units (paper, unit, body), of all lexemes or of the wanted ones. Tasks read their own texts only."""
+def postings(units: DataFrame) -> DataFrame:
+    """(paper, unit, lexeme, positions) of units (paper, unit, body). Tasks read their own texts only."""
     types = {f.name: f.dataType.simpleString() for f in units.schema}
-    only = None if wanted is None else frozenset(wanted)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Stems()
@@ -50,16 +53,17 @@ def postings(units: DataFrame, wanted: list[str] | None = None) -> DataFrame:
 
         for batch in batches:
             at, names, places, size = [], [], [], 0
-            for k, text in enumerate(batch.column("body")):
+            for k, text in enumerate(batch.column("body").to_pylist()):
                 found: dict[str, list[int]] = {}
-                text = text.as_py() or ""
-                for lexeme, place in lexemes(text, memo):
-                    if only is None or lexeme in only:
-                        found.setdefault(lexeme, []).append(place)
+                for lexeme, place in lexemes(text or "", memo):
+                    if lexeme in found:
+                        found[lexeme].append(place)
+                    else:
+                        found[lexeme] = [place]
                 at += [k] * len(found)
                 names += found.keys()
                 places += found.values()
-                size += len(text)
+                size += len(text or "")
                 if size > SLICE:
                     yield batch_of(batch, at, names, places)
                     at, names, places, size = [], [], [], 0
@@ -68,6 +72,23 @@ def postings(units: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     return units.select("paper", "unit", "body").mapInArrow(walk, f"paper {types['paper']}, unit {types['unit']}, lexeme string, positions array<int>")
 
 
+_memo = Stems()
+
+
+@F.pandas_udf(StringType())
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(_memo.__getitem__)
+
+
+def entries(units: DataFrame, wanted: list[str]) -> DataFrame:
+    """(paper, unit, lexeme, pos) of the wanted lexemes in units (paper, unit, body). Only words that begin like one of them leave the JVM."""
+    words = F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0))
+    starts = sorted({surely_in(x) for x in wanted})
+    near = F.filter(F.transform(words, lambda w, k: F.struct(w.alias("word"), (k + 1).alias("pos"))), lambda x: reduce(or_, [F.startswith(x["word"], F.lit(s)) for s in starts]))
+    each = units.select("paper", "unit", F.explode(near).alias("x")).select("paper", "unit", "x.pos", _stems(F.col("x.word")).alias("lexeme"))
+    return each.where(F.col("lexeme").isin(wanted))
+
+
 def likely(question: Question, body: Column) -> Column:
     """A plain test that no matching text fails: it holds how the words of an alternative begin."""
     low = F.lower(body)
@@ -76,7 +97,7 @@ def likely(question: Question, body: Column) -> Column:
 
 
 def ranked_units(found: DataFrame, question: Question, universe: DataFrame | None = None) -> DataFrame:
-    """(paper, unit, billionths) of the units that match; `found` has the postings of the question's lexemes.
+    """(paper, unit, billionths) of the units that match; `found` has the entries (paper, unit, lexeme, pos) of the question's lexemes.
 
     `universe` (paper, unit) is only read for alternatives that are nothing but negations. Units meet
     by (paper, unit) once; nothing is joined but that universe.
@@ -91,8 +112,8 @@ def ranked_units(found: DataFrame, question: Question, universe: DataFrame | Non
     entry = lambda x: F.struct(F.lit(x[0]).alias("k"), F.lit(x[1]).alias("i"), F.lit(x[2]).alias("after"))
     roles = F.create_map(*[y for lexeme, xs in places.items() for y in (F.lit(lexeme), F.array(*[entry(x) for x in xs]))])
     # entries with their number among those of the unit, then the phrases that they may be part of
-    entries = found.select(*unit, "lexeme", F.explode("positions").alias("pos")).withColumn("nth", F.dense_rank().over(Window.partitionBy(*unit).orderBy("pos")))
-    parts = entries.select(*unit, "pos", "nth", F.explode(roles[F.col("lexeme")]).alias("x")).select(*unit, "pos", "nth", "x.k", "x.i", (F.col("pos") - F.col("x.after")).alias("start"))
+    placed = found.withColumn("nth", F.dense_rank().over(Window.partitionBy(*unit).orderBy("pos")))
+    parts = placed.select(*unit, "pos", "nth", F.explode(roles[F.col("lexeme")]).alias("x")).select(*unit, "pos", "nth", "x.k", "x.i", (F.col("pos") - F.col("x.after")).alias("start"))
     last = F.array(*[F.lit(len(p.terms) - 1) for p in phrases])[F.col("k")]
     whole = parts.groupBy(*unit, "k", "start").agg(F.count("*").alias("n"), F.max("pos").alias("end"), F.min("nth").alias("from_nth"), F.max("nth").alias("to_nth"))
     occurrences = whole.where(F.col("n") == last + 1).withColumn("present", F.collect_set("k").over(Window.partitionBy(*unit)))
@@ -156,4 +177,4 @@ def shortlist(
     units = in_scope(as_units(sections, papers, paper, body), scope, paper_scopes, paper)
     if not asked.alternatives:
         return best_papers(units.select("paper", F.lit(0).cast("long").alias("billionths")).where(F.lit(False)), limit, paper)
-    return best_papers(ranked_units(postings(units.where(likely(asked, F.col("body"))), asked.lexemes), asked, units), limit, paper)
+    return best_papers(ranked_units(entries(units.where(likely(asked, F.col("body"))), asked.lexemes), asked, units), limit, paper)

@@ -74,7 +74,7 @@ class SearchIndex:
         universe = search.in_scope(self.units.read().where("live").select("paper", "unit"), scope, paper_scopes, paper)
         if not asked.alternatives:
             return search.best_papers(universe.select("paper", F.lit(0).cast("long").alias("billionths")).where(F.lit(False)), limit, paper)
-        found = search.in_scope(self.postings(asked.lexemes), scope, paper_scopes, paper)
+        found = search.in_scope(self.postings(asked.lexemes), scope, paper_scopes, paper).withColumn("pos", F.explode("positions")).drop("positions")
         return search.best_papers(search.ranked_units(found, asked, universe), limit, paper)
 
     def compact(self) -> int:

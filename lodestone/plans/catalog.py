@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import changes, claims, evaluate, history, identity, records, scoring, search, search_index, status, trees, validation
+from ..operators import changes, claims, cliques, evaluate, history, identity, records, scoring, search, search_index, status, trees, validation
 from ..operators.scratch import folder
 from ..sinks.versioned import VersionedTable
 from ..sources import feeds, papers, tei
@@ -722,9 +722,15 @@ def eligible_pairs(r: Roles) -> DataFrame:
     return identity.eligible_pairs(part_pairs(r), r.read("part").where("p_size < 5").select(F.col("p_partkey").alias("id")))
 
 
-@query()
+@query(PAIRS + """, a AS (SELECT left_id AS a, right_id AS b, row_number() OVER (ORDER BY left_id, right_id) AS n FROM (SELECT DISTINCT left_id, right_id FROM pairs)),
+  w AS (SELECT 1 AS n, (SELECT list([x]) FROM (SELECT a AS x FROM a UNION SELECT b FROM a)) AS gs UNION ALL
+    SELECT n + 1, CASE WHEN ok THEN list_append(list_filter(gs, lambda g: g <> ga AND g <> gb), list_concat(ga, gb)) ELSE gs END FROM
+      (SELECT n, gs, ga, gb, ga <> gb AND (SELECT count(*) FROM a x WHERE (list_contains(ga, x.a) AND list_contains(gb, x.b)) OR (list_contains(gb, x.a) AND list_contains(ga, x.b))) = len(ga) * len(gb) AS ok FROM
+        (SELECT w.n, gs, list_filter(gs, lambda g: list_contains(g, a.a))[1] AS ga, list_filter(gs, lambda g: list_contains(g, a.b))[1] AS gb FROM w JOIN a USING (n)))),
+  f AS (SELECT unnest(arg_max(gs, n)) AS g FROM w)
+  SELECT list_min(g) AS canonical_id, unnest(g) AS claim_id FROM f WHERE len(g) > 1""")
 def canonical_groups(r: Roles) -> DataFrame:
-    return identity.canonical_groups(part_pairs(r))
+    return cliques.canonical_groups(part_pairs(r))
 
 
 SEEN = """WITH c AS (SELECT o_orderkey AS position, ['arxiv', 'openalex', 's2'][o_orderkey % 3 + 1] AS source, o_orderkey // 4 AS g, o_orderkey::VARCHAR AS external_id, 'Title ' || o_orderkey // 4 AS title, 'Ann Clerk' || o_orderkey // 8 AS first_author, '2020-01-01' AS published_at,

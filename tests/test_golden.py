@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids, text
-from lodestone.operators import changes, evaluate, history, identity, scoring, search, trees, validation
+from lodestone.operators import changes, cliques, evaluate, history, identity, scoring, search, trees, validation
 from lodestone.sources import feeds, papers, tei
 from lodestone.streaming import poll
 
@@ -42,7 +42,7 @@ def test_pairs_and_cliques(spark):
     values = spark.createDataFrame([(1, "t", 0.94), (2, "t", 1.0), (3, "t", 1.06), (4, "u", 1.0), (5, "t", None), (6, "t", -1.0), (7, "t", 0.0), (8, "t", 0.0)], "id long, block string, v double")
     pairs = identity.prefilter_pairs(values, ["block"], "id", "v")
     assert sorted((r.left_id, r.right_id) for r in pairs.collect()) == [(1, 2), (2, 3), (7, 8)]
-    groups = identity.canonical_groups(pairs).collect()
+    groups = cliques.canonical_groups(pairs).collect()
     assert sorted((r.canonical_id, r.claim_id) for r in groups) == [(1, 1), (1, 2), (7, 7), (7, 8)]
 
 

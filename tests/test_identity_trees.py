@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids
-from lodestone.operators import graph, identity, trees
+from lodestone.operators import cliques, graph, identity, trees
 
 PAPER = "position long, source string, external_id string, title string, first_author string, published_at string, doi string, arxiv_id string, venue string, abstract string, authors array<string>"
 
@@ -87,7 +87,7 @@ def test_groups_are_complete_and_match_set_merging(spark):
         if g is not h and all(tuple(sorted((x, y))) in accepted for x in g for y in h):
             groups.remove(h)
             g |= h
-    got = identity.canonical_groups(spark.createDataFrame([(b, a) if a % 2 else (a, b) for a, b in pairs], "left_id long, right_id long")).collect()
+    got = cliques.canonical_groups(spark.createDataFrame([(b, a) if a % 2 else (a, b) for a, b in pairs], "left_id long, right_id long")).collect()
     assert sorted((r.canonical_id, r.claim_id) for r in got) == sorted((min(g), x) for g in groups if len(g) > 1 for x in g)
 
 

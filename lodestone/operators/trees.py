@@ -136,8 +136,8 @@ def abstract_sections(paper: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def root_summaries(sections: DataFrame) -> DataFrame:
-    """The whole bodies of each paper's two top levels, in the order of their nodes."""
-    top = sections.where("parent is null or parent = 0").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("node", "body"))).alias("x"))
+    """The whole bodies of each paper's root nodes, in the order of their nodes."""
+    top = sections.where("parent is null").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("node", "body"))).alias("x"))
     return top.select("paper_id", F.array_join(F.transform("x", lambda e: e["body"]), " | ").alias("summary"))
 
 

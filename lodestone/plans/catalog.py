@@ -476,7 +476,7 @@ def abstract_section(r: Roles) -> DataFrame:
     return trees.abstract_sections(r.paper, r.claim)
 
 
-@query("SELECT paper_id, string_agg(body, ' | ' ORDER BY node) AS summary FROM section WHERE parent IS NULL OR parent = 0 GROUP BY 1")
+@query("SELECT paper_id, string_agg(body, ' | ' ORDER BY node) AS summary FROM section WHERE parent IS NULL GROUP BY 1")
 def root_summaries(r: Roles) -> DataFrame:
     return trees.root_summaries(r.section)
 

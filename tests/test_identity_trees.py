@@ -1,6 +1,7 @@
 """Components, groups, merged papers and walks: long chains, many nodes, cycles, and brute force."""
 
 import random
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -133,3 +134,13 @@ def test_walks_match_a_queue(spark):
         apart = trees.expanded(nodes, 6, walk="paper_id").collect()
         assert sorted((r.paper_id, r.node, r.depth, r.place) for r in apart) == sorted(x for t in range(4) for x in walk([r for r in rows if r[0] == t], 6, order))
     assert Counter(r.stopped_reason for r in trees.stop_reasons(trees.expanded(nodes.limit(0), 3, walk="paper_id"), 3).collect()) == {}
+
+
+def test_many_papers_of_one_title_take_linear_time():
+    """Two papers for every DOI and id; each row would once have been held against all papers before it."""
+    papers, n = identity._Papers(), 100_000
+    row = {"source": "s", "title": "Editorial", "first_author": "Ann Lee", "published_at": "2020-01-01", "venue": None}
+    began = time.perf_counter()
+    home = [papers.place({**row, "position": k, "doi": f"10.1/{k // 2}" if k % 4 < 2 else None, "arxiv_id": f"2401.{k // 4}" if k % 4 else None})[0] for k in range(n)]
+    assert time.perf_counter() - began < 60 and len(set(home)) < n
+    assert home[0] == home[1] and home[2] == home[1]

@@ -345,10 +345,10 @@ CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 
 def landing_folder(r: Roles) -> str:
-    """Payloads of four sources, made of whole documents, a payload for each twenty items."""
+    """Payloads of four sources, one of each whole document, compressed."""
     k = F.col("doc_id")
     posted = F.lit(1704067200) + k * 60
-    d = r.read("documents").select("doc_id", (k % 4).alias("kind"), F.floor(k / 80).alias("poll"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"), posted.alias("posted"), F.timestamp_seconds(posted).alias("at"))
+    d = r.read("documents").select("doc_id", (k % 4).alias("kind"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"), posted.alias("posted"), F.timestamp_seconds(posted).alias("at"))
     story = F.struct(k.alias("id"), F.when(k % 8 == 0, "story").otherwise("comment").alias("type"), F.col("source").alias("title"), F.col("lang").alias("by"), "text", F.col("posted").alias("time"), F.col("n_chars").alias("score"), (k % 7).alias("descendants"))
     post = F.struct(F.struct(F.concat(F.lit("r"), k).alias("id"), F.concat(F.lit("/r/"), k).alias("permalink"), F.col("source").alias("title"), F.col("lang").alias("author"), F.col("text").alias("selftext"), F.col("posted").cast("double").alias("created_utc"), F.col("n_chars").alias("score"), (k % 7).alias("num_comments")).alias("data"))
     iso = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -364,9 +364,8 @@ def landing_folder(r: Roles) -> str:
         ("rss", item, lambda x: F.concat(F.lit("<rss><channel>"), F.array_join(x, ""), F.lit("</channel></rss>"))),
     ]
     for kind, (name, one, wrap) in enumerate(wraps):
-        polls = d.where(F.col("kind") == kind).groupBy("poll").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", one.alias("x")))), lambda e: e["x"]).alias("xs"))
-        parts.append(polls.select(F.lit(name).alias("source"), wrap(F.col("xs")).alias("value")))
-    reduce(DataFrame.unionByName, parts).write.partitionBy("source").text(path)
+        parts.append(d.where(F.col("kind") == kind).select(F.lit(name).alias("source"), wrap(F.array(one)).alias("value")))
+    reduce(DataFrame.unionByName, parts).write.partitionBy("source").text(path, compression="gzip")
     return path
 
 

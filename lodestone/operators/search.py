@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -47,12 +48,15 @@ def postings(units: DataFrame) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Stems()
 
-        def batch_of(batch: pa.RecordBatch, at: list[int], names: list[str], places: list[list[int]]) -> pa.RecordBatch:
-            rows = pa.array(at, pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column("paper").take(rows), batch.column("unit").take(rows), pa.array(names, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["paper", "unit", "lexeme", "positions"])
+        def batch_of(batch: pa.RecordBatch, at: list[int], names: list[str], places: list[int], ends: list[int]) -> pa.RecordBatch:
+            rows, known = pa.array(at, pa.int64()), {x: k for k, x in enumerate(dict.fromkeys(names))}
+            codes = pa.array(np.fromiter(map(known.__getitem__, names), np.int32, len(names)))
+            said = pa.DictionaryArray.from_arrays(codes, pa.array(list(known), pa.string())).dictionary_decode()
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+            return pa.RecordBatch.from_arrays([batch.column("paper").take(rows), batch.column("unit").take(rows), said, lists], names=["paper", "unit", "lexeme", "positions"])
 
         for batch in batches:
-            at, names, places, size = [], [], [], 0
+            at, names, places, ends, size = [], [], [], [0], 0
             for k, text in enumerate(batch.column("body").to_pylist()):
                 found: dict[str, list[int]] = {}
                 for lexeme, place in lexemes(text or "", memo):
@@ -60,14 +64,16 @@ def postings(units: DataFrame) -> DataFrame:
                         found[lexeme].append(place)
                     else:
                         found[lexeme] = [place]
-                at += [k] * len(found)
-                names += found.keys()
-                places += found.values()
+                for lexeme, own in found.items():
+                    at.append(k)
+                    names.append(lexeme)
+                    places += own
+                    ends.append(len(places))
                 size += len(text or "")
                 if size > SLICE:
-                    yield batch_of(batch, at, names, places)
-                    at, names, places, size = [], [], [], 0
-            yield batch_of(batch, at, names, places)
+                    yield batch_of(batch, at, names, places, ends)
+                    at, names, places, ends, size = [], [], [], [0], 0
+            yield batch_of(batch, at, names, places, ends)
 
     return units.select("paper", "unit", "body").mapInArrow(walk, f"paper {types['paper']}, unit {types['unit']}, lexeme string, positions array<int>")
 

@@ -46,7 +46,7 @@ class SearchIndex:
                 return 0
             marks = changed.where(F.col("before").isNotNull()).select(F.lit(MARK).alias("lexeme"), *ids, F.lit(None).cast("array<int>").alias("positions"))
             rows = search.postings(changed.where("live")).select("lexeme", *ids, "positions").unionByName(marks).withColumn("segment", F.lit(segment))
-            version = self.table.append(rows, meta={"segments": segment})
+            version = self.table.append(rows, meta={"segments": segment}, gather=False)
             self.units.upsert(changed.select(*ids, F.coalesce("digest", F.lit("")).alias("digest"), "live"), meta={"postings": version, "segment": segment})
             return n
         finally:

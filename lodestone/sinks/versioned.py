@@ -29,6 +29,9 @@ from pyspark.sql.types import StructType
 from ..operators import history
 from ..operators.scratch import drop, settle
 
+#: Numbers of rows, of 8 bytes each, that may be broadcast.
+FEW = 1_000_000
+
 Change = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -128,16 +131,17 @@ class VersionedTable:
 
     # changing
 
-    def _write(self, rows: DataFrame, manifest: dict) -> dict[str, list[str]]:
-        """New folders by bucket. Spark splits the rows of a large bucket over several tasks."""
+    def _write(self, rows: DataFrame, manifest: dict, gather: bool = True) -> dict[str, list[str]]:
+        """New folders by bucket. Rows of a bucket are gathered, those of a large one in several tasks; or each task writes its own."""
         folder = f"data/{uuid.uuid4().hex}"
         names = StructType.fromJson(manifest["schema"]).fieldNames()
-        rows = rows.select(*names, self.bucket(manifest).alias("_bucket")).hint("rebalance", F.col("_bucket"))
+        rows = rows.select(*names, self.bucket(manifest).alias("_bucket"))
+        rows = rows.hint("rebalance", F.col("_bucket")) if gather else rows
         rows.sortWithinPartitions("_bucket", *manifest["keys"]).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         return {n.partition("=")[2]: [f"{folder}/{n}"] for n in self._names(f"{self.path}/{folder}") if n.startswith("_bucket=")}
 
-    def _commit(self, base: dict, put: dict[str, list[str]], replaced: list[int] | None, operation: str, once: tuple[str, int] | None, meta: dict | None) -> int:
-        """`replaced` are the buckets of which nothing but `put` stays; without any, `put` is added to what there is."""
+    def _commit(self, base: dict, put: dict[str, list[str]], replaced: list[int] | None, operation: str, once: tuple[str, int] | None, meta: dict | None, seen: list[int] | None = None) -> int:
+        """`replaced` are the buckets of which nothing but `put` stays; without any, `put` is added to what there is. `seen` were read, but stay."""
         touched = sorted({*(int(b) for b in put), *(replaced or [])})
         while True:
             parts = {b: f for b, f in base["parts"].items() if replaced is None or int(b) not in replaced}
@@ -150,20 +154,23 @@ class VersionedTable:
             base = self.manifest(base["version"] + 1)
             if self._applied(base, once):
                 return base["version"]
-            if set(replaced or []) & set(base["touched"]):
+            if {*(replaced or []), *(seen or [])} & set(base["touched"]):
                 raise Conflict(f"version {base['version']} of {self.path} ({base['operation']}) changed buckets that this {operation} has read")
 
     @staticmethod
     def _applied(manifest: dict, once: tuple[str, int] | None) -> bool:
         return once is not None and manifest["applied"].get(once[0], -1) >= once[1]
 
-    def append(self, rows: DataFrame, once: tuple[str, int] | None = None, meta: dict | None = None) -> int:
-        """Add rows, whatever their keys; never conflicts. Returns the version."""
+    def append(self, rows: DataFrame, once: tuple[str, int] | None = None, meta: dict | None = None, gather: bool = True) -> int:
+        """Add rows, whatever their keys; never conflicts. Returns the version. Without `gather` nothing is shuffled, and there are as many files as tasks and buckets."""
         base = self.manifest()
-        return base["version"] if self._applied(base, once) else self._commit(base, self._write(rows, base), None, "append", once, meta)
+        return base["version"] if self._applied(base, once) else self._commit(base, self._write(rows, base, gather), None, "append", once, meta)
+
+    def change(self, incoming: DataFrame, rule: Change, operation: str = "change", once: tuple[str, int] | None = None, meta: dict | None = None, whole: bool = False, add: bool = False) -> int:
+        """Let `rule` make the new rows from the current ones and the incoming ones; it sees the buckets of the incoming rows, or the whole table.
 
-    def change(self, incoming: DataFrame, rule: Change, operation: str = "change", once: tuple[str, int] | None = None, meta: dict | None = None, whole: bool = False) -> int:
-        """Let `rule` make the new rows from the current ones and the incoming ones; it sees the buckets of the incoming rows, or the whole table."""
+        With `add` it makes further rows, and the current ones stay where they are.
+        """
         base = self.manifest()
         if self._applied(base, once):
             return base["version"]
@@ -172,7 +179,8 @@ class VersionedTable:
             touched = list(range(base["buckets"])) if whole else sorted(r[0] for r in kept.select(self.bucket(base).alias("b")).distinct().collect())
             if not touched and not meta:
                 return base["version"]
-            return self._commit(base, self._write(rule(self._rows(base, touched), kept), base), touched, operation, once, meta)
+            wrote = self._write(rule(self._rows(base, touched), kept), base)
+            return self._commit(base, wrote, None if add else touched, operation, once, meta, seen=touched)
         finally:
             drop(kept)
 
@@ -189,9 +197,23 @@ class VersionedTable:
         return self.change(rows, lambda old, new: history.upsert(old, new.select(old.columns), keys), "upsert", **more)
 
     def insert_ignore(self, rows: DataFrame, order: list[Column], **more) -> int:
-        """Rows of new keys, the first of each in the order."""
-        keys = self.manifest()["keys"]
-        return self.change(rows, lambda old, new: old.unionByName(history.insert_ignore(old, new, keys, order).select(old.columns)), "insert_ignore", **more)
+        """Rows of new keys, the first of each in the order. What is there is neither read but for its keys nor written again."""
+        keys, spent = self.manifest()["keys"], []
+
+        def new_ones(old: DataFrame, new: DataFrame) -> DataFrame:
+            # keys and order alone are shuffled; whole rows only if too many of them are left out for a broadcast of their numbers
+            placed = new.select(*keys, "_n", F.row_number().over(history.Window.partitionBy(*keys).orderBy(*order)).alias("_place"))
+            known = placed.where("_place = 1").join(old.select(*keys), keys, "left_semi").select("_n")
+            out = settle(placed.where("_place > 1").select("_n").unionByName(known))
+            spent.append(out)
+            n = out.count()
+            return new.join(F.broadcast(out) if n <= FEW else out, "_n", "left_anti") if n else new
+
+        try:
+            return self.change(rows.withColumn("_n", F.monotonically_increasing_id()), new_ones, "insert_ignore", add=True, **more)
+        finally:
+            for table in spent:
+                drop(table)
 
     def replace(self, rows: DataFrame, **more) -> int:
         """All rows of each incoming key go, the incoming ones come."""

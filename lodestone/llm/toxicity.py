@@ -1,14 +1,16 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's features are its distinct words and their beginnings of four and five bytes (which tie
-inflected forms together), hashed to SLOTS; the COLUMNS slots that tell the labels apart best (by
-chi squared) enter the model. Besides a weight, each has FACTORS numbers, and the inner products of
+inflected forms together), hashed to SLOTS. The model takes the COLUMNS slots that tell the labels apart best
+alone (by chi squared), and without a limit the slots of every pair that tells them apart only
+jointly, so that pure interactions enter, too. Besides a weight, each has FACTORS numbers, and the inner products of
 two features' numbers score their joint presence, which additive weights miss. It is fitted on the
 driver on at most MAX_FIT labelled rows, the first by a hash of the id, and sent to the tasks as
 two small tables.
 
 Cases: null and empty texts have no features and score the model's bias, the rate among texts without any term. Without labels the score is
-one half everywhere. Labels that are null are left out. Repeated rows give repeated results. Extra
+one half everywhere. Labels that are null are left out; of several labels of one id the largest counts. Very long texts are read whole.
+Repeated rows give repeated results. Extra
 columns are ignored. An empty table gives no rows.
 """
 
@@ -28,6 +30,10 @@ from .common import small_batches
 SLOTS = 1 << 20
 COLUMNS = 2048
 FACTORS = 8
+#: A slot enters the model alone from this chi squared (one in a thousand by chance).
+CHI = 10.83
+#: Pairs are tested among slots in this share of the fitted rows or more; from this many standard errors on, both enter the model.
+PAIR_SHARE, PAIR_Z, PAIR_BLOCK = 0.01, 6.5, 2048
 MAX_FIT = 12_000
 EPOCHS, STEPS, BATCH, RATE, DECAY = 10, 1000, 128, 0.05, 1e-4
 
@@ -73,20 +79,72 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(slots: list[np.ndarray], labels: np.ndarray, columns: int = COLUMNS, factors: int = FACTORS, seed: int = 7) -> Model:
+def interacting(rows: list[np.ndarray], labels: np.ndarray, candidates: np.ndarray, least: float = PAIR_Z) -> np.ndarray:
+    """The candidates that have a partner with which they tell the labels apart other than each alone does.
+
+    For every two candidates, the rows with both, one, the other and none give four log odds of the
+    label; their contrast, over its standard error, is `least` or more for such a pair. Counts of
+    pairs come from products of blocks of the 0/1 matrix, so all pairs are counted.
+    """
+    k, n, pos = len(candidates), len(rows), int(labels.sum())
+    index = np.full(SLOTS, -1)
+    index[candidates] = np.arange(k)
+    held = [c[c >= 0] for c in (index[r] for r in rows)]
+    flat, row = np.concatenate(held).astype(np.int64), np.repeat(np.arange(n), [len(r) for r in held])
+    total, toxic = np.bincount(flat, minlength=k).astype(np.float32), np.bincount(flat[labels[row] == 1], minlength=k).astype(np.float32)
+
+    def block(at: int) -> np.ndarray:
+        inside = (flat >= at) & (flat < at + PAIR_BLOCK)
+        out = np.zeros((n, min(PAIR_BLOCK, k - at)), np.float32)
+        out[row[inside], flat[inside] - at] = 1
+        return out
+
+    odds = lambda both, bad: (np.log((bad + 0.5) / (both - bad + 0.5)), 1 / (bad + 0.5) + 1 / (both - bad + 0.5))
+    best = np.zeros(k, np.float32)
+    yes = labels == 1
+    for i in range(0, k, PAIR_BLOCK):
+        left = block(i)
+        for j in range(i, k, PAIR_BLOCK):
+            right = left if i == j else block(j)
+            both, bad = left.T @ right, left[yes].T @ right[yes]
+            ti, xi, tj, xj = (x[at : at + PAIR_BLOCK] for at in (i, j) for x in (total, toxic))
+            ti, xi = ti[:, None], xi[:, None]
+            cells = [(1, both, bad), (-1, ti - both, xi - bad), (-1, tj - both, xj - bad), (1, n - ti - tj + both, pos - xi - xj + bad)]
+            contrast = np.zeros_like(both)
+            spread = np.zeros_like(both)
+            for sign, many, some in cells:
+                o, e = odds(many, some)
+                contrast += sign * o
+                spread += e
+            z = np.abs(contrast) / np.sqrt(spread)
+            if i == j:
+                np.fill_diagonal(z, 0)  # a slot is no pair with itself
+            np.maximum(best[i : i + PAIR_BLOCK], z.max(1), out=best[i : i + PAIR_BLOCK])
+            np.maximum(best[j : j + PAIR_BLOCK], z.max(0), out=best[j : j + PAIR_BLOCK])
+    return candidates[best >= least]
+
+
+def choose(slots: list[np.ndarray], labels: np.ndarray, columns: int = COLUMNS) -> np.ndarray:
+    """The slots of the model: those that tell the labels apart alone, at most `columns`, and those that do so in pairs."""
     n, pos = len(labels), int(labels.sum())
-    bias = float(np.log((pos + 1) / (n - pos + 1)))
-    if not 0 < pos < n:
-        return Model(np.empty(0, np.int32), bias, np.zeros(0), np.zeros((0, factors)))
     flat = np.concatenate(slots)
     owner = np.repeat(labels, [len(s) for s in slots])
     a = np.bincount(flat[owner == 1], minlength=SLOTS).astype(float)
-    b = np.bincount(flat[owner == 0], minlength=SLOTS).astype(float)
-    total = a + b
+    total = a + np.bincount(flat[owner == 0], minlength=SLOTS)
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.nan_to_num(n * (a * (n - pos) - b * pos) ** 2 / (pos * (n - pos) * total * (n - total)))
+        chi = np.nan_to_num(n * (a * (n - pos) - (total - a) * pos) ** 2 / (pos * (n - pos) * total * (n - total)))
     chi[total < 3] = 0
-    chosen = np.sort(np.argsort(-chi, kind="stable")[: min(columns, int((chi > 0).sum()))]).astype(np.int32)
+    alone = np.argsort(-chi, kind="stable")[: min(columns, int((chi >= CHI).sum()))]
+    often = np.flatnonzero((total >= max(3, PAIR_SHARE * n)) & (n - total >= 3))
+    return np.union1d(alone, interacting(slots, labels, often)).astype(np.int32)
+
+
+def fit(slots: list[np.ndarray], labels: np.ndarray, columns: int = COLUMNS, factors: int = FACTORS, seed: int = 7) -> Model:
+    n, pos = len(labels), int(labels.sum())
+    bias = float(np.log((pos + 1) / (n - pos + 1)))
+    if not 0 < pos < n:
+        return Model(np.empty(0, np.int32), bias, np.zeros(0), np.zeros((0, factors)))
+    chosen = choose(slots, labels, columns)
     index = np.full(SLOTS, -1)
     index[chosen] = np.arange(len(chosen))
     rows = [c[c >= 0] for c in (index[s] for s in slots)]

@@ -362,6 +362,53 @@ def test_decontaminate_documents_and_spans(spark):
 # 5
 
 
+def pure_pairs(rows, pool, seed):
+    """Rows whose label is whether exactly one of terms 1 and 2 is there, among 30 of `pool` other terms."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.random(rows) < 0.5, rng.random(rows) < 0.5
+    found = [np.unique([*[1] * int(p), *[2] * int(q), *(10 + rng.choice(pool, 30, replace=False))]).astype(np.int32) for p, q in zip(a, b, strict=True)]
+    return found, (a ^ b).astype(np.int64)
+
+
+@pytest.mark.parametrize("pool", [60, 5000, 60_000])
+def test_toxicity_model_learns_pure_interactions(pool):
+    for seed in (0, 1):
+        rows, labels = pure_pairs(4000, pool, seed)
+        model = toxicity.fit(rows[:3000], labels[:3000])
+        assert {1, 2} <= set(model.columns.tolist())
+        index = {int(c): k for k, c in enumerate(model.columns)}
+        held = [np.array([index[c] for c in r.tolist() if c in index], np.int64) for r in rows[3000:]]
+        assert ((model.scores(held) >= 0.5) == labels[3000:]).mean() > 0.95
+
+
+def test_pair_statistics_and_scores_match_plain_loops():
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 2, 300)
+    rows = [np.flatnonzero(rng.random(40) < np.where(np.arange(40) % 7 == 0, 0.2 + 0.6 * y, 0.4)).astype(np.int32) for y in labels]
+    candidates, least = np.arange(1, 40), 2.2
+
+    def z(i, j):
+        total, spread = 0.0, 0.0
+        for left, right, sign in ((True, True, 1), (True, False, -1), (False, True, -1), (False, False, 1)):
+            cell = [y for r, y in zip(rows, labels, strict=True) if (i in r) == left and (j in r) == right]
+            bad, good = sum(cell) + 0.5, len(cell) - sum(cell) + 0.5
+            total, spread = total + sign * np.log(bad / good), spread + 1 / bad + 1 / good
+        return abs(total) / spread**0.5
+
+    best = {i: max(z(i, j) for j in candidates if j != i) for i in candidates.tolist()}
+    before, toxicity.PAIR_BLOCK = toxicity.PAIR_BLOCK, 16
+    try:
+        got = set(toxicity.interacting(rows, labels, candidates, least).tolist())
+    finally:
+        toxicity.PAIR_BLOCK = before
+    near = {i for i, b in best.items() if abs(b - least) < 1e-3}
+    assert got - near == {i for i, b in best.items() if b >= least} - near and 0 < len(got) < 39
+    model = toxicity.Model(np.arange(40), 0.3, rng.normal(size=40), rng.normal(size=(40, 4)))
+    for row, score in zip(rows, model.scores(rows), strict=True):
+        plain = 0.3 + sum(model.weights[i] for i in row) + sum(model.factors[i] @ model.factors[j] for k, i in enumerate(row) for j in row[k + 1 :])
+        assert abs(score - 1 / (1 + np.exp(-np.clip(plain, -30, 30)))) < 1e-9
+
+
 def test_toxicity_learns_pairs_and_scores_held_out_rows(spark):
     rng = random.Random(2)
     rows, labels = [], []

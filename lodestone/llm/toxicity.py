@@ -33,7 +33,7 @@ FACTORS = 8
 #: A slot enters the model alone from this chi squared (one in a thousand by chance).
 CHI = 10.83
 #: Pairs are tested among slots in this share of the fitted rows or more; from this many standard errors on, both enter the model.
-PAIR_SHARE, PAIR_Z, PAIR_BLOCK = 0.01, 6.5, 2048
+PAIR_SHARE, PAIR_Z, PAIR_BLOCK = 0.01, 6.5, 512
 MAX_FIT = 12_000
 EPOCHS, STEPS, BATCH, RATE, DECAY = 10, 1000, 128, 0.05, 1e-4
 
@@ -87,16 +87,19 @@ def interacting(rows: list[np.ndarray], labels: np.ndarray, candidates: np.ndarr
     pairs come from products of blocks of the 0/1 matrix, so all pairs are counted.
     """
     k, n, pos = len(candidates), len(rows), int(labels.sum())
-    index = np.full(SLOTS, -1)
+    index = np.full(SLOTS, -1, np.int32)
     index[candidates] = np.arange(k)
     held = [c[c >= 0] for c in (index[r] for r in rows)]
-    flat, row = np.concatenate(held).astype(np.int64), np.repeat(np.arange(n), [len(r) for r in held])
-    total, toxic = np.bincount(flat, minlength=k).astype(np.float32), np.bincount(flat[labels[row] == 1], minlength=k).astype(np.float32)
+    cells = np.concatenate(held).astype(np.int64) * n + np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in held])
+    del held
+    cells.sort()  # by column, then by row
+    total = np.bincount(cells // n, minlength=k).astype(np.float32)
+    toxic = np.bincount((cells // n)[labels[cells % n] == 1], minlength=k).astype(np.float32)
 
     def block(at: int) -> np.ndarray:
-        inside = (flat >= at) & (flat < at + PAIR_BLOCK)
+        part = cells[slice(*np.searchsorted(cells, [at * n, (at + PAIR_BLOCK) * n]))]
         out = np.zeros((n, min(PAIR_BLOCK, k - at)), np.float32)
-        out[row[inside], flat[inside] - at] = 1
+        out[part % n, part // n - at] = 1
         return out
 
     odds = lambda both, bad: (np.log((bad + 0.5) / (both - bad + 0.5)), 1 / (bad + 0.5) + 1 / (both - bad + 0.5))
@@ -109,10 +112,10 @@ def interacting(rows: list[np.ndarray], labels: np.ndarray, candidates: np.ndarr
             both, bad = left.T @ right, left[yes].T @ right[yes]
             ti, xi, tj, xj = (x[at : at + PAIR_BLOCK] for at in (i, j) for x in (total, toxic))
             ti, xi = ti[:, None], xi[:, None]
-            cells = [(1, both, bad), (-1, ti - both, xi - bad), (-1, tj - both, xj - bad), (1, n - ti - tj + both, pos - xi - xj + bad)]
+            four = [(1, both, bad), (-1, ti - both, xi - bad), (-1, tj - both, xj - bad), (1, n - ti - tj + both, pos - xi - xj + bad)]
             contrast = np.zeros_like(both)
             spread = np.zeros_like(both)
-            for sign, many, some in cells:
+            for sign, many, some in four:
                 o, e = odds(many, some)
                 contrast += sign * o
                 spread += e
@@ -133,6 +136,7 @@ def choose(slots: list[np.ndarray], labels: np.ndarray, columns: int = COLUMNS)
     total = a + np.bincount(flat[owner == 0], minlength=SLOTS)
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = np.nan_to_num(n * (a * (n - pos) - (total - a) * pos) ** 2 / (pos * (n - pos) * total * (n - total)))
+    del flat, owner
     chi[total < 3] = 0
     alone = np.argsort(-chi, kind="stable")[: min(columns, int((chi >= CHI).sum()))]
     often = np.flatnonzero((total >= max(3, PAIR_SHARE * n)) & (n - total >= 3))
@@ -145,7 +149,7 @@ def fit(slots: list[np.ndarray], labels: np.ndarray, columns: int = COLUMNS, fac
     if not 0 < pos < n:
         return Model(np.empty(0, np.int32), bias, np.zeros(0), np.zeros((0, factors)))
     chosen = choose(slots, labels, columns)
-    index = np.full(SLOTS, -1)
+    index = np.full(SLOTS, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
     rows = [c[c >= 0] for c in (index[s] for s in slots)]
     rng = np.random.default_rng(seed)

@@ -1,8 +1,10 @@
-"""Section trees as adjacency lists: depth, ancestors, flattening and budgeted traversal.
+"""Section trees as adjacency lists: depth, order, ancestors, flattening and budgeted traversal.
 
-Ancestors are found by doubling: each round, a node's known chain is put behind the chain of the
-topmost node in it, so the rounds grow with the logarithm of the height. Nodes on or below a cycle
-or a missing parent have no depth and are left out; unreachable() names them.
+Depth, order and flattening come from pointer doubling: each node keeps one pointer upwards and sums over the
+way there, and each round it takes over the pointer and sums of the node it points to. So the rounds grow with the logarithm
+of the height and the rows stay as wide as they were. Only ancestors() carries whole chains, which are its
+result. Nodes on or below a cycle, a missing parent or a repeated node have no depth and are left out;
+verdicts() says why, unreachable() names them. Nodes without an id are left out everywhere.
 """
 
 from __future__ import annotations
@@ -34,8 +36,86 @@ def _levels(nodes: DataFrame, tree: str, node: str, parent: str) -> DataFrame:
     return known.where("not lost").select("t", "n", F.size("chain").alias("depth"), F.col("chain").alias("ancestors"))
 
 
+def _climb(links: DataFrame, sums: list[str]) -> DataFrame:
+    """(t, n, end, *sums) of each node whose way up ends; links: (t, n, up, *sums), each (t, n) once.
+
+    `up` is null where a way ends; a node's sums are those of the step to `up`, and are added along the way.
+    `end` is the last node that exists, and `gone` whether it points to one that does not. Nodes
+    whose way never ends are on or below a cycle: they are left when the steps outnumber a tree's nodes.
+    """
+    held = links.select("t", F.col("n").alias("up"), F.lit(True).alias("_held"))
+    now = links.join(held, ["t", "up"], "left").withColumn("gone", F.col("up").isNotNull() & F.col("_held").isNull())
+    now = settle(now.select("t", "n", F.when(~F.col("gone"), F.col("up")).alias("up"), F.coalesce(F.when(~F.col("gone"), F.col("up")), F.col("n")).alias("end"), "gone", *sums))
+    most = now.groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    steps = 1
+    while steps <= most and now.where("up is not null").limit(1).count():
+        above = now.select("t", F.col("n").alias("up"), F.col("up").alias("_up"), F.col("end").alias("_end"), F.col("gone").alias("_gone"), *(F.col(c).alias(f"_{c}") for c in sums))
+        # rows whose way has ended don't meet anything, and are not shuffled
+        done, going = now.where("up is null"), now.where("up is not null").join(above, ["t", "up"])
+        moved = going.select("t", "n", F.col("_up").alias("up"), F.col("_end").alias("end"), F.col("_gone").alias("gone"), *((F.col(c) + F.col(f"_{c}")).alias(c) for c in sums))
+        before, now = now, settle(done.unionByName(moved))
+        drop(before)
+        steps *= 2
+    return now.where("up is null").drop("up")
+
+
+def _plain(nodes: DataFrame, tree: str, node: str, parent: str, ordinal: str | None = None) -> DataFrame:
+    """(t, n, p, o, k) of each node once: its least parent and ordinal, and how often it is there. Without nodes that have no id."""
+    o = F.col(ordinal) if ordinal else F.col(node)
+    rows = nodes.where(F.col(tree).isNotNull() & F.col(node).isNotNull()).select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("p"), o.alias("o"))
+    return rows.groupBy("t", "n").agg(F.min("p").alias("p"), F.min("o").alias("o"), F.count("*").alias("k"))
+
+
+def verdicts(nodes: DataFrame, tree: str = "paper_id", node: str = "node", parent: str = "parent", ordinal: str | None = None) -> DataFrame:
+    """(tree, node, depth, pass, verdict) of each node once.
+
+    verdict: `ok`; `missing parent` on or below a node whose parent does not exist; `repeated` on or below
+    a node that is there more than once; else `cycle` on or below a cycle. Depth and pass are null unless ok.
+
+    Siblings and trees are read in passes over the nodes by (ordinal, node), nulls first, each of which takes
+    the nodes whose parents it or an earlier pass has taken. A node goes into its parent's pass
+    if it comes after it, else into the next one, so its pass counts the steps backward on its way from the root.
+    """
+    base = settle(_plain(nodes, tree, node, parent, ordinal))
+    up = base.where("k = 1").select("t", F.col("n").alias("p"), F.col("o").alias("po"))
+    earlier = F.struct("o", "n") < F.struct("po", "p")
+    links = base.where("k = 1").join(up, ["t", "p"], "left").select(
+        "t", "n", F.col("p").alias("up"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.when(F.col("p").isNotNull() & earlier, 1).otherwise(0).cast("long").alias("pass")
+    )
+    ended = _climb(links, ["depth", "pass"])
+    # what the way ended at: a root, a repeated node, or nothing
+    last = base.select("t", F.col("n").alias("p"), (F.col("k") > 1).alias("again"))
+    ends = base.select("t", F.col("n").alias("end"), F.col("p"))
+    why = ended.where("gone").join(ends, ["t", "end"]).join(last, ["t", "p"], "left").select("t", "n", F.when(F.col("again"), "repeated").otherwise("missing parent").alias("why"))
+    well = ended.where("not gone").select("t", "n", "depth", "pass", F.lit("ok").alias("why"))
+    found = well.unionByName(why, allowMissingColumns=True)
+    verdict = F.when(F.col("k") > 1, "repeated").otherwise(F.coalesce("why", F.lit("cycle")))
+    return base.join(found, ["t", "n"], "left").select(F.col("t").alias(tree), F.col("n").alias(node), "depth", "pass", verdict.alias("verdict"), "o")
+
+
+def ordered(nodes: DataFrame, tree: str = "paper_id", node: str = "node", parent: str = "parent", ordinal: str | None = None) -> DataFrame:
+    """(tree, node, depth, pass, position, verdict): verdicts() and the position of a node in its tree, from 0.
+
+    Positions follow (pass, ordinal, node), so parents come before their children. They are null in a tree that has any
+    node which is not ok: such a tree is refused as a whole. Rows are sorted by range over all tasks and numbered by the counts
+    of the ranges before, so a tree that holds most rows is spread out.
+    """
+    judged = verdicts(nodes, tree, node, parent, ordinal)
+    refused = judged.where("verdict <> 'ok'").select(tree).distinct().withColumn("_bad", F.lit(True))
+    rows = judged.join(refused, tree, "left").repartitionByRange(tree, "pass", "o", node).withColumn("_range", F.spark_partition_id())
+    rows = settle(rows)
+    counts = rows.groupBy(tree, "_range").agg(F.count("*").alias("_k"))
+    before = Window.partitionBy(tree).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(tree, "_range", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(tree, "_range").orderBy("pass", "o", node)) - 1
+    placed = rows.withColumn("_within", within).join(counts, [tree, "_range"])
+    position = F.when(F.col("_bad").isNull(), F.col("_before") + F.col("_within")).cast("long")
+    return placed.select(tree, node, "depth", "pass", position.alias("position"), "verdict")
+
+
 def depths(nodes: DataFrame, tree: str = "paper_id", node: str = "node", parent: str = "parent") -> DataFrame:
-    return _levels(nodes, tree, node, parent).select(F.col("t").alias(tree), F.col("n").alias(node), F.col("depth").cast("long").alias("depth"))
+    links = _plain(nodes, tree, node, parent).where("k = 1").select("t", "n", F.col("p").alias("up"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    return _climb(links, ["depth"]).where("not gone").select(F.col("t").alias(tree), F.col("n").alias(node), "depth")
 
 
 def ancestors(nodes: DataFrame, tree: str = "paper_id", node: str = "node", parent: str = "parent") -> DataFrame:
@@ -49,9 +129,13 @@ def unreachable(nodes: DataFrame, tree: str = "paper_id", node: str = "node", pa
 
 def flatten(nodes: DataFrame, max_depth: int = 4, tree: str = "paper_id", node: str = "node", parent: str = "parent") -> DataFrame:
     """Depth at most max_depth; deeper nodes hang on their ancestor one above that depth."""
-    walk = _levels(nodes, tree, node, parent)
-    up = F.when(F.col("depth") == 0, F.lit(None)).otherwise(F.element_at("ancestors", F.least(F.col("depth"), F.lit(max_depth)).cast("int")))
-    return walk.select(F.col("t").alias(tree), F.col("n").alias(node), F.least(F.col("depth"), F.lit(max_depth)).cast("long").alias("depth"), up.cast("long").alias("parent"))
+    deep = settle(depths(nodes, tree, node, parent).select(F.col(tree).alias("t"), F.col(node).alias("n"), "depth").join(_plain(nodes, tree, node, parent).drop("o", "k"), ["t", "n"]))
+    # ways end at the nodes that deeper ones may hang on
+    links = deep.where(F.col("depth") >= max_depth - 1).select("t", "n", F.when(F.col("depth") >= max_depth, F.col("p")).alias("up"))
+    ends = _climb(links, []).select("t", "n", "end")
+    hang = F.when((F.col("depth") >= max_depth) & (F.lit(max_depth) > 0), F.col("end")).otherwise(F.col("p"))
+    shallow = deep.join(ends, ["t", "n"], "left")
+    return shallow.select(F.col("t").alias(tree), F.col("n").alias(node), F.least(F.col("depth"), F.lit(max_depth)).cast("long").alias("depth"), hang.cast("long").alias("parent"))
 
 
 def roots(nodes: DataFrame, tree: str = "paper_id", node: str = "node", parent: str = "parent") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
@@ -416,6 +416,30 @@ def tree_flatten(r: Roles) -> DataFrame:
     return trees.flatten(r.section, max_depth=2)
 
 
+RUNS = """WITH RECURSIVE h AS (SELECT paper_id, node, length(body) AS ordinal, CASE WHEN node = 0 THEN NULL WHEN length(body) % 61 = 0 THEN node + 1 WHEN length(body) % 61 = 1 THEN -1
+    WHEN length(body) <= lag(length(body)) OVER (PARTITION BY paper_id ORDER BY node) THEN node - 1 ELSE parent END AS parent FROM section),
+  w AS (SELECT paper_id, node, ordinal, 0::BIGINT AS depth, 0::BIGINT AS pass FROM h WHERE parent IS NULL
+    UNION ALL SELECT h.paper_id, h.node, h.ordinal, w.depth + 1, w.pass + ((h.ordinal, h.node) < (w.ordinal, w.node))::BIGINT FROM w JOIN h ON h.paper_id = w.paper_id AND h.parent = w.node),
+  m AS (SELECT paper_id, node FROM h WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h g WHERE g.paper_id = h.paper_id AND g.node = h.parent)
+    UNION ALL SELECT h.paper_id, h.node FROM m JOIN h ON h.paper_id = m.paper_id AND h.parent = m.node),
+  v AS (SELECT h.paper_id, h.node, h.ordinal, w.depth, w.pass, CASE WHEN w.node IS NOT NULL THEN 'ok' WHEN m.node IS NOT NULL THEN 'missing parent' ELSE 'cycle' END AS verdict
+    FROM h LEFT JOIN w ON w.paper_id = h.paper_id AND w.node = h.node LEFT JOIN m ON m.paper_id = h.paper_id AND m.node = h.node) """.replace("WITH RECURSIVE", "WITH")
+
+
+def runs(r: Roles) -> DataFrame:
+    """Deep trees of the lines of each document: a line that is no longer than the one before hangs on it; some name the next line or none, so that cycles and missing parents occur."""
+    size = F.length("body")
+    before = F.lag(size).over(Window.partitionBy("paper_id").orderBy("node"))
+    up = F.when(F.col("node") == 0, F.lit(None)).when(size % 61 == 0, F.col("node") + 1).when(size % 61 == 1, F.lit(-1)).when(size <= before, F.col("node") - 1).otherwise(F.col("parent"))
+    return r.section.select("paper_id", "node", size.alias("ordinal"), up.cast("long").alias("parent"))
+
+
+@query(RUNS + """SELECT paper_id, node, depth, pass, CASE WHEN bool_and(verdict = 'ok') OVER (PARTITION BY paper_id) THEN row_number() OVER (PARTITION BY paper_id ORDER BY pass, ordinal, node) - 1 END AS position, verdict FROM v""")
+def tree_order(r: Roles) -> DataFrame:
+    """Reading order of the nodes, and why a tree has none."""
+    return trees.ordered(runs(r), ordinal="ordinal")
+
+
 @query("WITH k AS (SELECT * FROM section WHERE length(body) > 150) SELECT paper_id, node FROM k WHERE parent IS NULL OR NOT EXISTS (SELECT 1 FROM k b WHERE b.paper_id = k.paper_id AND b.node = k.parent)")
 def tree_roots(r: Roles) -> DataFrame:
     return trees.roots(r.section.where("length(body) > 150"))

@@ -108,6 +108,74 @@ def test_cycles_and_missing_parents(spark):
     assert trees.depths(nodes.limit(0)).count() == 0
 
 
+def passes(rows):
+    """Place nodes in passes, over and over, by (ordinal, node): {node: (depth, pass)} of those that get a place."""
+    once = {n for n, k in Counter(r[0] for r in rows).items() if k == 1}
+    left = sorted((o, n, p) for n, p, o in rows if n in once)
+    out, turn = {}, 0
+    while left:
+        stay = []
+        for o, n, p in left:
+            if p is None:
+                out[n] = (0, turn)
+            elif p in out:
+                out[n] = (out[p][0] + 1, turn)
+            else:
+                stay.append((o, n, p))
+        if len(stay) == len(left):
+            break
+        left, turn = stay, turn + 1
+    return out
+
+
+def why_not(rows, n):
+    """Follow the parents of a node up to what is wrong."""
+    count, up, seen = Counter(r[0] for r in rows), {r[0]: r[1] for r in rows}, set()
+    while n is not None and n not in seen:
+        if n not in count:
+            return "missing parent"
+        if count[n] > 1:
+            return "repeated"
+        seen.add(n)
+        n = up[n]
+    return "ok" if n is None else "cycle"
+
+
+def test_order_matches_repeated_passes(spark):
+    rng = random.Random(11)
+    rows = []
+    for t in range(60):
+        size = rng.choice([1, 2, 5, 30])
+        for n in range(size):
+            p = None if n == 0 else rng.randrange(size + 1) if t % 3 == 0 else n - 1 if rng.random() < 0.6 else rng.randrange(n)
+            rows += [(t, n, p, rng.choice([1, 2, 3, 9]))] * (2 if t % 5 == 4 and rng.random() < 0.1 else 1)
+    nodes = spark.createDataFrame([*rows, (None, 1, None, 1), (3, None, 0, 1)], "paper_id long, node long, parent long, ordinal int")
+    got = {(r.paper_id, r.node): r for r in trees.ordered(nodes, ordinal="ordinal").collect()}
+    assert set(got) == {(t, n) for t, n, *_ in rows}
+    assert {r.verdict for r in got.values()} == {"ok", "missing parent", "cycle", "repeated"}
+    for t in range(60):
+        own = [r[1:] for r in rows if r[0] == t]
+        want, ordinal = passes(own), {n: o for n, _, o in own}
+        for n in ordinal:
+            found = got[t, n]
+            assert found.verdict == why_not(own, n)
+            assert (found.depth, found["pass"]) == want.get(n, (None, None))
+        whole = len(want) == len(own)
+        order = sorted(want, key=lambda n: (want[n][1], ordinal[n], n))
+        assert [got[t, n].position for n in order] == (list(range(len(order))) if whole else [None] * len(order))
+    assert trees.ordered(nodes.limit(0), ordinal="ordinal").count() == 0
+
+
+def test_one_path_of_many_nodes_stays_narrow(spark):
+    """A path of 200,000 nodes, whose chains would hold 20 billion ids; every second step goes backward."""
+    n = 200_000
+    path = spark.range(n).selectExpr("7L as paper_id", "id as node", "case when id > 0 then id - 1 end as parent", "id % 2 as ordinal")
+    got = trees.ordered(path, ordinal="ordinal").agg(F.max("depth").alias("d"), F.max("pass").alias("p"), F.countDistinct("position").alias("k"), F.max("position").alias("m")).first()
+    assert tuple(got) == (n - 1, (n - 1) // 2, n, n - 1)
+    flat = trees.flatten(path, max_depth=3).agg(F.max("depth").alias("d"), F.max("parent").alias("p"), F.count("*").alias("k")).first()
+    assert tuple(flat) == (3, 2, n)
+
+
 def walk(rows, budget, order):
     """First in, first out, in batches of what the budget leaves."""
     held = {(t, n) for t, n, *_ in rows}

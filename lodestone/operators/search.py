@@ -9,6 +9,7 @@ that the order in which they are added up can't change a rank.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
@@ -184,3 +185,20 @@ def shortlist(
     if not asked.alternatives:
         return best_papers(units.select("paper", F.lit(0).cast("long").alias("billionths")).where(F.lit(False)), limit, paper)
     return best_papers(ranked_units(entries(units.where(likely(asked, F.col("body"))), asked.lexemes), asked, units), limit, paper)
+
+
+def word_shortlist(sections: DataFrame, words: list[str], limit: int, paper: str = "paper_id", body: str = "body") -> DataFrame:
+    """(paper, rank) of the papers that have all words in one section, by the most places of them in one section, then id.
+
+    Words are taken as they stand, in any case: there are no stems, and stop words count like others, so a list of
+    these finds papers where a question, which has no lexemes then, finds none. Edges are those of `\\b` over ASCII.
+    """
+    wanted = sorted({w.lower() for w in words if w.strip()})
+    if not wanted or limit < 1:
+        raise ValueError("at least one word and a positive limit are needed")
+    low, edge = F.lower(F.col(body)), "[0-9A-Za-z_]"
+    counts = F.array(*[F.regexp_count(low, F.lit(f"(?<!{edge}){re.escape(w)}(?!{edge})")) for w in wanted])
+    # a plain substring test drops most texts before any pattern runs
+    near = sections.where(reduce(and_, [F.contains(low, F.lit(w)) for w in wanted])).select(paper, counts.alias("counts"))
+    total = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
+    return near.where(F.array_min("counts") > 0).groupBy(paper).agg(F.max(total).cast("long").alias("rank")).orderBy(F.desc("rank"), F.asc(paper)).limit(limit)

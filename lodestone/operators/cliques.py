@@ -94,15 +94,19 @@ def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.select("a", "b")
 
 
-def canonical_groups(pairs: DataFrame, task_pairs: int = TASK_PAIRS) -> DataFrame:
+def canonical_groups(pairs: DataFrame, task_pairs: int = TASK_PAIRS, twins: DataFrame | None = None) -> DataFrame:
     """(canonical_id, claim_id) of every claim in a group of several; the least id of a group names it.
 
     `pairs` has left_id and right_id. Repeated pairs, in either order, count once; a claim paired with
-    itself and null ids are left out. No pairs give no groups.
+    itself and null ids are left out. No pairs give no groups. `twins` (id, into) are claims known beforehand to have the pairs
+    of a smaller one, and one with it: `pairs` are then those of the smaller ones alone, so copies need no pairs.
     """
     a, b = F.least("left_id", "right_id"), F.greatest("left_id", "right_id")
     edges = settle(pairs.where("left_id is not null and right_id is not null and left_id <> right_id").select(a.alias("a"), b.alias("b")).distinct())
-    home = settle(_both_ways(edges).select(F.col("x").alias("claim_id"), F.col("x").alias("at")).distinct())
+    home = _both_ways(edges).select(F.col("x").alias("claim_id"), F.col("x").alias("at"))
+    if twins is not None:
+        home = home.unionByName(twins.select(F.col("into").alias("claim_id"), F.col("into").alias("at"))).unionByName(twins.select(F.col("id").alias("claim_id"), F.col("into").alias("at")))
+    home = settle(home.distinct())
 
     def move(merges: DataFrame) -> None:
         nonlocal home

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .history import latest, ranked
 
+#: Rows of evidence that a task counts, about.
+TASK_ROWS = 250_000
+
 
 def latest_score(score: DataFrame) -> DataFrame:
     return latest(score, ["claim_id"], [F.desc("scored_at"), F.desc("score_id")])
@@ -47,10 +50,17 @@ def claim_detail(claim: DataFrame, paper: DataFrame, score: DataFrame, evidence:
 
 
 def root_evidence(claim: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Evidence of each claim's canonical root, for canonical and aliased claims alike."""
-    rooted = claim.select("claim_id", F.coalesce("canonical_claim_id", "claim_id").alias("root_id"))
-    mine = evidence.select(F.col("claim_id").alias("root_id"), "evidence_id", "stance", "paper_id")
-    return rooted.join(mine, "root_id").groupBy("claim_id", "root_id").agg(F.count("*").alias("n_evidence"), F.countDistinct("paper_id").alias("n_papers"), F.count_if(F.col("stance") == "supports").alias("n_supports"))
+    """Evidence of each claim's canonical root, for canonical and aliased claims alike.
+
+    Evidence is counted by root before claims meet it, in tasks of a bounded number of rows.
+    """
+    roots = claim.select("claim_id", F.coalesce("canonical_claim_id", "claim_id").alias("root_id")).where("root_id is not null")
+    mine = evidence.select(F.col("claim_id").alias("root_id"), "stance", "paper_id")
+    tasks = 1 + max(claim.count(), mine.count()) // TASK_ROWS
+    counted = mine.repartition(tasks, "root_id").groupBy("root_id").agg(F.count("*").alias("n_evidence"), F.countDistinct("paper_id").alias("n_papers"), F.count_if(F.col("stance") == "supports").alias("n_supports"))
+    rooted = roots.repartition(tasks, "root_id").groupBy("claim_id", "root_id").agg(F.count("*").alias("times"))
+    met = rooted.join(counted, "root_id")
+    return met.select("claim_id", "root_id", (F.col("n_evidence") * F.col("times")).alias("n_evidence"), "n_papers", (F.col("n_supports") * F.col("times")).alias("n_supports"))
 
 
 def unlinked(claim: DataFrame, evidence: DataFrame) -> DataFrame:

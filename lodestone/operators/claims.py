@@ -93,9 +93,11 @@ def stale_claims(claim: DataFrame, score: DataFrame, evidence: DataFrame, observ
 def repoint(claim: DataFrame, groups: DataFrame) -> DataFrame:
     """`claim` after groups (canonical_id, claim_id) were saved: duplicates and what hung on them point to the group's root."""
     moved = groups.where("claim_id <> canonical_id").select(F.col("claim_id").alias("_from"), F.col("canonical_id").alias("_to"))
-    own = claim.join(moved, F.col("claim_id") == F.col("_from"), "left").drop("_from").withColumnRenamed("_to", "_own")
-    above = own.join(moved, F.col("canonical_claim_id") == F.col("_from"), "left").drop("_from")
-    return above.withColumn("canonical_claim_id", F.coalesce("_own", "_to", "canonical_claim_id")).select(claim.columns)
+    # claims that hang on none have nothing to look up, and would all meet in the task of the null key
+    hung, free = claim.where("canonical_claim_id is not null"), claim.where("canonical_claim_id is null")
+    above = hung.join(moved, F.col("canonical_claim_id") == F.col("_from"), "left").drop("_from").unionByName(free.withColumn("_to", F.lit(None).cast(moved.schema["_to"].dataType)))
+    own = above.join(moved.withColumnRenamed("_to", "_own"), F.col("claim_id") == F.col("_from"), "left").drop("_from")
+    return own.withColumn("canonical_claim_id", F.coalesce("_own", "_to", "canonical_claim_id")).select(claim.columns)
 
 
 def mark_checked(claim: DataFrame, ids: DataFrame, moment) -> DataFrame:

@@ -86,10 +86,17 @@ def attributed_ids(statement: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(inner, r"\s*,\s*"), lambda x: x.cast("bigint")))
 
 
-@F.pandas_udf(StringType())
-def normalize_title(titles: pd.Series) -> pd.Series:
-    """NFKC, case folded, letters and digits only."""
-    return titles.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if c.isalnum()))
+@F.udf(StringType(), useArrow=False)
+def _plain_letters(title: str | None) -> str | None:
+    """Row by row: rows cross in batches of a hundred, however long the texts are; in Arrow they are ten thousand."""
+    return None if title is None else "".join(filter(str.isalnum, unicodedata.normalize("NFKC", title).casefold()))
+
+
+def normalize_title(title: Column | str) -> Column:
+    """NFKC, case folded, letters and digits only. ASCII texts, as long in bytes as in characters, don't leave the JVM."""
+    title = F.col(title) if isinstance(title, str) else title
+    ascii = F.octet_length(title) == F.char_length(title)
+    return F.when(ascii, F.regexp_replace(F.lower(title), "[^0-9a-z]+", "")).otherwise(_plain_letters(F.when(~ascii, title)))
 
 
 class Runs:

@@ -9,8 +9,8 @@ Rejection bands:
 * by script (that of most letters): wide ones on all measures, which turn away what no ordinary prose
   shows (strings of symbols, texts of one repeated word). The least entropy is lower for texts of few
   tokens, in proportion to the logarithm of their number.
-* by language: fit_bands() takes them from rows labelled as good, at most MAX_FIT of them: least
-  characters per token, and least entropy by number of tokens, each at the quantile FALSE_REJECTION.
+* by language: fit_bands() takes them from all rows labelled as good: least characters
+  per token, and least entropy by number of tokens, each at the quantile FALSE_REJECTION.
   Junk is spelt out in more and fewer kinds of tokens than prose of its language. Languages with fewer
   than FEW such rows have the script's bands alone, as have tables without labels.
 
@@ -28,10 +28,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -47,9 +47,8 @@ BANDS: dict[str, tuple[float, float, float, float]] = {
 }
 #: The least entropy of a text of n tokens is at most this share of log2(n), the most it could have.
 SHARE = 0.6
-#: Labelled rows that bands of languages are fitted on, the first by a hash of the id; those a class of
-#: length or a language must have; the share of good rows that each bound turns away.
-MAX_FIT, FEW, FALSE_REJECTION = 12_000, 50, 0.0025
+#: Labelled rows that a class of length or a language must have; the share of good rows that each bound turns away.
+FEW, FALSE_REJECTION = 50, 0.0025
 #: Least numbers of tokens of the classes of length.
 LENGTHS = (0, 64, 128, 256, 512, 1024)
 #: language: (least characters per token, least entropy by class of length).
@@ -193,26 +192,41 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return measured.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
+def _lowest(rows: DataFrame, share: float) -> DataFrame:
+    """(language, kind, value): of each language and kind with FEW rows or more the value at the quantile `share`, the lower one if it is between two.
+
+    Rows are sorted by range over all tasks and numbered by the counts of the ranges before, so no language is in one task.
+    """
+    kind = ["language", "kind"]
+    dealt = materialize(rows.repartitionByRange(*kind, "value").withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy(*kind, "_range").agg(F.count("*").alias("_k"))
+    of_kind = Window.partitionBy(*kind)
+    so_far = of_kind.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_k").over(so_far), F.lit(0))).withColumn("_n", F.sum("_k").over(of_kind)).where(F.col("_n") >= FEW)
+    at = F.floor(F.lit(share) * (F.col("_n") - 1)) - F.col("_before")
+    wanted = counts.select(*kind, "_range", at.alias("_at")).where((F.col("_at") >= 0) & (F.col("_at") < F.col("_k")))
+    within = F.row_number().over(Window.partitionBy(*kind, "_range").orderBy("value")) - 1
+    return dealt.withColumn("_within", within).join(F.broadcast(wanted), [*kind, "_range"]).where("_within = _at").select(*kind, "value")
+
+
 def fit_bands(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", max_fit: int = MAX_FIT, paths: tuple[str, str] | None = None
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", max_fit: int | None = None, paths: tuple[str, str] | None = None
 ) -> Floors:
-    """Bands of the languages, from at most `max_fit` rows whose label is 1 and which pass the base rule."""
-    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(max_fit)
-    # at most max_fit ids are broadcast, and as many rows of numbers come back
-    some = docs.join(F.broadcast(good.withColumnRenamed("id", id_col)), id_col, "left_semi")
+    """Bands of the languages, from all rows whose label is 1 and which pass the base rule; from `max_fit` of them if that is given."""
+    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    if max_fit is not None:
+        good = good.orderBy(F.xxhash64("id"), "id").limit(max_fit)
+    some = docs.join(good.withColumnRenamed("id", id_col), id_col, "left_semi")
     found = measures(some, id_col, text_col, lang_col, paths).where(~F.col("base_failed"))
-    found = found.groupBy("id").agg(F.min(F.struct("language", "n_tokens", "chars_per_token", "token_entropy")).alias("m")).select("m.*")
-    by: dict[str, list[tuple]] = {}
-    for language, *row in found.collect():
-        by.setdefault(language, []).append(tuple(row))
-    out: Floors = {}
-    for language, rows in by.items():
-        if language and len(rows) >= FEW:
-            n, ratio, entropy = np.array(rows, float).T
-            place = np.searchsorted(LENGTHS, n, side="right") - 1
-            least = lambda x: float(np.quantile(x, FALSE_REJECTION, method="lower"))
-            out[language] = least(ratio), tuple(least(entropy[place == k]) if (place == k).sum() >= FEW else 0.0 for k in range(len(LENGTHS)))
-    return out
+    found = found.groupBy("id").agg(F.min(F.struct("language", "n_tokens", "chars_per_token", "token_entropy")).alias("m")).select("m.*").where("language <> ''")
+    # kind: the class of length of an entropy, or -1 for characters per token
+    length = sum((F.when(F.col("n_tokens") >= n, 1).otherwise(0) for n in LENGTHS), F.lit(-1))
+    each = F.array(F.struct(F.lit(-1).alias("kind"), F.col("chars_per_token").alias("value")), F.struct(length.alias("kind"), F.col("token_entropy").alias("value")))
+    # as many rows as there are languages and classes come back
+    least: dict[str, dict[int, float]] = {}
+    for language, kind, value in _lowest(found.select("language", F.explode(each).alias("x")).select("language", "x.kind", "x.value"), FALSE_REJECTION).collect():
+        least.setdefault(language, {})[kind] = value
+    return {language: (by[-1], tuple(by.get(k, 0.0) for k in range(len(LENGTHS)))) for language, by in least.items()}
 
 
 def quality(

@@ -13,7 +13,7 @@ from lodestone.llm.common import has_table, materialize, table
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.minhash_dedup import near_duplicates
 from lodestone.llm.packing import pack
-from lodestone.llm.quality import fit_bands, quality
+from lodestone.llm.quality import fitted_quality, quality
 from lodestone.llm.suffix_dedup import remove_repeats, row_key
 
 #: Two of the stages are not SQL (near-duplicate links, a tokeniser); tests hold the pipeline
@@ -32,9 +32,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows are judged one by one, repeated ids, null ids and repeated rows alike; null and empty texts
     go, as they have too few words. Extra columns stay.
     """
-    floors = fit_bands(docs, table(spark, sf_dir, "labels")) if has_table(spark, sf_dir, "labels") else None
     # the whole row goes along as the id: no join is needed, and no name can clash
-    return quality(docs.select(F.struct("*").alias("row"), "text", "lang"), id_col="row", floors=floors).where("kept").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), "text", "lang")
+    judged = fitted_quality(rows, table(spark, sf_dir, "labels"), "row", key="id.doc_id", passed=True) if has_table(spark, sf_dir, "labels") else quality(rows, "row")
+    return judged.where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

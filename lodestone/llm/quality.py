@@ -209,16 +209,16 @@ def _lowest(rows: DataFrame, share: float) -> DataFrame:
     return dealt.withColumn("_within", within).join(F.broadcast(wanted), [*kind, "_range"]).where("_within = _at").select(*kind, "value")
 
 
-def fit_bands(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", max_fit: int | None = None, paths: tuple[str, str] | None = None
-) -> Floors:
-    """Bands of the languages, from all rows whose label is 1 and which pass the base rule; from `max_fit` of them if that is given."""
-    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+def bands_of(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_fit: int | None = None, key: str = "id") -> Floors:
+    """Bands of the languages, from all measured rows whose label is 1 and which pass the base rule; from `max_fit` of them if that is given.
+
+    `key` is what the labels' `id_col` says of a measured row. Numbers alone are shuffled, no texts.
+    """
+    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("key")).distinct()
     if max_fit is not None:
-        good = good.orderBy(F.xxhash64("id"), "id").limit(max_fit)
-    some = docs.join(good.withColumnRenamed("id", id_col), id_col, "left_semi")
-    found = measures(some, id_col, text_col, lang_col, paths).where(~F.col("base_failed"))
-    found = found.groupBy("id").agg(F.min(F.struct("language", "n_tokens", "chars_per_token", "token_entropy")).alias("m")).select("m.*").where("language <> ''")
+        good = good.orderBy(F.xxhash64("key"), "key").limit(max_fit)
+    found = measured.where(~F.col("base_failed")).select(F.col(key).alias("key"), "language", "n_tokens", "chars_per_token", "token_entropy").join(good, "key", "left_semi")
+    found = found.groupBy("key").agg(F.min(F.struct("language", "n_tokens", "chars_per_token", "token_entropy")).alias("m")).select("m.*").where("language <> ''")
     # kind: the class of length of an entropy, or -1 for characters per token
     length = sum((F.when(F.col("n_tokens") >= n, 1).otherwise(0) for n in LENGTHS), F.lit(-1))
     each = F.array(F.struct(F.lit(-1).alias("kind"), F.col("chars_per_token").alias("value")), F.struct(length.alias("kind"), F.col("token_entropy").alias("value")))
@@ -229,11 +229,32 @@ def fit_bands(
     return {language: (by[-1], tuple(by.get(k, 0.0) for k in range(len(LENGTHS)))) for language, by in least.items()}
 
 
+def fit_bands(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", max_fit: int | None = None, paths: tuple[str, str] | None = None
+) -> Floors:
+    """`bands_of` the measures of `docs`. Where the rows are judged afterwards, `fitted_quality` measures them once for both."""
+    return bands_of(measures(docs, id_col, text_col, lang_col, paths), labels, id_col, label_col, max_fit)
+
+
 def quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", floors: Floors | None = None, bands: dict[str, tuple[float, float, float, float]] | None = None, paths: tuple[str, str] | None = None
 ) -> DataFrame:
     """The counts, base_failed, the measures, band_failed (script, language or null) and kept, for each row of `docs`."""
-    measured = measures(docs, id_col, text_col, lang_col, paths)
+    return judge(measures(docs, id_col, text_col, lang_col, paths), id_col, floors, bands)
+
+
+def fitted_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_id: str = "doc_id", key: str = "id", passed: bool = False, **columns) -> DataFrame:
+    """`quality` with the bands that `labels` give. Each text is tokenised once: measures lie in a shared scratch table, from which the bands come and the rows are judged.
+
+    The table has the ids and numbers; whole rows, if these are the ids. With `passed`, rows that fail the base rule are left out.
+    """
+    measured = measures(docs, id_col, **columns)
+    measured = materialize(measured.where(~F.col("base_failed")) if passed else measured)
+    return judge(measured, id_col, bands_of(measured, labels, label_id, key=key))
+
+
+def judge(measured: DataFrame, id_col: str = "doc_id", floors: Floors | None = None, bands: dict[str, tuple[float, float, float, float]] | None = None) -> DataFrame:
+    """band_failed and kept for rows of `measures`."""
     fits = F.lit(False)
     for script, (least, most, fallback, entropy) in (bands or BANDS).items():
         floor = F.least(F.lit(entropy), SHARE * F.log2(F.greatest("n_tokens", F.lit(1))))

@@ -12,7 +12,7 @@ from .license_scan import scan_licenses
 from .minhash_dedup import near_duplicates
 from .mixing import mix
 from .packing import pack
-from .quality import fit_bands, quality
+from .quality import fitted_quality, quality
 from .sharding import shard_by_bytes
 from .suffix_dedup import remove_repeats
 from .toxicity import held_out, score, train
@@ -27,8 +27,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    floors = fit_bands(docs, table(spark, sf_dir, "labels")) if has_table(spark, sf_dir, "labels") else None
-    return quality(docs, floors=floors)
+    return fitted_quality(docs, table(spark, sf_dir, "labels")) if has_table(spark, sf_dir, "labels") else quality(docs)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -711,3 +711,21 @@ def test_bands_are_fitted_on_every_good_row(spark):
     ratios = sorted(r.chars_per_token for r in quality.measures(docs).where("not base_failed").select("chars_per_token").collect())
     least = float(np.quantile(ratios, quality.FALSE_REJECTION, method="lower"))
     assert quality.fit_bands(docs, labels)["en"][0] == least < quality.fit_bands(docs, labels, max_fit=12_000)["en"][0]
+
+
+def test_quality_with_labels_measures_texts_once_and_shuffles_none(spark, tmp_path, monkeypatch):
+    """Round 3, op2: good rows were tokenised twice, and all texts were shuffled to meet the labels once these were too many for a broadcast."""
+    from lodestone.llm import queries
+
+    plain = "the committee approved a plan for an old river bridge and its garden which people of many towns had wanted since winter".split()
+    rows = [(k % 190, " ".join(random.Random(k).choice(plain) for _ in range(20 + k)), "en") for k in range(200)] + [(300, "again " * 99, "en"), (301, None, "en"), (None, " ".join(plain), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(150).selectExpr("id as doc_id", "1 as quality").write.parquet(str(tmp_path / "labels.parquet"))
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    want = sorted(map(tuple, quality.quality(docs, floors=quality.fit_bands(docs, labels)).collect()), key=repr)
+    calls, inner = [], quality.measures
+    monkeypatch.setattr(quality, "measures", lambda *a, **b: calls.append(1) or inner(*a, **b))
+    got = queries.op2_quality_rules(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == want and len(calls) == 1
+    assert got.inputFiles() and not any("documents.parquet" in f for f in got.inputFiles())

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 from operator import and_, or_
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.english import Stems, lexemes, surely_in
+from ..functions.english import Numbers, Stems, surely_in, words
 from ..functions.websearch import Question, parse
 
 #: One cover without other words in it has the rank 0.1.
@@ -42,41 +43,42 @@ def as_units(sections: DataFrame, papers: DataFrame | None = None, paper: str =
     return rows.join(heads.select("paper").distinct(), "paper", "left_semi").unionByName(heads)
 
 
+#: What a Python worker remembers, from task to task.
+_numbers = Numbers()
+
+
+def _postings_of(batch: pa.RecordBatch, start: int, texts: list[str | None]) -> pa.RecordBatch:
+    _numbers.trim()
+    said = [words(t) if t else [] for t in texts]
+    sizes = np.fromiter(map(len, said), np.int64, len(said))
+    codes = np.fromiter(map(_numbers.__getitem__, chain.from_iterable(said)), np.int32, sizes.sum())
+    rows, places = np.repeat(np.arange(len(said)), sizes), np.arange(1, len(codes) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # by lexeme; texts and places stay in order, as the sort is stable
+    order = np.flatnonzero(codes >= 0)
+    order = order[np.argsort(codes[order], kind="stable")]
+    codes, rows, places = codes[order], rows[order], places[order]
+    starts = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(rows, prepend=-1) != 0))
+    kinds, at = np.unique(codes[starts], return_inverse=True)
+    names = pa.array([_numbers.names[k] for k in kinds.tolist()], pa.string()).take(pa.array(at))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(codes)), pa.int32()), pa.array(places, pa.int32()))
+    own = pa.array(start + rows[starts])
+    return pa.RecordBatch.from_arrays([batch.column("paper").take(own), batch.column("unit").take(own), names, lists], names=["paper", "unit", "lexeme", "positions"])
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, start, size = batch.column("body").to_pylist(), 0, 0
+        for k, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size > SLICE or k == len(texts):
+                yield _postings_of(batch, start, texts[start:k])
+                start, size = k, 0
+
+
 def postings(units: DataFrame) -> DataFrame:
-    """(paper, unit, lexeme, positions) of units (paper, unit, body). Tasks read their own texts only."""
+    """(paper, unit, lexeme, positions) of units (paper, unit, body). Tasks read their own texts only; the rows of a lexeme come together within SLICE."""
     types = {f.name: f.dataType.simpleString() for f in units.schema}
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Stems()
-
-        def batch_of(batch: pa.RecordBatch, at: list[int], names: list[str], places: list[int], ends: list[int]) -> pa.RecordBatch:
-            rows, known = pa.array(at, pa.int64()), {x: k for k, x in enumerate(dict.fromkeys(names))}
-            codes = pa.array(np.fromiter(map(known.__getitem__, names), np.int32, len(names)))
-            said = pa.DictionaryArray.from_arrays(codes, pa.array(list(known), pa.string())).dictionary_decode()
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
-            return pa.RecordBatch.from_arrays([batch.column("paper").take(rows), batch.column("unit").take(rows), said, lists], names=["paper", "unit", "lexeme", "positions"])
-
-        for batch in batches:
-            at, names, places, ends, size = [], [], [], [0], 0
-            for k, text in enumerate(batch.column("body").to_pylist()):
-                found: dict[str, list[int]] = {}
-                for lexeme, place in lexemes(text or "", memo):
-                    if lexeme in found:
-                        found[lexeme].append(place)
-                    else:
-                        found[lexeme] = [place]
-                for lexeme, own in found.items():
-                    at.append(k)
-                    names.append(lexeme)
-                    places += own
-                    ends.append(len(places))
-                size += len(text or "")
-                if size > SLICE:
-                    yield batch_of(batch, at, names, places, ends)
-                    at, names, places, ends, size = [], [], [], [0], 0
-            yield batch_of(batch, at, names, places, ends)
-
-    return units.select("paper", "unit", "body").mapInArrow(walk, f"paper {types['paper']}, unit {types['unit']}, lexeme string, positions array<int>")
+    return units.select("paper", "unit", "body").mapInArrow(_postings, f"paper {types['paper']}, unit {types['unit']}, lexeme string, positions array<int>")
 
 
 _memo = Stems()

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sinks.versioned import VersionedTable
+from ..sinks.versioned import FEW, VersionedTable
 from . import search
 from .scratch import drop, settle
 
@@ -36,21 +36,29 @@ class SearchIndex:
         postings, segment = known["meta"].get("postings", 0), known["meta"].get("segment", 0) + 1
         if self.table.version() != postings:
             postings = self.table.restore(postings)
-        ids, now = ["paper", "unit"], units.select("paper", "unit", F.coalesce("body", F.lit("")).alias("body"))
+        ids, now = ["paper", "unit"], units.select("paper", "unit", F.coalesce("body", F.lit("")).alias("body")).withColumn("digest", F.md5("body"))
         old = self.units.read(known["version"]).where("live").select(*ids, F.col("digest").alias("before"))
-        joined = now.withColumn("digest", F.md5("body")).join(old, ids, "full_outer" if complete else "left")
-        changed = settle(joined.where(~F.col("digest").eqNullSafe(F.col("before"))).withColumn("live", F.col("digest").isNotNull()))
+        # ids and digests alone meet; texts are shuffled only if too many of them are as before for a broadcast of their ids
+        same = settle(now.select(*ids, "digest").join(old, ids).where("digest = before").select(*ids)) if known["parts"] else None
+        k = same.count() if same is not None else 0
+        new = (now.join(F.broadcast(same) if k <= FEW else same, ids, "left_anti") if k else now).withColumn("live", F.lit(True))
+        if complete:
+            gone = old.join(now.select(*ids), ids, "left_anti")
+            new = new.unionByName(gone.select(*ids, F.lit(None).cast("string").alias("body"), F.lit(None).cast("string").alias("digest"), F.lit(False).alias("live")))
+        changed = settle(new)
         try:
             n = changed.count()
             if not n:
                 return 0
-            marks = changed.where(F.col("before").isNotNull()).select(F.lit(MARK).alias("lexeme"), *ids, F.lit(None).cast("array<int>").alias("positions"))
+            marks = changed.select(*ids).join(old, ids, "left_semi").select(F.lit(MARK).alias("lexeme"), *ids, F.lit(None).cast("array<int>").alias("positions"))
             rows = search.postings(changed.where("live")).select("lexeme", *ids, "positions").unionByName(marks).withColumn("segment", F.lit(segment))
             version = self.table.append(rows, meta={"segments": segment}, gather=False)
             self.units.upsert(changed.select(*ids, F.coalesce("digest", F.lit("")).alias("digest"), "live"), meta={"postings": version, "segment": segment})
             return n
         finally:
             drop(changed)
+            if same is not None:
+                drop(same)
 
     def _live(self, rows: DataFrame, marks: DataFrame) -> DataFrame:
         ends = marks.groupBy(F.col("paper").alias("p"), F.col("unit").alias("u")).agg(F.max("segment").alias("ended"))

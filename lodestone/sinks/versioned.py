@@ -132,12 +132,12 @@ class VersionedTable:
     # changing
 
     def _write(self, rows: DataFrame, manifest: dict, gather: bool = True) -> dict[str, list[str]]:
-        """New folders by bucket. Rows of a bucket are gathered, those of a large one in several tasks; or each task writes its own."""
+        """New folders by bucket. Rows of a bucket are gathered, those of a large one in several tasks, and sorted by key; or each task writes its own, in the order that they have."""
         folder = f"data/{uuid.uuid4().hex}"
         names = StructType.fromJson(manifest["schema"]).fieldNames()
         rows = rows.select(*names, self.bucket(manifest).alias("_bucket"))
-        rows = rows.hint("rebalance", F.col("_bucket")) if gather else rows
-        rows.sortWithinPartitions("_bucket", *manifest["keys"]).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        rows = rows.hint("rebalance", F.col("_bucket")).sortWithinPartitions("_bucket", *manifest["keys"]) if gather else rows.sortWithinPartitions("_bucket")
+        rows.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         return {n.partition("=")[2]: [f"{folder}/{n}"] for n in self._names(f"{self.path}/{folder}") if n.startswith("_bucket=")}
 
     def _commit(self, base: dict, put: dict[str, list[str]], replaced: list[int] | None, operation: str, once: tuple[str, int] | None, meta: dict | None, seen: list[int] | None = None) -> int:
